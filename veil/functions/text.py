@@ -30,6 +30,8 @@ def java(pattern: str, flags: str = "") -> str:
             out.append(f"(?<![{WORD}])")
         elif two == r"\>":
             out.append(f"(?![{WORD}])")
+        elif two == r"\b":
+            out.append(f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))")
         elif two == r"\s":
             out.append(SPACES if in_class else f"[{SPACES}]")
         elif two == r"\S":

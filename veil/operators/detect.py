@@ -11,7 +11,7 @@ from veil.operators.persons import PERSON_RULES, judge_runs, without_shadowed_ca
 from veil.operators.rules import SECRETS, lookalike_rule, term_rule, value_rules
 from veil.operators.spans import CONTEXT, Rule, find_spans
 
-FINDING = ["type", "start_at", "end_at", "value", "via", "before", "after"]
+FINDING = ["type", "start_at", "end_at", "value", "surface", "via", "before", "after"]
 _LABEL_KEYS = ("LABEL_NAME", "FIELD_NAME")
 _PERSON_KEYS = tuple(r.key for r in PERSON_RULES)
 
@@ -27,7 +27,8 @@ def _by_rule(rules: list[Rule], pick) -> Column | None:
 
 
 def detect(
-    df: DataFrame, rules: list[Rule], keys: list[str], config: Config | None = None, text: str = "text", context: int = CONTEXT
+    df: DataFrame, rules: list[Rule], keys: list[str], config: Config | None = None, text: str = "text", context: int = CONTEXT,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
     """``keys`` plus type, offsets, value, evidence and context of every match that passes its checks."""
     config = config or Config()
@@ -56,7 +57,7 @@ def detect(
         hits = judge_runs(hits.withColumn("run", F.when(key.isin(*_PERSON_KEYS), key)), config.lexicons, config.person_mode)
         if any(r.key == "CAPS_RUN" for r in rules):
             hits = without_shadowed_caps(hits, keys)
-    return hits.select(*keys, *FINDING)
+    return hits.withColumn("surface", F.col("value")).select(*keys, *FINDING, *extra)
 
 
 def text_rules(config: Config, spark=None) -> list[Rule]:

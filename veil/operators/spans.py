@@ -74,6 +74,35 @@ def running_starts(lengths: Column) -> Column:
     return let(lengths, lambda ls: let(blocks(ls), within))
 
 
+def _plain(part: Column) -> Column:
+    return F.replace(part, F.lit(ALT), F.lit(""))
+
+
+def _located(parts: Column) -> Column:
+    """Matches with their offsets out of an alternating array of gaps and matches."""
+    starts = running_starts(F.transform(parts, lambda p: F.length(_plain(p))))
+    return F.filter(F.arrays_zip(parts.alias("p"), starts.alias("s")), lambda z, i: i % 2 == 1)
+
+
+def locate(text: Column, regex: str, mark: str = OPEN + "$0" + CLOSE) -> Column:
+    """Array of ``{p: match, s: offset}`` for one pattern within a row; ``text`` must be marker-free."""
+    parts = F.split(F.regexp_replace(text, F.lit(regex), F.lit(mark)), f"[{OPEN}{CLOSE}]", -1)
+    return let(parts, _located)
+
+
+def with_context(text: Column, spans: Column, *extra: str, context: int = CONTEXT) -> Column:
+    """Add the characters around each ``{start_at, end_at, value, ...}`` of an array."""
+
+    def add(s):
+        return F.struct(
+            *[s[n].alias(n) for n in ("start_at", "end_at", "value", *extra)],
+            F.substring(text, F.greatest(s["start_at"] - context, F.lit(0)) + 1, F.least(s["start_at"], F.lit(context))).alias("before"),
+            F.substring(text, s["end_at"] + 1, F.lit(context)).alias("after"),
+        )
+
+    return F.transform(spans, add)
+
+
 def find_spans(df: DataFrame, rules: list[Rule], keys: list[str], text: str = "text", context: int = CONTEXT) -> DataFrame:
     """One row per raw match: ``keys, rule, start_at, end_at, value, explicit, before, after``.
 
@@ -93,11 +122,8 @@ def find_spans(df: DataFrame, rules: list[Rule], keys: list[str], text: str = "t
         .select(*keys, "_text", F.col("_r.rule").alias("rule"), F.col("_r.parts").alias("_parts"))
     )
 
-    def plain(part):
-        return F.replace(part, F.lit(ALT), F.lit(""))
-
     def describe(part, start):
-        value = plain(part)
+        value = _plain(part)
         end = start + F.length(value)
         return F.struct(
             start.alias("start_at"),
@@ -108,9 +134,5 @@ def find_spans(df: DataFrame, rules: list[Rule], keys: list[str], text: str = "t
             F.substring(body, end + 1, F.lit(context)).alias("after"),
         )
 
-    lengths = F.transform(F.col("_parts"), lambda p: F.length(plain(p)))
-    located = F.filter(
-        F.arrays_zip(F.col("_parts").alias("p"), running_starts(lengths).alias("s")), lambda z, i: i % 2 == 1
-    )
-    hits = F.transform(located, lambda z: describe(z["p"], z["s"]))
+    hits = F.transform(_located(F.col("_parts")), lambda z: describe(z["p"], z["s"]))
     return marked.select(*keys, "rule", F.explode(hits).alias("_h")).select(*keys, "rule", "_h.*")

@@ -136,3 +136,15 @@ def find_spans(df: DataFrame, rules: list[Rule], keys: list[str], text: str = "t
 
     hits = F.transform(_located(F.col("_parts")), lambda z: describe(z["p"], z["s"]))
     return marked.select(*keys, "rule", F.explode(hits).alias("_h")).select(*keys, "rule", "_h.*")
+
+
+def attach_context(found: DataFrame, df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Add ``before`` and ``after`` to spans that were found without the text at hand.
+
+    The spans of a text travel as one array, so the text is joined once, not once per span.
+    """
+    rest = [c for c in found.columns if c not in (*keys, "start_at", "end_at", "value")]
+    spans = found.groupBy(*keys).agg(F.collect_list(F.struct("start_at", "end_at", "value", *rest)).alias("_spans"))
+    joined = df.select(*keys, F.col(text).alias("_text")).join(spans, keys)
+    placed = joined.select(*keys, F.explode(with_context(F.col("_text"), F.col("_spans"), *rest)).alias("_s"))
+    return placed.select(*keys, "_s.*")

@@ -6,16 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.config import Config
-from veil.operators.labels import label_rules, name_value
+from veil.operators.labels import LABEL_RULE_NAMES, label_rules, name_value
 from veil.operators.persons import PERSON_RULES, judge_runs, without_shadowed_caps
 from veil.operators.rules import SECRETS, lookalike_rule, term_rule, value_rules
 from veil.operators.spans import CONTEXT, Rule, find_spans
 
-FINDING = ["type", "start_at", "end_at", "value", "surface", "via", "before", "after"]
+FINDING = ["type", "start_at", "end_at", "value", "surface", "via", "before", "after", "gathered"]
 _LABEL_KEYS = ("LABEL_NAME", "FIELD_NAME")
 _PERSON_KEYS = tuple(r.key for r in PERSON_RULES)
 
 
+# order in which evidence is gathered; it settles ties between findings of equal rank and place
+GATHERED = {"value": 0, "lookalike": 1000, "encoded": 2000, "term": 3000, "label": 4000, "table": 5000, "secret": 6000, "person": 7000, "sweep": 8000}
+
+
+def _gathered(rule: Rule, i: int) -> int:
+    family = {"token_literal": "lookalike", "term": "term", "secret": "secret"}.get(rule.via, "value")
+    if rule.key in _PERSON_KEYS:
+        family = "person"
+    elif rule.key in LABEL_RULE_NAMES:
+        family = "label"
+    return GATHERED[family] + i
+
+
 def _by_rule(rules: list[Rule], pick) -> Column | None:
     """CASE over the rule number for the rules for which ``pick`` has something to say."""
     chain = None
@@ -57,7 +70,8 @@ def detect(
         hits = judge_runs(hits.withColumn("run", F.when(key.isin(*_PERSON_KEYS), key)), config.lexicons, config.person_mode)
         if any(r.key == "CAPS_RUN" for r in rules):
             hits = without_shadowed_caps(hits, keys)
-    return hits.withColumn("surface", F.col("value")).select(*keys, *FINDING, *extra)
+    order = F.get(F.array(*[F.lit(_gathered(r, i)) for i, r in enumerate(rules)]), F.col("rule"))
+    return hits.withColumn("surface", F.col("value")).withColumn("gathered", order).select(*keys, *FINDING, *extra)
 
 
 def text_rules(config: Config, spark=None) -> list[Rule]:

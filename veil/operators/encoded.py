@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veil.config import Config
 from veil.functions.text import decode_entities, decode_percent, java
-from veil.operators.detect import FINDING, detect
+from veil.operators.detect import FINDING, GATHERED, detect
 from veil.operators.intervals import mark_contained
 from veil.operators.rules import has, value_rules
 from veil.operators.spans import Rule, find_spans
@@ -92,6 +92,7 @@ def detect_encoded(df: DataFrame, keys: list[str], config: Config, spark=None, t
             F.lit("structural").alias("via"),
             F.col("r_before").alias("before"),
             F.col("r_after").alias("after"),
+            F.when(is_blob, GATHERED["encoded"] + 1).otherwise(GATHERED["encoded"]).alias("gathered"),
         )
         .select(*keys, *FINDING)
     )

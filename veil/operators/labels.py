@@ -120,6 +120,9 @@ def label_rules() -> list[Rule]:
     ]
 
 
+LABEL_RULE_NAMES = tuple(r.key for r in label_rules())
+
+
 def name_value(rule_key: Column, value: Column, explicit: Column, lex: Lexicons) -> Column:
     """Value of a label match after the name check; other rules keep what they captured."""
     named = partial(valid_name, value, lex=lex)

@@ -73,15 +73,19 @@ def resolve_overlaps(findings: DataFrame, keys: list[str]) -> DataFrame:
     if "swept" not in cols:
         findings = findings.withColumn("swept", F.lit(False))
     ranked = findings.withColumn("precedence", precedence(F.col("type"), F.col("via"), F.col("swept")))
-    order = Window.partitionBy(*keys).orderBy("start_at", F.desc("precedence"), F.desc("end_at"), "type", "value")
+    if "gathered" not in cols:
+        ranked = ranked.withColumn("gathered", F.lit(0))
+    ties = ["gathered", "type", "value"]
+    order = Window.partitionBy(*keys).orderBy("start_at", F.desc("precedence"), F.desc("end_at"), *ties)
     reach = F.max("end_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = (F.col("start_at") >= F.coalesce(reach, F.lit(-1))).cast("int")
     islands = ranked.withColumn("_opens", opens).withColumn(
         "_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
     rest = [c for c in findings.columns if c not in keys]
-    row = F.struct("start_at", (-F.col("precedence")).alias("_p"), (-F.col("end_at")).alias("_e"), *[
-        F.col(c) for c in ["type", "value"]], F.struct(*rest, "precedence").alias("row"))
+    row = F.struct(
+        "start_at", (-F.col("precedence")).alias("_p"), (-F.col("end_at")).alias("_e"), *ties, F.struct(*rest, "precedence").alias("row")
+    )
     grouped = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
 
     def keep(acc, r):

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.operators.detect import GATHERED
 from veil.operators.spans import CONTEXT, Rule, find_spans
 
 PHRASE_LENGTHS = (12, 15, 18, 21, 24)
@@ -51,4 +52,5 @@ def seed_phrases(df: DataFrame, wordlist: DataFrame, keys: list[str], text: str
         value.alias("value"), value.alias("surface"), F.lit("secret").alias("via"),
         F.right(F.concat("before", F.substring("_run", F.lit(1), a)), F.lit(CONTEXT)).alias("before"),
         F.left(F.concat(F.substring("_run", b + 1, F.length("_run")), "after"), F.lit(CONTEXT)).alias("after"),
+        F.lit(GATHERED["secret"]).alias("gathered"),
     )

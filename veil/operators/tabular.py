@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.text import CLOSE, OPEN, SPACES, java, let, trim, unmarked
+from veil.operators.detect import GATHERED
 from veil.operators.labels import column_type
 from veil.operators.spans import locate, running_starts, with_context
 
@@ -117,6 +118,6 @@ def detect_tables(df: DataFrame, keys: list[str], parts: tuple[str, ...] = ("hea
         .select(*keys, F.explode(with_context(body, F.col("_spans"), "type")).alias("_s"))
         .select(
             *keys, "_s.type", "_s.start_at", "_s.end_at", "_s.value", F.col("_s.value").alias("surface"),
-            F.lit("field").alias("via"), "_s.before", "_s.after",
+            F.lit("field").alias("via"), "_s.before", "_s.after", F.lit(GATHERED["table"]).alias("gathered"),
         )
     )

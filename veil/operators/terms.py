@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.text import norm, unmarked
+from veil.operators.detect import GATHERED
 from veil.operators.spans import attach_context
 from veil.operators.words import word_array
 
@@ -53,6 +54,6 @@ def detect_terms(df: DataFrame, terms: DataFrame, keys: list[str], text: str = "
         .select(*keys, "_r.*")
         .join(listed.select(F.col("_key").alias("key"), "term"), "key")
         .where(F.lower("value") == F.col("term"))
-        .select(*keys, F.lit("CUSTOM").alias("type"), "start_at", "end_at", "value", F.col("value").alias("surface"), F.lit("term").alias("via"))
+        .select(*keys, F.lit("CUSTOM").alias("type"), "start_at", "end_at", "value", F.col("value").alias("surface"), F.lit("term").alias("via"), F.lit(GATHERED["term"]).alias("gathered"))
     )
     return attach_context(found, df, keys, text)

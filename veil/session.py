@@ -46,4 +46,4 @@ def materialize(df: DataFrame) -> DataFrame:
         if folder is None:
             folder = tempfile.mkdtemp(prefix="veil-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=False)
+    return df.checkpoint(eager=True)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from veil.functions.text import norm
 
-# Key derivation labels, so that fingerprints agree with other holders of the master.
-SALTS = {"blind": b"pii-shield/leak/blind", "enc": b"pii-shield/leak/enc"}
+# Key derivation labels. To agree with fingerprints made elsewhere, pass the labels used there.
+SALTS = {"blind": b"veil/leak/blind", "enc": b"veil/leak/enc"}
 BLOCK, IV, TAG = 64, 12, 16
 
 
@@ -20,9 +20,9 @@ def master_bytes(secret: str) -> bytes:
     return bytes.fromhex(secret) if re.fullmatch(r"[0-9a-fA-F]{64}", secret) else secret.encode()
 
 
-def derive_key(kind: str, tenant: str, master: str) -> bytes:
+def derive_key(kind: str, tenant: str, master: str, salts: dict[str, bytes] = SALTS) -> bytes:
     """HKDF-SHA256 key of 32 bytes for one tenant and purpose."""
-    pseudo = hmac.new(SALTS[kind], master_bytes(master), hashlib.sha256).digest()
+    pseudo = hmac.new(salts[kind], master_bytes(master), hashlib.sha256).digest()
     return hmac.new(pseudo, f"tenant:{tenant or 'global'}".encode() + b"\x01", hashlib.sha256).digest()
 
 
@@ -32,12 +32,12 @@ def hmac_pads(key: bytes) -> tuple[str, str]:
     return bytes(b ^ 0x36 for b in padded).hex(), bytes(b ^ 0x5C for b in padded).hex()
 
 
-def tenant_keys(spark, tenants: list[str], master: str) -> DataFrame:
+def tenant_keys(spark, tenants: list[str], master: str, salts: dict[str, bytes] = SALTS) -> DataFrame:
     """One row per tenant with its pads and encryption key; tenants are named by the caller, not collected."""
     rows = []
     for t in tenants:
-        inner, outer = hmac_pads(derive_key("blind", t, master))
-        rows.append((t, inner, outer, derive_key("enc", t, master).hex()))
+        inner, outer = hmac_pads(derive_key("blind", t, master, salts))
+        rows.append((t, inner, outer, derive_key("enc", t, master, salts).hex()))
     return spark.createDataFrame(rows, "tenant string, ipad string, opad string, enc_key string")
 
 

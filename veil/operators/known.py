@@ -22,6 +22,7 @@ from veil.operators.resolve import precedence
 from veil.operators.rules import value_rules
 from veil.operators.spans import locate, with_context
 from veil.operators.words import word_array
+from veil.session import materialize
 
 # Evidence that makes a value certain, and where a lone surname may be looked for.
 CERTAIN_VIA = ("checksum", "structural", "secret", "term", "custom", "token_literal", "established", "field")
@@ -264,6 +265,7 @@ def word_runs(corpus: DataFrame, longest: DataFrame, keys: list[str], text: str
 def sweep(corpus: DataFrame, found: DataFrame, known: DataFrame, keys: list[str], config: Config, text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """New findings of known values in other spellings, not counting what ``found`` already covers."""
     session = keys[0]
+    known = materialize(known)  # small, and read for the variants, the pairs and the sizes
     forms = variants(known, session, config, kinds) if kinds else variants(known, session, config)
     words = F.size(F.regexp_extract_all("value", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
     longest = known.groupBy(session).agg(F.greatest(F.lit(2), F.max(words)).alias("longest"))

@@ -34,6 +34,9 @@ def flagship(spark, folder: str):
     )
 
 
+query("redact_corpus")(flagship)
+
+
 # ---- findings of the documents, one session per language
 _ONE = {
     "EMAIL": (re2(R.EMAIL), "text", "true", "structural"),

@@ -19,10 +19,10 @@ from veil.operators.encoded import HAS_ESCAPE, HAS_SPELLED, unspell
 from veil.operators.intervals import contained, overlapping
 from veil.operators.persons import PERSON_RULES
 from veil.operators.resolve import precedence
-from veil.operators.rules import value_rules
+from veil.operators.rules import has, value_rules
 from veil.operators.spans import locate, with_context
 from veil.operators.words import word_array
-from veil.session import materialize
+from veil.session import materialize, small
 
 # Evidence that makes a value certain, and where a lone surname may be looked for.
 CERTAIN_VIA = ("checksum", "structural", "secret", "term", "custom", "token_literal", "established", "field")
@@ -30,6 +30,7 @@ URLISH = (
     r"(?:[a-z][a-z0-9+.-]*://|www\.)[^\s\"'<>]+|/[A-Za-z0-9._~%\-/]{3,}"
     r"|[A-Za-z0-9._~%-]+\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)\>"
 )
+ZONE_HINT = has(r"(?i)/|www\.|\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)(?![a-z0-9_])")
 SEPARATOR = "(?:%[0-9A-Fa-f]{2}|[^A-Za-z0-9]){0,3}"
 PAIRED_NAMES = 8  # single names of a session that are tried as first and last name
 SEPARATOR_WIDTH = 9  # three percent-escapes
@@ -86,7 +87,7 @@ def disguised_values(corpus: DataFrame, keys: list[str], config: Config, text: s
     )
     variants = F.concat(
         F.when(HAS_ESCAPE(body), F.array(decode_percent(body), decode_entities(body))).otherwise(F.array().cast("array<string>")),
-        F.when(body.rlike(r"(?i)[/.]"), slugs).otherwise(F.array().cast("array<string>")),
+        F.when(ZONE_HINT(body), slugs).otherwise(F.array().cast("array<string>")),
         F.when(HAS_SPELLED(body), F.array(unspell(body))).otherwise(F.array().cast("array<string>")),
     )
     rules = value_rules(config, spark) + (PERSON_RULES if config.on("PERSON") else [])
@@ -132,12 +133,19 @@ def _key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}]", ""))
 
 
-def _variant(kind: str, key: Column, pattern: Column, any_case: bool, url_only: bool, when: Column, lead=None, tail=None) -> Column:
+def _runs(value: Column) -> Column:
+    return F.transform(F.regexp_extract_all(value, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)), F.lower)
+
+
+def _variant(kind: str, pieces: Column, pattern: Column, any_case: bool, url_only: bool, when: Column, lead=None, tail=None) -> Column:
+    """One way a value may be written; ``pieces`` are its words, any of which may run together in a text."""
+    key = F.array_join(pieces, "")
+    firsts = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, 1, n), ""))
     prefix = "(?iu)" if any_case else ""
     return F.when(
         when,
         F.struct(
-            F.lit(kind).alias("kind"), key.alias("key"), F.concat(F.lit(prefix + "^(?:"), pattern, F.lit(")$")).alias("pattern"),
+            F.lit(kind).alias("kind"), key.alias("key"), firsts.alias("firsts"), F.concat(F.lit(prefix + "^(?:"), pattern, F.lit(")$")).alias("pattern"),
             F.lit(url_only).alias("url_only"), (lead if lead is not None else F.lit("")).alias("lead"),
             (tail if tail is not None else F.lit("")).alias("tail"),
         ),
@@ -145,7 +153,7 @@ def _variant(kind: str, key: Column, pattern: Column, any_case: bool, url_only:
 
 
 def variants(known: DataFrame, session: str, config: Config, kinds: tuple[str, ...] = ("full", "initial", "surname", "exact", "part", "pair")) -> DataFrame:
-    """``session, key, pattern, kind, url_only, lead, tail, value, type, sure, gathered``."""
+    """``session, key, firsts, pattern, kind, url_only, lead, tail, value, type, sure, gathered``."""
     value, sure = F.col("value"), F.col("sure")
     stop = list(config.lexicons.sweep_stopwords)
     toks, cased = F.col("_toks"), F.col("_cased")
@@ -158,28 +166,27 @@ def variants(known: DataFrame, session: str, config: Config, kinds: tuple[str, .
     for ci, parts in ((False, cased), (True, toks)):
         enough = several & (F.size(parts) >= 2)
         if "full" in kinds:
-            made.append(_variant("full", _key(value), F.concat(_body(parts), digits_after), ci, ci, enough))
-            two = F.concat(F.get(runs, F.lit(0)), F.get(runs, F.lit(1)))
-            made.append(_variant("full", two, F.concat(_body(F.slice(parts, 1, 2)), digits_after), ci, ci, enough & (F.size(toks) > 2)))
+            made.append(_variant("full", runs, F.concat(_body(parts), digits_after), ci, ci, enough))
+            made.append(_variant("full", F.slice(runs, 1, 2), F.concat(_body(F.slice(parts, 1, 2)), digits_after), ci, ci, enough & (F.size(toks) > 2)))
         if "initial" in kinds:
             pair = F.array(F.left(F.get(parts, F.lit(0)), F.lit(1)), F.get(parts, F.lit(1)))
             made.append(
-                _variant("initial", _key(F.array_join(pair, "")), F.concat(_body(pair), digits_after), ci, ci, enough & (F.length(surname) >= 5))
+                _variant("initial", F.transform(pair, _key), F.concat(_body(pair), digits_after), ci, ci, enough & (F.length(surname) >= 5))
             )
     if "surname" in kinds:
         alone = several & named & (F.length(surname) >= 6) & ~surname.isin(stop)
-        made.append(_variant("surname", _key(surname), F.concat(_literal(surname), digits_after), True, True, alone))
+        made.append(_variant("surname", _runs(surname), F.concat(_literal(surname), digits_after), True, True, alone))
     solid = sure & (F.length(F.regexp_replace(value, r"[^\p{L}\p{N}]", "")) >= 3)
     if "exact" in kinds:
         lead = F.regexp_extract(value, r"^[^\p{L}\p{M}\p{N}]*", 0)
         tail = F.regexp_extract(value, r"[^\p{L}\p{M}\p{N}]*$", 0)
-        made.append(_variant("exact", _key(value), _literal(value), True, False, solid, lead, tail))
+        made.append(_variant("exact", runs, _literal(value), True, False, solid, lead, tail))
     direct = F.filter(F.array(*made), lambda v: v.isNotNull()) if made else None
     if "part" in kinds:
         def part(p):
             bare = F.regexp_replace(p, r"[^\p{L}\p{M}'’\-]", "")
             ok = (F.length(bare) >= 3) & ~F.lower(bare).isin(stop)
-            return _variant("part", _key(bare), _literal(bare), True, False, ok)
+            return _variant("part", _runs(bare), _literal(bare), True, False, ok)
 
         parts = F.when(solid & (F.col("type") == "PERSON"), F.filter(F.transform(F.split(value, java(r"\s+")), part), lambda v: v.isNotNull()))
         direct = parts if direct is None else F.concat(direct, F.coalesce(parts, F.slice(direct, 1, 0)))
@@ -187,10 +194,10 @@ def variants(known: DataFrame, session: str, config: Config, kinds: tuple[str, .
     prepared = (
         known.withColumn("_toks", ascii_tokens(value))
         .withColumn("_cased", F.regexp_extract_all("value", F.lit("[A-Za-z0-9]+"), F.lit(0)))
-        .withColumn("_runs", F.transform(F.regexp_extract_all("value", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)), F.lower))
+        .withColumn("_runs", _runs(value))
     )
     order = F.when(F.col("type") == "PERSON", GATHERED["sweep"] + 1).otherwise(GATHERED["sweep"] + 2)
-    columns = [session, "_v.key", "_v.pattern", "_v.kind", "_v.url_only", "_v.lead", "_v.tail", "value", "type", "sure", "gathered"]
+    columns = [session, "_v.key", "_v.firsts", "_v.pattern", "_v.kind", "_v.url_only", "_v.lead", "_v.tail", "value", "type", "sure", "gathered"]
     out = None
     if direct is not None:
         out = prepared.select(session, "value", "type", "sure", order.alias("gathered"), F.explode(direct).alias("_v")).select(*columns)
@@ -224,41 +231,93 @@ def _pairs(prepared: DataFrame, session: str, config: Config) -> DataFrame:
     initial = F.left(a, F.lit(1))
     forms = []
     for ci in (False, True):
-        forms.append(_variant("pair", F.concat(_key(a), _key(b)), F.concat(_body(F.array(a, b)), F.lit("[0-9]*")), ci, ci, F.lit(True)))
-        forms.append(_variant("pair", F.concat(_key(initial), _key(b)), F.concat(_body(F.array(initial, b)), F.lit("[0-9]*")), ci, ci, F.length(b) >= 5))
+        forms.append(_variant("pair", F.array(_key(a), _key(b)), F.concat(_body(F.array(a, b)), F.lit("[0-9]*")), ci, ci, F.lit(True)))
+        forms.append(_variant("pair", F.array(_key(initial), _key(b)), F.concat(_body(F.array(initial, b)), F.lit("[0-9]*")), ci, ci, F.length(b) >= 5))
     return pairs.select(
         session, F.col("v").alias("value"), F.lit("PERSON").alias("type"), F.lit(False).alias("sure"), F.lit(GATHERED["sweep"]).alias("gathered"),
         F.explode(F.filter(F.array(*forms), lambda v: v.isNotNull())).alias("_v"),
     )
 
 
-def word_runs(corpus: DataFrame, longest: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, key, start_at, end_at`` of every run of neighbouring words, up to the session's longest value.
+SMALL_SESSIONS, SMALL_FORMS = 2_000, 100_000  # rows up to which a side is broadcast: about 32 MB either way
+MAX_SKETCH = 2_048  # longs a session's bit set may take in a row
+DIGITS = "0123456789"
+
+
+def _bit_set(items: DataFrame, session: str, name: str) -> DataFrame:
+    """``session, <name>``: a bit set of the words in ``items`` (session, item), sized to their number up to a bound."""
+    own = items.where("item <> ''").distinct()
+    sizes = own.groupBy(session).agg(F.count(F.lit(1)).alias("n"))
+    longs = F.least(F.lit(MAX_SKETCH), F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(F.col("n") * 2)).cast("int")))
+    at = F.pmod(F.xxhash64("item"), F.col("longs") * 64)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int"))
+    cells = (
+        own.join(sizes.select(session, longs.alias("longs")), session)
+        .select(session, "longs", F.shiftright(at, 6).cast("int").alias("cell"), bit.alias("bit"))
+        .groupBy(session, "longs", "cell")
+        .agg(F.bit_or("bit").alias("bits"))
+    )
+    filled = F.map_from_entries(F.collect_list(F.struct("cell", "bits")))
+    dense = F.transform(F.sequence(F.lit(0), F.col("longs") - 1), lambda i: F.coalesce(F.try_element_at("_filled", i), F.lit(0).cast("bigint")))
+    return cells.groupBy(session, "longs").agg(filled.alias("_filled")).select(session, dense.alias(name))
+
 
-    Sessions that know nothing drop out here.
+def session_sketches(forms: DataFrame, known: DataFrame, session: str) -> DataFrame:
+    """``session, longest, first_bits, key_bits``: how many words a value may have, and what to look for.
+
+    With the two bit sets, of first words and of whole keys, nearly all of a text is dismissed inside
+    the row, before anything is joined. They only ever let too much through.
+    """
+    words = F.size(F.regexp_extract_all("value", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
+    longest = known.groupBy(session).agg(F.greatest(F.lit(2), F.max(words)).alias("longest"))
+    trimmed = F.transform("firsts", lambda x: F.rtrim(x, F.lit(DIGITS)))
+    firsts = forms.select(session, F.explode(F.concat("firsts", trimmed)).alias("item"))
+    first_bits = _bit_set(firsts, session, "first_bits")
+    return longest.join(first_bits, session).join(_bit_set(forms.select(session, F.col("key").alias("item")), session, "key_bits"), session)
+
+
+def _listed(word: Column, bits: str) -> Column:
+    """Whether a word, or the word without digits at its end, may be in a bit set."""
+
+    def test(x):
+        at = F.pmod(F.xxhash64(x), F.size(bits) * 64)
+        return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+
+    return test(word) | (F.right(word, F.lit(1)).between("0", "9") & test(F.rtrim(word, F.lit(DIGITS))))
+
+
+def word_runs(corpus: DataFrame, sketches: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, key, start_at, end_at`` of runs of neighbouring words that may be a known value.
+
+    Runs are as long as the session's longest value at most. Sessions that know nothing drop out.
     """
     w = F.col("_w")
 
+    def word(i):
+        return F.element_at(w, i)
+
     def run(i, n):
-        part = F.slice(w, i, n)
-        last = F.element_at(w, i + n - 1)
-        key = F.lower(F.array_join(F.transform(part, lambda x: x["p"]), ""))
-        return F.struct(key.alias("key"), F.element_at(w, i)["s"].alias("start_at"), (last["s"] + F.length(last["p"])).alias("end_at"))
+        last = word(i + n - 1)
+        key = F.lower(F.array_join(F.transform(F.sequence(i, i + n - 1), lambda k: word(k)["p"]), ""))
+        return F.struct(key.alias("key"), word(i)["s"].alias("start_at"), (last["s"] + F.length(last["p"])).alias("end_at"))
 
-    def of_length(n):
-        return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: run(i, n))
+    def from_start(i):
+        runs = F.transform(F.sequence(F.lit(1), F.least(F.col("longest"), F.size(w) - i + 1)), lambda n: run(i, n))
+        return F.filter(runs, lambda r: _listed(r["key"], "key_bits"))
 
-    all_runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.col("longest"), F.size(w))), of_length))
     close = F.col("_r.end_at") - F.col("_r.start_at") - F.length("_r.key") <= SEPARATOR_WIDTH * F.col("longest")
-    bare = F.regexp_replace("key", "[0-9]+$", "")
+    words = F.filter(word_array(unmarked(F.col(text)), WORDS, WORD_MARK), lambda x, i: (i % 2 == 1) & (x["p"] != ""))
+    marks = F.transform(w, lambda x, i: F.when(let(F.lower(x["p"]), lambda low: _listed(low, "first_bits")), i + 1))
+    starts = F.filter(marks, lambda i: i.isNotNull())
     return (
-        corpus.join(longest, keys[0])
-        .select(*keys, "longest", F.filter(word_array(unmarked(F.col(text)), WORDS, WORD_MARK), lambda x, i: (i % 2 == 1) & (x["p"] != "")).alias("_w"))
-        .where(F.size("_w") > 0)
-        .select(*keys, "longest", F.explode(all_runs).alias("_r"))
+        corpus.join(sketches, keys[0])
+        .select(*keys, "longest", "first_bits", "key_bits", words.alias("_w"))
+        .withColumn("_starts", starts)
+        .where(F.size("_starts") > 0)
+        .select(*keys, "longest", F.explode(F.flatten(F.transform("_starts", from_start))).alias("_r"))
         .where(close)
         .select(*keys, "_r.*")
-        .withColumn("key", F.explode(F.array_distinct(F.filter(F.array("key", bare), lambda k: k != ""))))
+        .withColumn("key", F.explode(F.array_distinct(F.filter(F.array("key", F.rtrim("key", F.lit(DIGITS))), lambda k: k != ""))))
     )
 
 
@@ -266,10 +325,10 @@ def sweep(corpus: DataFrame, found: DataFrame, known: DataFrame, keys: list[str]
     """New findings of known values in other spellings, not counting what ``found`` already covers."""
     session = keys[0]
     known = materialize(known)  # small, and read for the variants, the pairs and the sizes
-    forms = variants(known, session, config, kinds) if kinds else variants(known, session, config)
-    words = F.size(F.regexp_extract_all("value", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
-    longest = known.groupBy(session).agg(F.greatest(F.lit(2), F.max(words)).alias("longest"))
-    places = word_runs(corpus, longest, keys, text).join(forms, [session, "key"])
+    forms = materialize(variants(known, session, config, kinds) if kinds else variants(known, session, config))
+    sketches = small(session_sketches(forms, known, session), SMALL_SESSIONS)
+    lookup = small(forms.drop("firsts"), SMALL_FORMS)
+    places = word_runs(corpus, sketches, keys, text).join(lookup, [session, "key"])
     proposed = (
         places.withColumn("start_at", F.col("start_at") - F.length("lead"))
         .withColumn("end_at", F.col("end_at") + F.length("tail"))

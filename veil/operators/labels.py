@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veil.functions.text import java, let, trim
+from veil.functions.text import SPACES, java, let, trim
 from veil.lexicons import Lexicons
 from veil.operators.rules import has
 from veil.operators.spans import EITHER, LABELLED, Rule
@@ -151,10 +151,20 @@ COLUMN_TYPES = [
 ]
 
 
+_HEADINGS = "|".join(p.removeprefix("(?i)^").removesuffix("$") for p, _ in COLUMN_TYPES)
+# a text can only hold a header or a labelled cell if one of the words fills a whole cell of some kind
+HAS_HEADING = rf"(?im)(?:^|[\t|,>])[{SPACES}*]*(?:{_HEADINGS})[{SPACES}*]*(?:$|[\t|,<\r])"
+_MAY_HEAD = rf"(?i)^[{SPACES}*]*(?:{_HEADINGS})[{SPACES}*]*$"
+
+
 def column_type(header: Column) -> Column:
     """Type of the values under a header, or NULL."""
-    bare = F.regexp_replace(trim(header), r"^\**|\**$", "")
-    kind = F.lit(None).cast("string")
-    for pattern, type_ in reversed(COLUMN_TYPES):
-        kind = F.when(bare.rlike(pattern), F.lit(type_)).otherwise(kind)
-    return kind
+
+    def kind(bare):
+        chain = F
+        for pattern, type_ in COLUMN_TYPES:
+            chain = chain.when(bare.rlike(pattern), F.lit(type_))
+        return chain
+
+    # most cells are no headers at all and need a single look
+    return F.when(header.rlike(_MAY_HEAD), let(F.regexp_replace(trim(header), r"^\**|\**$", ""), kind))

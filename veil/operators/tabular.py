@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from veil.functions.text import CLOSE, OPEN, SPACES, java, let, trim, unmarked
 from veil.operators.detect import GATHERED
-from veil.operators.labels import column_type
+from veil.operators.labels import HAS_HEADING, column_type
 from veil.operators.spans import locate, running_starts, with_context
 
-DELIMITERS = ["\t", "|", ","]
+# each delimiter as it stands and as a pattern
+DELIMITERS = [("\t", r"\t"), ("|", r"\|"), (",", ",")]
 HEADER_LINES = 5  # a header stands within the first lines or nowhere
-HEADER_WORDS = r"(?i)name|candidate|applicant|patient|birth|dob|mail|phone|mobile|cell|contact|msisdn|address"
 HTML_CELL = r"(<t[dh][^>]*>)([\s\S]*?)(</t[dh]>)"
 
 
@@ -25,9 +25,9 @@ def _offsets(items: Column, gap: int) -> Column:
     return F.transform(F.arrays_zip(items.alias("p"), starts.alias("s")), lambda z, i: F.struct(z["p"].alias("p"), z["s"].alias("s"), i.alias("i")))
 
 
-def _cells(line: Column, delim: str) -> Column:
+def _cells(line: Column, delim: Column) -> Column:
     """Cells of a located line, with offsets in the text."""
-    cells = let(F.split(line["p"], "\\Q" + delim + "\\E", -1), lambda c: _offsets(c, 1))
+    cells = let(F.split(line["p"], delim["q"], -1), lambda c: _offsets(c, 1))
     return F.transform(cells, lambda c: F.struct(c["p"].alias("p"), (c["s"] + line["s"]).alias("s"), c["i"].alias("i")))
 
 
@@ -42,28 +42,28 @@ def _filled(s: Column) -> Column:
     return s["type"].isNotNull() & (F.length(s["value"]) > 1) & ~s["value"].rlike("^-+$")
 
 
-def under_header(lines: Column, delim: str) -> Column:
+def under_header(lines: Column, delim: Column) -> Column:
     """Values below the first header line of a delimiter."""
 
     def heads(line):
-        named = F.exists(F.split(line["p"], "\\Q" + delim + "\\E", -1), lambda c: column_type(c).isNotNull())
-        return F.contains(line["p"], F.lit(delim)) & ~line["p"].rlike("[0-9]{4}|@") & named
+        named = F.exists(F.split(line["p"], delim["q"], -1), lambda c: column_type(c).isNotNull())
+        return F.contains(line["p"], delim["d"]) & ~line["p"].rlike("[0-9]{4}|@") & named
 
     def body(head):
         def typed(columns):
             rows = F.filter(
                 lines,
-                lambda ln: (ln["i"] > head["i"]) & (F.size(F.split(ln["p"], "\\Q" + delim + "\\E", -1)) == F.size(columns)),
+                lambda ln: (ln["i"] > head["i"]) & (F.size(F.split(ln["p"], delim["q"], -1)) == F.size(columns)),
             )
             found = F.flatten(F.transform(rows, lambda ln: F.transform(_cells(ln, delim), lambda c: _value(c, F.get(columns, c["i"])))))
             return F.filter(found, _filled)
 
-        return let(F.transform(F.split(head["p"], "\\Q" + delim + "\\E", -1), column_type), typed)
+        return let(F.transform(F.split(head["p"], delim["q"], -1), column_type), typed)
 
     return let(F.get(F.filter(F.slice(lines, 1, HEADER_LINES), heads), F.lit(0)), body)
 
 
-def beside_label(lines: Column, delim: str) -> Column:
+def beside_label(lines: Column, delim: Column) -> Column:
     """Values in the cell after a cell that names a field."""
 
     def pairs(cells):
@@ -72,7 +72,7 @@ def beside_label(lines: Column, delim: str) -> Column:
             lambda c, i: _value(c, column_type(F.get(cells, i)["p"])),
         )
 
-    rows = F.filter(lines, lambda ln: F.contains(ln["p"], F.lit(delim)))
+    rows = F.filter(lines, lambda ln: F.contains(ln["p"], delim["d"]))
     found = F.flatten(F.transform(rows, lambda ln: let(_cells(ln, delim), pairs)))
     return F.filter(
         found, lambda s: _filled(s) & column_type(s["value"]).isNull() & ~s["value"].rlike("^[a-z][a-z0-9_]*$")
@@ -98,17 +98,17 @@ def detect_tables(df: DataFrame, keys: list[str], parts: tuple[str, ...] = ("hea
     body = F.col("_text")
     lined = (
         df.where(F.length(text) >= 8)
-        .where(F.col(text).rlike(HEADER_WORDS) & F.col(text).rlike(r"[\t|,]|(?i)<t[dh]"))
+        .where(F.col(text).rlike(HAS_HEADING) | F.col(text).rlike("(?i)<t[dh]"))
         .select(*keys, unmarked(F.col(text)).alias("_text"))
         .withColumn("_lines", _offsets(F.split("_text", "\n", -1), 1))
     )
+    delims = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(q).alias("q")) for d, q in DELIMITERS])
+    present = F.filter(delims, lambda d: F.contains(body, d["d"]))
     found = []
-    for delim in DELIMITERS:
-        seen = F.contains(body, F.lit(delim))
-        if "header" in parts:
-            found.append(F.when(seen, under_header(F.col("_lines"), delim)))
-        if "adjacent" in parts:
-            found.append(F.when(seen, beside_label(F.col("_lines"), delim)))
+    if "header" in parts:
+        found.append(F.flatten(F.filter(F.transform(present, lambda d: under_header(F.col("_lines"), d)), lambda a: a.isNotNull())))
+    if "adjacent" in parts:
+        found.append(F.flatten(F.transform(present, lambda d: beside_label(F.col("_lines"), d))))
     if "html" in parts:
         found.append(F.when(body.rlike("(?i)<t[dh]"), html_pairs(body)))
     spans = F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +48,11 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="veil-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a side for broadcast if it has at most so many rows; otherwise leave the join to the optimizer.
+
+    Looks at ``rows + 1`` rows at most, so the check stays cheap however large the side is.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

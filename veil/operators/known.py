@@ -137,6 +137,13 @@ def _runs(value: Column) -> Column:
     return F.transform(F.regexp_extract_all(value, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)), F.lower)
 
 
+DIGITS, DIGITS_CUT = "0123456789", "#"
+
+
+def _undigited(key: Column) -> Column:
+    return F.concat(F.rtrim(key, F.lit(DIGITS)), F.lit(DIGITS_CUT))
+
+
 def _variant(kind: str, pieces: Column, pattern: Column, any_case: bool, url_only: bool, when: Column, lead=None, tail=None) -> Column:
     """One way a value may be written; ``pieces`` are its words, any of which may run together in a text."""
     key = F.array_join(pieces, "")
@@ -204,10 +211,8 @@ def variants(known: DataFrame, session: str, config: Config, kinds: tuple[str, .
     if "pair" in kinds:
         paired = _pairs(prepared, session, config).select(*columns)
         out = paired if out is None else out.unionByName(paired)
-    # a value that ends in digits is also keyed without them; the pattern still decides
-    bare = F.regexp_replace("key", "[0-9]+$", "")
-    both = F.array_distinct(F.filter(F.array("key", bare), lambda k: k != ""))
-    return out.withColumn("key", F.explode(both)).distinct()
+    # digits may follow a value; such a place is keyed without its digits, and marked so
+    return out.withColumn("key", F.explode(F.array("key", _undigited(F.col("key"))))).where(F.col("key") != DIGITS_CUT).distinct()
 
 
 def _pairs(prepared: DataFrame, session: str, config: Config) -> DataFrame:
@@ -241,7 +246,6 @@ def _pairs(prepared: DataFrame, session: str, config: Config) -> DataFrame:
 
 SMALL_SESSIONS, SMALL_FORMS = 2_000, 100_000  # rows up to which a side is broadcast: about 32 MB either way
 MAX_SKETCH = 2_048  # longs a session's bit set may take in a row
-DIGITS = "0123456789"
 
 
 def _bit_set(items: DataFrame, session: str, name: str) -> DataFrame:
@@ -276,14 +280,14 @@ def session_sketches(forms: DataFrame, known: DataFrame, session: str) -> DataFr
     return longest.join(first_bits, session).join(_bit_set(forms.select(session, F.col("key").alias("item")), session, "key_bits"), session)
 
 
-def _listed(word: Column, bits: str) -> Column:
+def _listed(word: Column, bits: str, cut) -> Column:
     """Whether a word, or the word without digits at its end, may be in a bit set."""
 
     def test(x):
         at = F.pmod(F.xxhash64(x), F.size(bits) * 64)
         return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
 
-    return test(word) | (F.right(word, F.lit(1)).between("0", "9") & test(F.rtrim(word, F.lit(DIGITS))))
+    return test(word) | (F.right(word, F.lit(1)).between("0", "9") & test(cut(word)))
 
 
 def word_runs(corpus: DataFrame, sketches: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -303,11 +307,11 @@ def word_runs(corpus: DataFrame, sketches: DataFrame, keys: list[str], text: str
 
     def from_start(i):
         runs = F.transform(F.sequence(F.lit(1), F.least(F.col("longest"), F.size(w) - i + 1)), lambda n: run(i, n))
-        return F.filter(runs, lambda r: _listed(r["key"], "key_bits"))
+        return F.filter(runs, lambda r: _listed(r["key"], "key_bits", _undigited))
 
     close = F.col("_r.end_at") - F.col("_r.start_at") - F.length("_r.key") <= SEPARATOR_WIDTH * F.col("longest")
     words = F.filter(word_array(unmarked(F.col(text)), WORDS, WORD_MARK), lambda x, i: (i % 2 == 1) & (x["p"] != ""))
-    marks = F.transform(w, lambda x, i: F.when(let(F.lower(x["p"]), lambda low: _listed(low, "first_bits")), i + 1))
+    marks = F.transform(w, lambda x, i: F.when(let(F.lower(x["p"]), lambda low: _listed(low, "first_bits", lambda x: F.rtrim(x, F.lit(DIGITS)))), i + 1))
     starts = F.filter(marks, lambda i: i.isNotNull())
     return (
         corpus.join(sketches, keys[0])
@@ -317,7 +321,7 @@ def word_runs(corpus: DataFrame, sketches: DataFrame, keys: list[str], text: str
         .select(*keys, "longest", F.explode(F.flatten(F.transform("_starts", from_start))).alias("_r"))
         .where(close)
         .select(*keys, "_r.*")
-        .withColumn("key", F.explode(F.array_distinct(F.filter(F.array("key", F.rtrim("key", F.lit(DIGITS))), lambda k: k != ""))))
+        .withColumn("key", F.explode(F.when(F.right("key", F.lit(1)).between("0", "9"), F.array("key", _undigited(F.col("key")))).otherwise(F.array("key"))))
     )
 
 
@@ -326,7 +330,7 @@ def sweep(corpus: DataFrame, found: DataFrame, known: DataFrame, keys: list[str]
     session = keys[0]
     known = materialize(known)  # small, and read for the variants, the pairs and the sizes
     forms = materialize(variants(known, session, config, kinds) if kinds else variants(known, session, config))
-    sketches = small(session_sketches(forms, known, session), SMALL_SESSIONS)
+    sketches = small(materialize(session_sketches(forms, known, session)), SMALL_SESSIONS)
     lookup = small(forms.drop("firsts"), SMALL_FORMS)
     places = word_runs(corpus, sketches, keys, text).join(lookup, [session, "key"])
     proposed = (

@@ -79,10 +79,10 @@ NAME_CANDIDATES = f"""SELECT c_custkey AS doc_id, {pick('c_custkey', ['Jennifer
 
 
 @query(
-    "lab_valid_name",
-    f"WITH e AS ({NAME_CANDIDATES})" + name_steps_sql("text", "explicit") + " SELECT doc_id, cap, kept FROM n".replace("cap,", "cap AS captured,"),
+    "valid_name",
+    f"WITH e AS ({NAME_CANDIDATES})" + name_steps_sql("text", "explicit") + " SELECT doc_id, cap AS captured, kept FROM n",
 )
-def lab_valid_name(spark, folder):
+def valid_name(spark, folder):
     kept = L.valid_name(F.col("text"), F.col("explicit"), LEX)
     return view(spark, folder, NAME_CANDIDATES).select("doc_id", F.col("text").alias("captured"), kept.alias("kept")).where("kept is not null")
 
@@ -91,8 +91,8 @@ DATE_CANDIDATES = f"""SELECT o_orderkey AS doc_id, {pick('o_orderkey', ['', '3rd
  {pick('cast(floor(o_orderkey / 5) as bigint)', ['', '-06-21', '-45-01'])} AS value FROM orders"""
 
 
-@query("lab_valid_date", f"SELECT doc_id, value FROM ({DATE_CANDIDATES}) WHERE {VALID_DATE}")
-def lab_valid_date(spark, folder):
+@query("valid_date", f"SELECT doc_id, value FROM ({DATE_CANDIDATES}) WHERE {VALID_DATE}")
+def valid_date(spark, folder):
     return view(spark, folder, DATE_CANDIDATES).where(L.valid_date(F.col("value")))
 
 

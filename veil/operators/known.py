@@ -322,6 +322,7 @@ def word_runs(corpus: DataFrame, sketches: DataFrame, keys: list[str], text: str
         .where(close)
         .select(*keys, "_r.*")
         .withColumn("key", F.explode(F.when(F.right("key", F.lit(1)).between("0", "9"), F.array("key", _undigited(F.col("key")))).otherwise(F.array("key"))))
+        .where(F.col("key") != DIGITS_CUT)
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.llm import decontaminate, mixing, query, tables
+from veil.llm import decontaminate, mixing, query, substrings, tables
 
 
 @query("op3_mixing")
@@ -24,3 +24,9 @@ def op5_decontaminate(spark, folder):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, folder):
+    """What is left of each document when passages of 13 words that a smaller document has are removed."""
+    return substrings.remove_repeats(tables.texts(tables.documents(spark, folder, "doc_id", "text"))).drop("kept")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.llm import decontaminate, mixing, query, substrings, tables
+from veil.llm import decontaminate, mixing, ngram_join, query, substrings, tables
 
 
 @query("op3_mixing")
@@ -30,3 +30,9 @@ def op5_decontaminate(spark, folder):
 def op8_substring_dedup(spark, folder):
     """What is left of each document when passages of 13 words that a smaller document has are removed."""
     return substrings.remove_repeats(tables.texts(tables.documents(spark, folder, "doc_id", "text"))).drop("kept")
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark, folder):
+    """Each document's class of near duplicates and its number of links."""
+    return ngram_join.near_duplicates(tables.texts(tables.documents(spark, folder, "doc_id", "text"))).drop("key", "class_key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.llm import decontaminate, mixing, ngram_join, query, substrings, tables
+from veil.llm import decontaminate, mixing, ngram_join, query, secrets, substrings, tables, winnowing
 
 
 @query("op3_mixing")
@@ -36,3 +36,20 @@ def op8_substring_dedup(spark, folder):
 def op10_ngram_join(spark, folder):
     """Each document's class of near duplicates and its number of links."""
     return ngram_join.near_duplicates(tables.texts(tables.documents(spark, folder, "doc_id", "text"))).drop("key", "class_key")
+
+
+@query("op1_fingerprints")
+def op1_fingerprints(spark, folder):
+    """Winnowing fingerprints of each document and of its edited text."""
+    return winnowing.fingerprints(tables.texts(tables.documents(spark, folder, "doc_id", "text")))
+
+
+@query("op2_secrets")
+def op2_secrets(spark, folder):
+    """Secrets of each document: the fixed formats counted and listed, and all spans."""
+    found = secrets.scan(tables.texts(tables.documents(spark, folder, "doc_id", "text")))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(secrets.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        secrets.listed(F.col("found")).alias("spans"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.llm import chat, decontaminate, mixing, ngram_join, query, secrets, substrings, tables, winnowing
+from veil.llm import chat, decontaminate, mixing, ngram_join, query, secrets, substrings, tables, toxicity, winnowing
 
 
 @query("op3_mixing")
@@ -71,3 +71,11 @@ def op6_chat(spark, folder):
         "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(said).alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"),
         digest("lost").alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, folder):
+    """Probability of each label of the chain for each document, and whether it is rejected as toxic."""
+    docs = tables.texts(tables.documents(spark, folder, "doc_id", "text"))
+    chain = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality", "toxic"))
+    return toxicity.judge(docs, chain).select("doc_id", "p_quality", "p_toxic", F.col("rejected").alias("toxic"))

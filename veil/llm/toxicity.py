@@ -5,7 +5,8 @@ later link also sees the earlier links' log-odds. For training these come from m
 (out-of-fold), as they do when the chain is applied; the models applied are trained on all rows.
 
 Models are fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of their id. Features are words and beginnings of
-words, the ``FEATURES`` that separate a label best by their smoothed log-odds over its standard error. The decision's
+words, the ``FEATURES`` that separate a label best by their smoothed log-odds over its standard error; each enters a model
+with the size of its log-odds, so that a telling word costs little of the penalty on weights. The decision's
 threshold is the one with the best F1 on out-of-fold predictions. Applying the chain is one pass without a shuffle.
 """
 
@@ -24,7 +25,7 @@ from veil.llm import words as W
 from veil.session import materialize
 
 #: Labelled rows the chain is fitted on, at most; features for each label; folds.
-SAMPLE, FEATURES, FOLDS = 20_000, 2048, 4
+SAMPLE, FEATURES, FOLDS = 20_000, 512, 4
 PREFIX_BYTES = 6
 CHAIN = ("quality", "toxic")
 _MASK = np.uint64((1 << 18) - 1)
@@ -92,8 +93,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(owner: np.ndarray, feature: np.ndarray, n_features: int, chain: np.ndarray, y: np.ndarray, steps: int = 150, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression on sparse 0/1 features and a few dense ones, by accelerated gradient descent."""
+def fit_linear(owner: np.ndarray, feature: np.ndarray, n_features: int, chain: np.ndarray, y: np.ndarray, size: np.ndarray, steps: int = 200, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression on sparse features, each 0 or its ``size``, and a few dense ones, by accelerated gradient descent."""
     n = max(len(y), 1)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1.0)
@@ -102,16 +103,17 @@ def fit_linear(owner: np.ndarray, feature: np.ndarray, n_features: int, chain: n
     dense = chain / scale
     beta = np.zeros(n_features + dense.shape[1] + 1)
     ahead, t = beta.copy(), 1.0
-    most = np.bincount(owner, minlength=len(y)).max(initial=0) + dense.shape[1] + 1
+    value = size[feature]
+    most = np.bincount(owner, weights=value * value, minlength=len(y)).max(initial=0) + dense.shape[1] + 1
     rate = 4.0 / (most * 0.5 + 1)  # of the curvature bound; raised below while the loss falls
     penalty = np.full(len(beta), l2)
     penalty[-1] = 0
 
     def gradient(b):
-        z = np.bincount(owner, weights=b[feature], minlength=len(y)) + dense @ b[n_features:-1] + b[-1]
+        z = np.bincount(owner, weights=b[feature] * value, minlength=len(y)) + dense @ b[n_features:-1] + b[-1]
         loss = np.mean(np.logaddexp(0, z) - y * z) + 0.5 * (penalty * b * b).sum()
         r = (sigmoid(z) - y) / n
-        return loss, np.concatenate([np.bincount(feature, weights=r[owner], minlength=n_features), dense.T @ r, [r.sum()]]) + penalty * b
+        return loss, np.concatenate([np.bincount(feature, weights=r[owner] * value, minlength=n_features), dense.T @ r, [r.sum()]]) + penalty * b
 
     last = np.inf
     for _ in range(steps):
@@ -125,7 +127,7 @@ def fit_linear(owner: np.ndarray, feature: np.ndarray, n_features: int, chain: n
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = new + (t - 1) / t_new * (new - beta)
         beta, t, rate = new, t_new, rate * 1.05
-    return beta[:n_features], beta[n_features:-1] / scale, float(beta[-1])
+    return beta[:n_features] * size, beta[n_features:-1] / scale, float(beta[-1])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...], rows: int) -> DataFrame:
@@ -158,13 +160,19 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, rows
     ys = [f"y{i}" for i in range(len(chain))]
     counted = materialize(sample.mapInArrow(count, ", ".join(["f long", "n long", *[f"{y} long" for y in ys]])).groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).where("n >= 3"))
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(y) for c, y in zip(chain, ys)]).first()
-    chosen: set[int] = set()
+    chosen: dict[int, tuple] = {}
     for y in ys:
         a, b = F.col(y) + 0.5, F.col("n") - F.col(y) + 0.5
         c, d = F.lit(totals[y] + 1.0) - F.col(y), F.lit(totals["n"] - totals[y] + 1.0) - (F.col("n") - F.col(y))
         z = F.abs(F.log(a / b * d / c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-        chosen |= {r["f"] for r in counted.orderBy(z.desc(), "f").limit(features).select("f").collect()}
-    lookup = Lookup(np.sort(np.array(sorted(chosen), np.int64).view(np.uint64)))
+        chosen |= {r["f"]: tuple(r) for r in counted.orderBy(z.desc(), "f").limit(features).collect()}
+    known = np.array(sorted(chosen), np.int64).view(np.uint64)
+    lookup = Lookup(np.sort(known))
+    stats = np.array([chosen[f] for f in lookup.known.view(np.int64).tolist()], float).reshape(-1, 2 + len(ys))
+
+    def sizes(i: int) -> np.ndarray:
+        n, one = stats[:, 1], stats[:, 2 + i]
+        return np.abs(np.log((one + 0.5) / (n - one + 0.5) * (totals["n"] - totals[ys[i]] + 1.0) / (totals[ys[i]] + 1.0)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, rows
     fold = (W.mix(table.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(FOLDS)).astype(int) if len(x) else np.zeros(0, int)
     links: list[Link] = []
     held: list[np.ndarray] = []  # out-of-fold log-odds
-    for name in chain:
+    for i, name in enumerate(chain):
+        size = sizes(i)
         y = table.column(name).to_numpy().astype(float)
         before = np.stack(held, axis=1) if held else np.zeros((len(x), 0))
         out = np.zeros(len(x))
@@ -189,10 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, rows
             inside, outside = fold != k, fold == k
             new = np.cumsum(inside) - 1
             own = inside[owner]
-            w, c, b = fit_linear(new[owner[own]], feature[own], n_features, before[inside], y[inside])
+            w, c, b = fit_linear(new[owner[own]], feature[own], n_features, before[inside], y[inside], size)
             out[outside] = (b + np.bincount(owner, weights=w[feature], minlength=len(x)) + before @ c)[outside]
         held.append(out)
-        links.append(Link(name, *fit_linear(owner, feature, n_features, before, y)))
+        links.append(Link(name, *fit_linear(owner, feature, n_features, before, y, size)))
     return Chain(lookup, links, _threshold(sigmoid(held[-1]), y))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from veil.llm import graph
 from veil.llm import words as W
-from veil.llm.tables import parts
+from veil.llm.tables import hidden, parts
 from veil.session import materialize
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -235,8 +235,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents without words all stay; of rows that repeat an id and a text one stays.
     """
-    own = docs.columns
+    docs, restore = hidden(docs, id_col, text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keep = near_duplicates(slim, **options).where("doc_id <=> class_id and key = class_key").select(F.col("doc_id").alias("_keep_id"), F.col("key").alias("_keep_key")).distinct()
     rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.col(text_col).cast("string"))})
-    return rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_key") == F.col("_keep_key"))).dropDuplicates(["_id", "_key"]).select(*own)
+    return restore(rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_key") == F.col("_keep_key"))).dropDuplicates(["_id", "_key"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,3 +20,10 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def parts(df: DataFrame, at_least: int = 1) -> int:
     """Shuffle partitions of the session."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hidden(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but the needed ones under names no operator uses, and what gives them their names back."""
+    names = {c: c if c in needed else f"_c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return inner, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])

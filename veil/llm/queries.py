@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.llm import chat, decontaminate, mixing, ngram_join, query, secrets, substrings, tables, toxicity, winnowing
+from veil.llm import chat, decontaminate, language, mixing, ngram_join, query, secrets, substrings, tables, toxicity, winnowing
 
 
 @query("op3_mixing")
@@ -79,3 +79,12 @@ def op9_toxicity(spark, folder):
     docs = tables.texts(tables.documents(spark, folder, "doc_id", "text"))
     chain = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality", "toxic"))
     return toxicity.judge(docs, chain).select("doc_id", "p_quality", "p_toxic", F.col("rejected").alias("toxic"))
+
+
+@query("op7_language")
+def op7_language(spark, folder):
+    """Language of each document by models of the documents whose fold is 0 or 1, calibrated on those of fold 3."""
+    docs = tables.documents(spark, folder, "doc_id", "text", "lang").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4)
+    model = language.calibrate(language.train(docs.where("fold in (0, 1)")), docs.where("fold = 3"))
+    held_out = F.coalesce(F.col("fold") == 2, F.lit(False)).alias("held_out")
+    return language.identify(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score", "bits", "accepted")

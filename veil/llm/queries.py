@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.llm import chat, decontaminate, language, mixing, ngram_join, query, secrets, substrings, tables, toxicity, winnowing
+from veil.llm import chat, decontaminate, language, licenses, mixing, ngram_join, query, secrets, substrings, tables, toxicity, winnowing
 
 
 @query("op3_mixing")
@@ -88,3 +88,10 @@ def op7_language(spark, folder):
     model = language.calibrate(language.train(docs.where("fold in (0, 1)")), docs.where("fold = 3"))
     held_out = F.coalesce(F.col("fold") == 2, F.lit(False)).alias("held_out")
     return language.identify(docs.select("doc_id", held_out, "text"), model).select("doc_id", "held_out", "lang_pred", "score", "bits", "accepted")
+
+
+@query("op4_licenses")
+def op4_licenses(spark, folder):
+    """License notices of each document, by family."""
+    docs = tables.texts(tables.documents(spark, folder, "doc_id", "text"))
+    return licenses.scan(docs, licenses.fit(docs))

@@ -31,9 +31,9 @@ def _front(a: Column, n: int) -> Column:
     return F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
 
 
-def _joined(a: Column, b: Column, apart: int, factor: int) -> Column:
-    """Polynomials of runs that begin ``apart`` words apart, put together."""
-    return F.zip_with(_front(a, apart), _shift(b, apart), lambda x, y: (x * F.lit(factor) + y) % F.lit(_PRIME))
+def _joined(a: Column, b: Column, length: int, more: int, factor: int) -> Column:
+    """Polynomials ``a`` of runs of ``length`` words and ``b`` of the ``more`` words behind them, put together."""
+    return F.zip_with(_front(a, more), _shift(b, length), lambda x, y: (x * F.lit(factor) + y) % F.lit(_PRIME))
 
 
 def _grams(hashes: Column) -> Column:
@@ -41,7 +41,7 @@ def _grams(hashes: Column) -> Column:
     power = [pow(_BASE, i, _PRIME) for i in range(K)]
 
     def full(h):
-        return let(_joined(h, h, 1, power[1]), lambda two: let(_joined(two, two, 2, power[2]), lambda four: _joined(four, _shift(h, 0), 4, power[1])))
+        return let(_joined(h, h, 1, 1, power[1]), lambda two: let(_joined(two, two, 2, 2, power[2]), lambda four: _joined(four, h, 4, 1, power[1])))
 
     def few(h):
         return F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a * F.lit(_BASE) + x) % F.lit(_PRIME)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.llm import chat, decontaminate, language, licenses, mixing, ngram_join, query, secrets, substrings, tables, toxicity, winnowing
+from veil.llm import chat, decontaminate, language, licenses, mixing, ngram_join, query, secrets, sql, substrings, tables, toxicity, winnowing
 
 
 @query("op3_mixing")
@@ -14,7 +14,7 @@ def op3_mixing(spark, folder):
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-@query("op5_decontaminate")
+@query("op5_decontaminate", sql.DECONTAMINATE)
 def op5_decontaminate(spark, folder):
     """Words of each document that stand in a window of 13 words of a benchmark item."""
     bench = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text")
@@ -26,13 +26,13 @@ def op5_decontaminate(spark, folder):
     )
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", sql.REPEATS)
 def op8_substring_dedup(spark, folder):
     """What is left of each document when passages of 13 words that a smaller document has are removed."""
     return substrings.remove_repeats(tables.texts(tables.documents(spark, folder, "doc_id", "text"))).drop("kept")
 
 
-@query("op10_ngram_join")
+@query("op10_ngram_join", sql.NGRAM_JOIN)
 def op10_ngram_join(spark, folder):
     """Each document's class of near duplicates and its number of links."""
     return ngram_join.near_duplicates(tables.texts(tables.documents(spark, folder, "doc_id", "text"))).drop("key", "class_key")
@@ -55,7 +55,7 @@ def op2_secrets(spark, folder):
     )
 
 
-@query("op6_chat")
+@query("op6_chat", sql.CHAT)
 def op6_chat(spark, folder):
     """All conversations formatted, and one that holds control strings; digests of what is read back from the output."""
     own = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from veil.llm import words as W
 from veil.llm.tables import parts
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 3
 #: Packed strings a task holds before it sends them, in bytes.
 FLUSH_BYTES = 24 << 20
+LEVEL = 6
 #: Documents sampled for common minimisers, and the share of them from which a minimiser counts as common.
 SAMPLE_ROWS, COMMON = 4000, 0.004
 #: A null id counts as the largest.
@@ -86,13 +87,15 @@ class _Sender:
             have[2].add(place)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=LEVEL)
         by: dict[int, list] = {}
         for text, (bucket, doc, places) in self.best.items():
             by.setdefault(bucket, []).extend((text, doc, key, first) for key, first, _ in sorted(places))
         for bucket, items in by.items():
-            head = np.array([(doc, key, first, len(text)) for text, doc, key, first in items], np.int64).T
-            blob = pack.compress(head.tobytes() + b"".join(x[0] for x in items))
+            doc = np.array([x[1] for x in items], np.int64)
+            head = np.array([(key, first, len(text)) for text, _, key, first in items], np.int32).T
+            # ids as differences: within a task they are near each other as a rule
+            blob = pack.compress(np.diff(doc, prepend=np.int64(0)).tobytes() + head.tobytes() + b"".join(x[0] for x in items))
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(items)], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "n", "blob"])
         if self.marked:
             blob = pack.compress(np.array(self.marked, np.int64).tobytes())
@@ -138,8 +141,9 @@ def _bucket(blobs: list[tuple[int, bytes]], window: int) -> Iterator[np.ndarray]
         if not n:
             yield np.frombuffer(raw, np.int64).reshape(-1, 4)
             continue
-        heads.append(np.frombuffer(raw, np.int64, 4 * n).reshape(4, n))
-        texts.append(raw[32 * n :])
+        head = np.frombuffer(raw, np.int32, 3 * n, offset=8 * n).reshape(3, n)
+        heads.append(np.stack([np.cumsum(np.frombuffer(raw, np.int64, n)), *head.astype(np.int64)]))
+        texts.append(raw[20 * n :])
     if not heads:
         return
     doc, key, first, size = np.concatenate(heads, axis=1)
@@ -199,7 +203,7 @@ def _meet(window: int) -> object:
             pairs = found[:, 2:].astype(np.int32)
             blobs = [pairs[a:b].tobytes() for a, b in zip(new.tolist(), [*new[1:].tolist(), len(found)])]
             doc = found[new, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == _LAST), pa.array(found[new, 1]), pa.array(blobs, pa.binary())], ["m_id", "m_key", "ranges"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == _LAST), pa.array(found[new, 1].astype(np.int32)), pa.array(blobs, pa.binary())], ["m_id", "m_key", "ranges"])
 
     return run
 
@@ -269,10 +273,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     from each other; a null id counts as the largest. An empty table gives an empty result.
     """
     buckets = 4 * parts(docs)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    keyed = docs.select("doc_id", "text", F.hash("text").alias("key"))
     common = docs.sparkSession.sparkContext.broadcast(common_minimisers(docs, window))
     packed = keyed.mapInArrow(_send(buckets, window, common), "bucket int, n int, blob binary")
-    ranges = packed.repartition(parts(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(window), "m_id long, m_key long, ranges binary")
+    ranges = packed.repartition(parts(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(window), "m_id long, m_key int, ranges binary")
     ranges = ranges.groupBy("m_id", "m_key").agg(F.collect_set("ranges").alias("ranges"))
     marked = keyed.join(ranges, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left").select("doc_id", "text", "ranges")
     return marked.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

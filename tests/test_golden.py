@@ -3,6 +3,7 @@
 import pytest
 
 from veil import Config
+from veil.lexicons import COMMON_FIRST_NAMES, Lexicons
 from veil.operators.detect import detect, text_rules
 from veil.operators.encoded import detect_encoded, drop_in_base64
 from veil.operators.resolve import select_findings
@@ -58,7 +59,7 @@ CASES = {
 @pytest.fixture(scope="module")
 def results(spark):
     texts = spark.createDataFrame(list(enumerate(CASES)), "doc_id bigint, text string")
-    config = Config(detectors={"PERSON": True})
+    config = Config(detectors={"PERSON": True}, lexicons=Lexicons(first_names=(*COMMON_FIRST_NAMES, "jane", "priya")))
     keys = ["doc_id"]
     raw = detect(texts, text_rules(config, spark), keys, config)
     raw = raw.unionByName(detect_encoded(texts, keys, config, spark)).unionByName(detect_tables(texts, keys))

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from veil.sources.tables import register, spread
 
+# Patterns of the checking engine, written for it and not taken from the rules.
+EMAIL_RE2 = (
+    r"[\p{L}0-9._%+\-]+[ ]?@[ ]?[\p{L}0-9\-]+(?:[ ][\p{Ll}0-9\-]+)?"
+    r"(?:(?:\.[\p{L}0-9\-]+|[ ]\.[ ]?[\p{Ll}0-9\-]+|\.[ ][\p{Ll}0-9\-]+)(?:[ ][\p{Ll}0-9\-]+)?)*"
+    r"(?:\.[\p{L}]{2,}|[ ]\.[ ]?[\p{Ll}]{2,}|\.[ ][\p{Ll}]{2,})"
+)
+PRIVATE_KEY_RE2 = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+CONNECTION_RE2 = r"\b[a-z][a-z0-9+]+://[^\s:/@\"\x27<>]+:[^\s/@\"\x27<>]+@[^\s\"\x27<>&]+"
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 

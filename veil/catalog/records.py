@@ -88,14 +88,14 @@ def src_conversations(spark, folder):
 
 
 METHOD = pick("event_id", ["tools/call", "tools/list", "initialize", "resources/read", "prompts/get", "ping"])
-REQUESTS = f"SELECT event_id AS id, {METHOD} AS method FROM events"
-REPLIES = "SELECT event_id + 3 AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE props END AS result FROM events"
+REQUESTS = f"SELECT event_id % 7 AS session_id, cast(floor(event_id / 7) AS bigint) AS id, {METHOD} AS method FROM events"
+REPLIES = "SELECT event_id % 7 AS session_id, cast(floor(event_id / 7) AS bigint) + 3 AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE props END AS result FROM events"
 
 
 @query(
     "src_data_methods",
-    f"""SELECT r.id, r.result, q.method, CASE WHEN r.result IS NULL OR q.method IS NULL THEN 'pass' WHEN q.method = 'tools/list' THEN 'descriptions' ELSE 'data' END AS route
- FROM ({REPLIES}) r LEFT JOIN (SELECT * FROM ({REQUESTS}) WHERE method IN ('tools/call', 'tools/list', 'resources/read', 'prompts/get')) q ON q.id = r.id""",
+    f"""SELECT r.session_id, r.id, r.result, q.method, CASE WHEN r.result IS NULL OR q.method IS NULL THEN 'pass' WHEN q.method = 'tools/list' THEN 'descriptions' ELSE 'data' END AS route
+ FROM ({REPLIES}) r LEFT JOIN (SELECT * FROM ({REQUESTS}) WHERE method IN ('tools/call', 'tools/list', 'resources/read', 'prompts/get')) q ON q.id = r.id AND q.session_id = r.session_id""",
 )
 def src_data_methods(spark, folder):
     requests = view(spark, folder, REQUESTS, "id")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veil.catalog import views as V
-from veil.catalog.base import luhn_sql, matches_sql, pad, pick, query, re2, view
+from veil.catalog.base import EMAIL_RE2, luhn_sql, matches_sql, pad, pick, query, re2, view
 from veil.catalog.detectors import BY_KEY, DIGITS, ONLY_DIGITS
 from veil.catalog.scoring import LEVEL_SQL, scored_sql
 from veil.config import Config
@@ -39,7 +39,7 @@ query("redact_corpus")(flagship)
 
 # ---- findings of the documents, one session per language
 _ONE = {
-    "EMAIL": (re2(R.EMAIL), "text", "true", "structural"),
+    "EMAIL": (EMAIL_RE2, "text", "true", "structural"),
     "IPV4": (re2(R.IPV4), "text", "true", "shape"),
     "CREDIT_CARD": (r"\b\d(?:[ \-]?\d){12,18}\b", ONLY_DIGITS, f"length({DIGITS}) BETWEEN 13 AND 19 AND {luhn_sql(DIGITS)}", "checksum"),
 }
@@ -198,7 +198,7 @@ def src_mentions(spark, folder):
     f"""WITH p AS ({PROMPTS}), fl AS (SELECT * FROM ({FILES}) WHERE size <= 2097152),
 m AS (SELECT DISTINCT prompt_id, path FROM (SELECT prompt_id, unnest(['docs/f' || cast(prompt_id % 300 AS string) || '.txt', 'docs/f' || cast(prompt_id % 7 AS string) || '.txt']) AS path FROM p)),
 t AS (SELECT prompt_id, 'your prompt' AS place, prompt AS text FROM p UNION ALL SELECT prompt_id, '@' || path, content FROM m JOIN fl USING (path)),
-h AS (SELECT prompt_id, place, unnest(regexp_extract_all(text, '{re2(R.EMAIL)}')) AS value FROM t),
+h AS (SELECT prompt_id, place, unnest(regexp_extract_all(text, '{EMAIL_RE2}')) AS value FROM t),
 d AS (SELECT prompt_id, count(DISTINCT place || ' ' || lower(value)) AS n_values, count(*) AS n_hits FROM h GROUP BY prompt_id)
 SELECT p.prompt_id, CASE WHEN d.prompt_id IS NULL THEN 'allow' ELSE 'block' END AS verdict, coalesce(n_values, 0) AS n_values, coalesce(n_hits, 0) AS n_hits FROM p LEFT JOIN d ON d.prompt_id = p.prompt_id""",
 )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veil.catalog import views as V
-from veil.catalog.base import luhn_sql, matches_sql, pad, query, quoted, re2, spans_out, view
+from veil.catalog.base import EMAIL_RE2, luhn_sql, matches_sql, pad, query, quoted, re2, spans_out, view
 from veil.catalog.detectors import BY_KEY, DIGITS, ONLY_DIGITS
 from veil.config import Config, resolve_detectors
 from veil.operators import rules as R
@@ -130,7 +130,7 @@ def confidence_catalog(spark, folder):
 
 
 # ---- filters
-EMAILS_SQL = matches_sql(V.DOCS, re2(R.EMAIL)) + ", f AS (SELECT *, 'EMAIL' AS type, 'structural' AS via FROM e)"
+EMAILS_SQL = matches_sql(V.DOCS, EMAIL_RE2) + ", f AS (SELECT *, 'EMAIL' AS type, 'structural' AS via FROM e)"
 FILTER_OUT = "SELECT doc_id, start_at, start_at + length(value) AS end_at, 'EMAIL' AS type, value, 'structural' AS via FROM f"
 
 
@@ -247,8 +247,8 @@ _REGION_SQL = (
     "enc_percent_entity",
     _REGION_SQL
     + f""" SELECT doc_id, start_at, start_at + length(value) AS end_at,
- CASE WHEN regexp_matches(decoded, '{re2(R.EMAIL)}') THEN 'EMAIL' ELSE 'PHONE' END AS type, decoded AS value, 'structural' AS via FROM d
- WHERE decoded <> value AND (regexp_matches(decoded, '{re2(R.EMAIL)}') OR regexp_matches(decoded, '\\+27\\d{{9}}'))""",
+ CASE WHEN regexp_matches(decoded, '{EMAIL_RE2}') THEN 'EMAIL' ELSE 'PHONE' END AS type, decoded AS value, 'structural' AS via FROM d
+ WHERE decoded <> value AND (regexp_matches(decoded, '{EMAIL_RE2}') OR regexp_matches(decoded, '\\+27\\d{{9}}'))""",
 )
 def enc_percent_entity(spark, folder):
     return spans_out(detect_encoded(view(spark, folder, ENCODED), ["doc_id"], Config(), spark, kinds=("ESCAPED",)))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veil.catalog.audit import PLANS, USAGE
-from veil.catalog.base import query, re2, spans_out, spans_sql, view
+from veil.catalog.base import EMAIL_RE2, query, re2, spans_out, spans_sql, view
 from veil.catalog.records import METHOD
 from veil.catalog.redaction import CONV, NOTICE, masked_sql, token_steps
 from veil.catalog.views import DOCS
@@ -26,17 +26,21 @@ def usage_stream(spark, folder):
     return stream_of(spark, folder, "events").select(F.col("user_id").alias("tenant"), "ts", (F.col("event_id") % 3 + 1).alias("used"))
 
 
-@query("src_ndjson_stream", f"SELECT event_id AS id, {METHOD} AS method, props AS params FROM events WHERE event_id % 7 <> 0")
+@query("src_ndjson_stream", f"SELECT CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'r-' || cast(event_id AS string) ELSE cast(event_id AS string) END AS id, {METHOD} AS method, props AS params FROM events WHERE event_id % 7 <> 0")
 def src_ndjson_stream(spark, folder):
-    """JSON lines, every seventh of them cut off."""
+    """JSON lines with ids of several kinds, or none; every seventh line is cut off."""
     events = view(spark, folder, f"SELECT event_id, {METHOD} AS method, props FROM events", "event_id")
-    line = F.to_json(F.struct(F.col("event_id").alias("id"), "method", F.col("props").alias("params")))
+    rest = ("method", F.col("props").alias("params"))
+    named = F.concat(F.lit("r-"), F.col("event_id").cast("string")).alias("id")
+    line = F.when(F.col("event_id") % 5 == 0, F.to_json(F.struct(*rest))).when(F.col("event_id") % 5 == 1, F.to_json(F.struct(named, *rest))).otherwise(
+        F.to_json(F.struct(F.col("event_id").alias("id"), *rest))
+    )
     path = scratch(spark, "lines")
     events.select(F.when(F.col("event_id") % 7 == 0, F.left(line, F.length(line) - 9)).otherwise(line).alias("value")).write.mode("overwrite").text(path)
     return J.run_available(read_ndjson_stream(spark, path), "ndjson").select("id", "method", "params")
 
 
-@query("str_detect", spans_sql(DOCS, re2(R.EMAIL), "'EMAIL'", "'structural'"))
+@query("str_detect", spans_sql(DOCS, EMAIL_RE2, "'EMAIL'", "'structural'"))
 def str_detect(spark, folder):
     docs = stream_of(spark, folder, "documents").select("doc_id", "text")
     return spans_out(J.run_available(J.detect_stream(docs, Config.only("EMAIL"), ["doc_id"]), "detect"))
@@ -152,7 +156,8 @@ SELECT q.id, method, result FROM q JOIN r ON q.id = r.id AND reply_ts >= asked_t
 def str_request_reply(spark, folder):
     """Every event asks; the next one answers it, some of them too late."""
     events = stream_of(spark, folder, "events")
-    requests = events.select(F.col("event_id").alias("id"), F.expr(METHOD).alias("method"), F.col("ts").alias("asked_ts"))
+    session = (F.col("event_id") % 1 == 0).alias("session_id")
+    requests = events.select(session, F.col("event_id").alias("id"), F.expr(METHOD).alias("method"), F.col("ts").alias("asked_ts"))
     delay = F.when(F.col("event_id") % 5 == 0, F.expr("interval 2 hours")).otherwise(F.expr("interval 0 hours"))
-    replies = events.select((F.col("event_id") - 1).alias("id"), F.col("props").alias("result"), (F.col("ts") + delay).alias("reply_ts"))
+    replies = events.select(session, (F.col("event_id") - 1).alias("id"), F.col("props").alias("result"), (F.col("ts") + delay).alias("reply_ts"))
     return J.run_available(J.pair_replies(requests, replies), "pairs").select("id", "method", "result")

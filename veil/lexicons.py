@@ -1,7 +1,7 @@
 """Word lists. The short ones are stated here; the long ones are parameters.
 
-``Lexicons()`` carries a starter set of given names and of capitalised words that are not names. A
-deployment passes its own full lists, from Python or from one-column tables::
+``Lexicons()`` carries public lists of frequent given names and of function words, and a few words of
+letters. A deployment passes its own full lists, from Python or from one-column tables::
 
     Lexicons.from_tables(spark, first_names="s3://.../names", stopwords="s3://.../words")
 
@@ -24,39 +24,47 @@ SWEEP_STOPWORDS = (
     "miller turner taylor wood field hill moore shaw stone wolf fox bell"
 ).split()
 
-# Starter given names; replace with a full list for production.
-STARTER_FIRST_NAMES = (
-    "adam alan alex amara amina amit ana andrew anna anthony arjun ayesha benjamin bongani brian carlos chen "
-    "chioma daniel david deepak diego dmitri edward elena elizabeth emily emma fatima felix francisco gabriel "
-    "george grace greta hana hannah hassan helen henry hiroshi hugo ibrahim imran ingrid ivan jacob james jane "
-    "javier jennifer jessica joan johan john jose joseph juan julia karen kavya kenji kofi kwame lars laura "
-    "lerato li linda lindiwe lisa lucas lucy luis luke mandla marcus maria mariam mark martha mary mateo "
-    "matthew mei michael miguel ming mohit musa naledi nancy neha ngozi nicholas nkosi noah nomsa olga olivia "
-    "omar oscar patricia patrick paul pedro peter philip pieter pooja precious priya rachel rahul raj ravi "
-    "rebecca richard robert rohan rohit ruby ryan sakura samuel sanjay sara sarah sean sibusiso simon sipho "
-    "sofia sophia stefan stephen steven susan thabo thandiwe themba thomas tiago tunde victor victoria wanjiru "
-    "wei william xolani yan yuki yusuf zainab zanele zara zoe"
+# The most frequent given names of the last hundred years in the United States, men's then women's, in the order of the Social
+# Security Administration's public table. A default that says where it comes from, not a list of all names.
+COMMON_FIRST_NAMES = (
+    "james michael robert john david william richard joseph thomas christopher charles daniel matthew anthony mark "
+    "steven donald andrew joshua paul kenneth kevin brian timothy ronald jason george edward jeffrey ryan jacob "
+    "nicholas gary eric jonathan stephen larry justin benjamin scott brandon samuel gregory alexander patrick frank "
+    "jack raymond dennis tyler aaron jerry jose nathan adam henry zachary douglas peter noah kyle ethan christian "
+    "jeremy keith austin sean roger terry walter dylan gerald carl jordan bryan gabriel jesse harold lawrence logan "
+    "arthur bruce billy elijah joe alan juan liam willie mason albert randy wayne vincent lucas caleb luke bobby "
+    "isaac bradley "
+    "mary patricia jennifer linda elizabeth barbara susan jessica karen sarah lisa nancy sandra ashley emily kimberly "
+    "betty margaret donna michelle carol amanda melissa deborah stephanie rebecca sharon laura cynthia dorothy amy "
+    "kathleen angela shirley emma brenda pamela nicole anna samantha katherine christine debra rachel carolyn janet "
+    "maria olivia heather helen catherine diane julie victoria joyce lauren kelly christina ruth joan virginia judith "
+    "evelyn hannah andrea megan cheryl jacqueline madison teresa abigail sophia martha sara gloria janice kathryn ann "
+    "isabella judy charlotte julia grace amber alice jean denise frances danielle marilyn natalie beverly diana "
+    "brittany theresa kayla alexis doris lori tiffany"
 ).split()
 
-# Function and document words that begin or end a capitalised run without being part of a name.
-STARTER_STOPWORDS = (
-    "the a an and or but if then this that these those here there of to for in on at by with as is are was "
-    "were be been i we you he she it they my our your his her their its please thanks thank hello hi hey "
-    "dear regards best sincerely kind yours mr mrs ms dr prof sir madam miss mx project invoice ticket account "
-    "server company team support code ref reference client customer patient user contact member employee staff "
-    "name email mobile phone call re north south east west street road avenue city state floor court suite "
-    "building block unit standard bank system document version draft details description item overview summary "
-    "scope background purpose solution platform payment product service services table figure section chapter "
-    "page note status date type title role department division manager director officer analyst engineer "
-    "applicant witness recipient sender signature signed prepared reviewed approved policy process report"
+# Function words, in the order of the Snowball project's public English list.
+FUNCTION_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it "
+    "its itself they them their theirs themselves what which who whom this that these those am is are was were be been "
+    "being have has had having do does did doing would should could ought a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off "
+    "over under again further then once here there when where why how all any both each few more most other some such no "
+    "nor not only own same so than too very"
+).split()
+# Words this package's authors met beside names in letters and forms.
+LETTER_WORDS = (
+    "please thanks greetings sincerely cheers enclosed attached urgent fwd subject "
+    "bank hospital university college airport hotel ministry library museum church "
+    "form letter receipt statement contract schedule appendix chapter paragraph column"
 ).split()
 CALENDAR_WORDS = [w.lower() for w in (*calendar.day_name, *calendar.month_name) if w]
 
 
 @dataclass(frozen=True)
 class Lexicons:
-    first_names: tuple[str, ...] = field(default_factory=lambda: tuple(STARTER_FIRST_NAMES))
-    stopwords: tuple[str, ...] = field(default_factory=lambda: tuple(STARTER_STOPWORDS + CALENDAR_WORDS))
+    first_names: tuple[str, ...] = field(default_factory=lambda: tuple(COMMON_FIRST_NAMES))
+    stopwords: tuple[str, ...] = field(default_factory=lambda: tuple(dict.fromkeys(FUNCTION_WORDS + LETTER_WORDS + HONORIFICS + CALENDAR_WORDS)))
     honorifics: tuple[str, ...] = field(default_factory=lambda: tuple(HONORIFICS))
     sweep_stopwords: tuple[str, ...] = field(default_factory=lambda: tuple(SWEEP_STOPWORDS))
 

@@ -16,14 +16,14 @@ from veil.operators.spans import Rule, find_spans
 ESCAPED = r"(?<![A-Za-z0-9%+._~@-])[A-Za-z0-9%+._~@-]*(?:%[0-9A-Fa-f]{2}|&#\d{2,4};)[A-Za-z0-9%+._~@;#&-]*"
 AT_WORD = r"\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+"
 DOT_WORD = r"\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+"
-SPELLED = rf"[A-Za-z0-9._%+-]+(?:{AT_WORD})[A-Za-z0-9.-]+(?:(?:{DOT_WORD})[A-Za-z0-9-]+)+"
+SPELLED = rf"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+(?:{AT_WORD})[A-Za-z0-9.-]+(?:(?:{DOT_WORD})[A-Za-z0-9-]++)++"
 BASE64 = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/=])"
 BASE64_RUN = r"[A-Za-z0-9+/]{64,}={0,2}"
 SHAPE_ONLY = ("shape", "sa_id_weak", "honorific")
 MIN_DECODED, PRINTABLE = 8, 0.95
 
 HAS_ESCAPE = has(r"%[0-9A-Fa-f]{2}|&#[0-9]{2,4};")
-HAS_SPELLED = has(r"(?i)[\s\])]dot[\s\])]|[\[(]\s*dot")
+HAS_SPELLED = has(java(r"[\s\])]dot[\s\])]|[\[(]\s*dot", "i"))
 REGION_RULES = [
     Rule("ESCAPED", ESCAPED, guard=HAS_ESCAPE),
     Rule("SPELLED", SPELLED, "i", guard=HAS_SPELLED),

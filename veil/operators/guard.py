@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veil.operators.tokens import distinct_findings
 
-MAX_MENTION_BYTES = 2 * 1024 * 1024
+MAX_MENTION_BYTES = 2 * 1024 * 1024  # files beyond it are reported, not read; None reads all
 MENTION = r"(?:^|[\s])@(\S+)"
 
 
@@ -21,17 +21,22 @@ def mentions(prompts: DataFrame, keys: list[str], text: str = "prompt") -> DataF
     )
 
 
-def join_mentions(prompts: DataFrame, files: DataFrame, keys: list[str], text: str = "prompt") -> DataFrame:
-    """Texts to inspect per prompt: the prompt itself and every mentioned file of at most 2 MiB.
+def join_mentions(prompts: DataFrame, files: DataFrame, keys: list[str], text: str = "prompt", most_bytes: int | None = MAX_MENTION_BYTES) -> DataFrame:
+    """Texts to inspect per prompt: the prompt itself and every mentioned file of at most ``most_bytes``.
 
-    ``files``: path, size, content. Result: ``keys, where, text``.
+    ``files``: path, size, content. Result: ``keys, where, text``. ``skipped_mentions`` lists the files left out.
     """
     own = prompts.select(*keys, F.lit("your prompt").alias("where"), F.col(text).alias("text"))
-    small = files.where(F.col("size") <= MAX_MENTION_BYTES).select("path", "content")
+    small = (files if most_bytes is None else files.where(F.col("size") <= most_bytes)).select("path", "content")
     named = mentions(prompts, keys, text).distinct().join(small, "path")
     return own.unionByName(named.select(*keys, F.concat(F.lit("@"), "path").alias("where"), F.col("content").alias("text")))
 
 
+def skipped_mentions(prompts: DataFrame, files: DataFrame, keys: list[str], text: str = "prompt", most_bytes: int = MAX_MENTION_BYTES) -> DataFrame:
+    """Mentioned files that are too large to be read: ``keys, path, size``."""
+    return mentions(prompts, keys, text).distinct().join(files.where(F.col("size") > most_bytes).select("path", "size"), "path").select(*keys, "path", "size")
+
+
 def verdicts(findings: DataFrame, prompts: DataFrame, keys: list[str], mode: str = "block", gate_open: Column | None = None) -> DataFrame:
     """Per prompt: block, warn or allow, with a summary of types, levels, counts and reasons but no values."""
     per_value = distinct_findings(findings, [*keys, "where"], "start_at")

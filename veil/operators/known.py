@@ -32,7 +32,6 @@ URLISH = (
 )
 ZONE_HINT = has(r"(?i)/|www\.|\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)(?![a-z0-9_])")
 SEPARATOR = "(?:%[0-9A-Fa-f]{2}|[^A-Za-z0-9]){0,3}"
-PAIRED_NAMES = 8  # single names of a session that are tried as first and last name
 SEPARATOR_WIDTH = 9  # three percent-escapes
 WORDS = r"(%[0-9A-Fa-f]{2})|([\p{L}\p{M}\p{N}]+)"
 WORD_MARK = "$1" + OPEN + "$2" + CLOSE
@@ -218,20 +217,14 @@ def variants(known: DataFrame, session: str, config: Config, kinds: tuple[str, .
 def _pairs(prepared: DataFrame, session: str, config: Config) -> DataFrame:
     """First and last names that were seen apart, put together again; the pair stands for the last name."""
     singles = prepared.where((F.col("type") == "PERSON") & (F.size("_toks") == 1))
-    ranked = singles.withColumn("_no", F.row_number().over(Window.partitionBy(session).orderBy(F.desc("sure"), "value"))).where(
-        F.col("_no") <= PAIRED_NAMES
-    )
-    # at most eight names per session are left, so pairing them is a small array, not a join
-    names = F.collect_list(F.struct(F.col("value"), F.get("_toks", F.lit(0)).alias("t")))
-    known = list(config.lexicons.first_names)
-    grouped = ranked.groupBy(session).agg(names.alias("_n"))
-
-    def pair(a, b):
-        ok = (a["value"] != b["value"]) & (F.length(b["t"]) >= 3) & a["t"].isin(known)
-        return F.when(ok, F.struct(a["t"].alias("a"), b["t"].alias("b"), b["value"].alias("v")))
-
-    every = F.filter(F.flatten(F.transform("_n", lambda a: F.transform("_n", lambda b: pair(a, b)))), lambda p: p.isNotNull())
-    pairs = grouped.select(session, F.explode(every).alias("_p")).select(session, "_p.*")
+    if config.paired_names is not None:
+        order = Window.partitionBy(session).orderBy(F.desc("sure"), "value")
+        singles = singles.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= config.paired_names)
+    names = singles.select(session, "value", F.get("_toks", F.lit(0)).alias("t")).distinct()
+    # only names of the list come first, so a session's pairs are its known given names times its names
+    first = names.where(F.col("t").isin(list(config.lexicons.first_names))).select(session, F.col("t").alias("a"), F.col("value").alias("_av"))
+    last = names.where(F.length("t") >= 3).select(session, F.col("t").alias("b"), F.col("value").alias("v"))
+    pairs = first.join(last, session).where("_av <> v").drop("_av")
     a, b = F.col("a"), F.col("b")
     initial = F.left(a, F.lit(1))
     forms = []

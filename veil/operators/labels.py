@@ -107,11 +107,11 @@ has_digit = has("[0-9]")
 
 
 def label_rules() -> list[Rule]:
-    born = has(r"(?i)birth|d\.?\s?o\.?\s?b|born")
+    born = has(java(r"birth|d\.?\s?o\.?\s?b|born", "i"))
     return [
         Rule("PERSON", LABEL_NAME, "iu", "label", "LABEL_NAME", EITHER,
              guard=has("(?i)name|patient|beneficiary|cardholder|account holder")),
-        Rule("PERSON", FIELD_NAME, "iu", "field", "FIELD_NAME", LABELLED, guard=has("(?i)(?:name|candidate|applicant).*?[:=>]")),
+        Rule("PERSON", FIELD_NAME, "iu", "field", "FIELD_NAME", LABELLED, guard=has("(?is)(?:name|candidate|applicant).*?[:=>]")),
         Rule("PERSON", MAIDEN, "", "label", "MAIDEN", LABELLED, guard=has("n[ée]e|born|formerly|previously|maiden name")),
         Rule("ID", FIELD_ID, "i", "field", "FIELD_ID", LABELLED, guard=has("[:=]"), valid=has_digit),
         Rule("DOB", FIELD_DOB, "i", "checksum", "FIELD_DOB", LABELLED, guard=born, valid=valid_date),

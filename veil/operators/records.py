@@ -26,10 +26,10 @@ def is_blob(c: Column) -> Column:
     return (F.length(c) >= 120) & c.rlike(BLOB)
 
 
-def _leaves(kind: T.DataType, value: Column, path: Column, key: str) -> list[Column]:
+def _leaves(kind: T.DataType, value: Column, path: Column, key: str | None) -> list[Column]:
     """Arrays of ``{field_path, key, value}``, one per string leaf of a column's type."""
     if isinstance(kind, T.StringType):
-        return [F.array(F.struct(path.alias("field_path"), F.lit(key).alias("key"), value.alias("value")))]
+        return [F.array(F.struct(path.alias("field_path"), F.lit(key).cast("string").alias("key"), value.alias("value")))]
     if isinstance(kind, T.StructType):
         found = []
         for f in kind.fields:
@@ -43,11 +43,17 @@ def _leaves(kind: T.DataType, value: Column, path: Column, key: str) -> list[Col
             return F.concat(*_leaves(kind.elementType, v, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), key))
 
         return [F.flatten(F.transform(value, inner))]
-    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
+    if isinstance(kind, T.MapType):
+        if not _leaves(kind.valueType, F.lit(None).cast(kind.valueType), path, key):
+            return []
+
         def entry(e):
-            return F.struct(F.concat(path, F.lit("."), e["key"]).alias("field_path"), e["key"].alias("key"), e["value"].alias("value"))
+            # leaves that lie directly in the map, or in arrays of it, have the entry's key
+            inner = _leaves(kind.valueType, e["value"], F.concat(path, F.lit("."), e["key"].cast("string")), None)
+            named = [F.transform(a, lambda x: F.struct(x["field_path"], F.coalesce(x["key"], e["key"].cast("string")).alias("key"), x["value"])) for a in inner]
+            return F.flatten(F.filter(F.array(*named), lambda a: a.isNotNull()))
 
-        return [F.transform(F.map_entries(value), entry)]
+        return [F.flatten(F.transform(F.map_entries(value), entry))]
     return []
 
 

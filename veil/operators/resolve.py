@@ -55,12 +55,14 @@ def enough_instances(findings: DataFrame, keys: list[str], thresholds: dict[str,
     """Keep a type in a text only from the given number of distinct places on."""
     if not thresholds:
         return findings
-    by_type = Window.partitionBy(*keys, "type")
-    needed = choose(F.col("type"), thresholds, F.lit(1))
-    places = F.size(F.collect_set(F.struct("start_at", "end_at")).over(by_type))
     if all(n <= 1 for n in thresholds.values()):
         return findings
-    return findings.withColumn("_n", places).where(F.col("_n") >= needed).drop("_n")
+    needed = choose(F.col("type"), thresholds, F.lit(1))
+    by_type = Window.partitionBy(*keys, "type")
+    # the first finding of each place counts
+    first = (F.row_number().over(Window.partitionBy(*keys, "type", "start_at", "end_at").orderBy(F.lit(0))) == 1).cast("int")
+    counted = findings.withColumn("_first", first).withColumn("_n", F.sum("_first").over(by_type))
+    return counted.where(F.col("_n") >= needed).drop("_n", "_first")
 
 
 def resolve_overlaps(findings: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,11 +11,16 @@ from veil.config import Config
 from veil.functions.text import digits, java, luhn, mod97, trim, verhoeff
 from veil.operators.spans import Rule
 
+# Java keeps a frame for each turn of a greedy group, so a long text could overflow the stack. Groups that repeat without a
+# bound are therefore possessive, with a look-ahead where the pattern has to stop before the last turn.
+
 # The formats looked for. \< and \> stand for the borders of an ASCII word.
+_LABEL = r"(?:\.[\p{L}0-9\-]++|[ ]\.[ ]?[\p{Ll}0-9\-]++|\.[ ][\p{Ll}0-9\-]++)(?:[ ][\p{Ll}0-9\-]++)?"
+_TOP = r"(?:\.[\p{L}]{2,}|[ ]\.[ ]?[\p{Ll}]{2,}|\.[ ][\p{Ll}]{2,})"
+_NOT_TOP = rf"(?:(?!{_TOP}){_LABEL})*+"  # labels that no address can end with
 EMAIL = (
-    r"[\p{L}0-9._%+\-]+[ ]?@[ ]?[\p{L}0-9\-]+(?:[ ][\p{Ll}0-9\-]+)?"
-    r"(?:(?:\.[\p{L}0-9\-]+|[ ]\.[ ]?[\p{Ll}0-9\-]+|\.[ ][\p{Ll}0-9\-]+)(?:[ ][\p{Ll}0-9\-]+)?)*"
-    r"(?:\.[\p{L}]{2,}|[ ]\.[ ]?[\p{Ll}]{2,}|\.[ ][\p{Ll}]{2,})"
+    r"(?:\G|(?<![\p{L}0-9._%+\-]))[\p{L}0-9._%+\-]+[ ]?@[ ]?[\p{L}0-9\-]++(?:[ ][\p{Ll}0-9\-]++)?"
+    rf"(?:{_NOT_TOP}(?={_TOP}){_LABEL}(?={_NOT_TOP}{_TOP}))*+{_NOT_TOP}{_TOP}"
 )
 CREDIT_CARD = r"(?<![\d])\d(?:[ \-]?\d){12,18}(?![\d])"
 SA_ID = r"(?<!\w)\d{6}[ \x{a0}.\-/]?\d{4}[ \x{a0}.\-/]?\d{2}[ \x{a0}.\-/]?\d(?!\w)"
@@ -59,16 +64,17 @@ NINO_BARRED = r"^(?:BG|GB|NK|KN|TN|NT|ZZ)"
 
 # Credential formats as their issuers document them (own patterns).
 API_KEY = (
-    r"\<(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,200}"
-    r"|[sr]k_(?:live|test)_[A-Za-z0-9]{16,99}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])"
+    r"\<(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])"
 )
-PRIVATE_KEY = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+_KEY_WORDS = r"(?:(?!PRIVATE KEY-)[A-Z]+ )*+"
+PRIVATE_KEY = rf"-----BEGIN {_KEY_WORDS}PRIVATE KEY-----[\s\S]*?-----END {_KEY_WORDS}PRIVATE KEY-----"
 JWT = r"\<eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_-])"
-CONNECTION_STRING = r"\<[a-z][a-z0-9+]{1,20}://[^\s:/@\"'<>]{1,100}:[^\s/@\"'<>]{1,200}@[^\s\"'<>&]{1,300}"
+CONNECTION_STRING = r"\<[a-z][a-z0-9+]++://[^\s:/@\"'<>]+:[^\s/@\"'<>]+@[^\s\"'<>&]+"
 SECRET_LABELS = r"passwords?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?token"
 LABELLED_SECRET = (
     rf"((?<![A-Za-z0-9])(?:{SECRET_LABELS})(?:\"|'|&quot;)?\s*[:=]\s*(?:\"|'|&quot;)?)"
-    r"([A-Za-z0-9+/_.~!@#$%^*=-]{8,200})"
+    r"([A-Za-z0-9+/_.~!@#$%^*=-]{8,})"
 )
 
 SECRET_TYPES = ("API_KEY", "PRIVATE_KEY", "SEED_PHRASE", "JWT", "CONNECTION_STRING", "SECRET")
@@ -198,7 +204,7 @@ def term_rule(config: Config) -> list[Rule]:
     if not terms:
         return []
     body = "|".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", t) for t in terms)
-    return [Rule("CUSTOM", rf"(?i)(?<!\w)(?:{body})(?!\w)", via="term", raw=True)]
+    return [Rule("CUSTOM", rf"(?iu)(?<!\w)(?:{body})(?!\w)", via="term", raw=True)]
 
 
 def lookalike_rule(config: Config) -> list[Rule]:

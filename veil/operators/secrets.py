@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from veil.operators.detect import GATHERED
 from veil.operators.spans import CONTEXT, Rule, find_spans
 
-PHRASE_LENGTHS = (12, 15, 18, 21, 24)
+SHORTEST_PHRASE = 12  # words; a longer run holds a phrase and words around it that happen to be listed, and all of it goes
 # Fixed value: SHA-256 of the published English wallet list, words joined and ended by newlines.
 WALLET_LIST_SHA256 = "2f5eed53a4727b4bf8880d8f3f199efc90e58503646d9ff8eff3a2ed3b24dbda"
 # a run of at least twelve short lower-case words, the only places worth splitting into words
-CANDIDATE = r"(?<![A-Za-z0-9_])[a-z]{3,8}(?:[ \t\r\n,]+[a-z]{3,8}){11,}(?![A-Za-z0-9_])"
+CANDIDATE = r"(?<![A-Za-z0-9_])[a-z]{3,8}+(?![A-Za-z0-9_])(?:[ \t\r\n,]++[a-z]{3,8}+(?![A-Za-z0-9_])){11,}+"
 
 
 def is_wallet_list(words: list[str]) -> bool:
@@ -23,7 +23,7 @@ def is_wallet_list(words: list[str]) -> bool:
 
 
 def seed_phrases(df: DataFrame, wordlist: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Findings of phrases made only of list words, of a length wallets use.
+    """Findings of runs of twelve or more words that are all on the list.
 
     ``wordlist`` is a one-column table, 2,048 rows for the published list. Candidate runs are found by
     shape; their words are joined to the list, and unbroken runs fall out as gaps-and-islands.
@@ -41,7 +41,7 @@ def seed_phrases(df: DataFrame, wordlist: DataFrame, keys: list[str], text: str
         member.withColumn("_island", island)
         .groupBy(*run_keys, "_island")
         .agg(F.count(F.lit(1)).alias("n"), F.min("start_at").alias("a"), F.max("end_at").alias("b"))
-        .where(F.col("n").isin(*PHRASE_LENGTHS))
+        .where(F.col("n") >= SHORTEST_PHRASE)
     )
     context = runs.select(*keys, F.col("start_at").alias("r_start"), F.col("value").alias("_run"), "before", "after")
     a, b = F.col("a"), F.col("b")

@@ -15,7 +15,6 @@ from veil.operators.spans import locate, running_starts, with_context
 
 # each delimiter as it stands and as a pattern
 DELIMITERS = [("\t", r"\t"), ("|", r"\|"), (",", ",")]
-HEADER_LINES = 5  # a header stands within the first lines or nowhere
 HTML_CELL = r"(<t[dh][^>]*>)([\s\S]*?)(</t[dh]>)"
 
 
@@ -42,8 +41,8 @@ def _filled(s: Column) -> Column:
     return s["type"].isNotNull() & (F.length(s["value"]) > 1) & ~s["value"].rlike("^-+$")
 
 
-def under_header(lines: Column, delim: Column) -> Column:
-    """Values below the first header line of a delimiter."""
+def under_header(lines: Column, delim: Column, header_lines: int | None = 5) -> Column:
+    """Values below the first header line of a delimiter, looked for among the first lines (None: all)."""
 
     def heads(line):
         named = F.exists(F.split(line["p"], delim["q"], -1), lambda c: column_type(c).isNotNull())
@@ -60,7 +59,7 @@ def under_header(lines: Column, delim: Column) -> Column:
 
         return let(F.transform(F.split(head["p"], delim["q"], -1), column_type), typed)
 
-    return let(F.get(F.filter(F.slice(lines, 1, HEADER_LINES), heads), F.lit(0)), body)
+    return let(F.get(F.filter(lines if header_lines is None else F.slice(lines, 1, header_lines), heads), F.lit(0)), body)
 
 
 def beside_label(lines: Column, delim: Column) -> Column:
@@ -93,7 +92,7 @@ def html_pairs(body: Column) -> Column:
     return F.filter(found, lambda s: s["type"].isNotNull() & (F.length(s["value"]) > 1) & column_type(s["value"]).isNull())
 
 
-def detect_tables(df: DataFrame, keys: list[str], parts: tuple[str, ...] = ("header", "adjacent", "html"), text: str = "text") -> DataFrame:
+def detect_tables(df: DataFrame, keys: list[str], parts: tuple[str, ...] = ("header", "adjacent", "html"), text: str = "text", header_lines: int | None = 5) -> DataFrame:
     """Findings (via ``field``) of the chosen table shapes."""
     body = F.col("_text")
     lined = (
@@ -106,7 +105,7 @@ def detect_tables(df: DataFrame, keys: list[str], parts: tuple[str, ...] = ("hea
     present = F.filter(delims, lambda d: F.contains(body, d["d"]))
     found = []
     if "header" in parts:
-        found.append(F.flatten(F.filter(F.transform(present, lambda d: under_header(F.col("_lines"), d)), lambda a: a.isNotNull())))
+        found.append(F.flatten(F.filter(F.transform(present, lambda d: under_header(F.col("_lines"), d, header_lines)), lambda a: a.isNotNull())))
     if "adjacent" in parts:
         found.append(F.flatten(F.transform(present, lambda d: beside_label(F.col("_lines"), d))))
     if "html" in parts:

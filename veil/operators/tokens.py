@@ -11,17 +11,17 @@ from veil.config import Config
 from veil.functions.text import norm
 from veil.operators.resolve import TYPE_PRECEDENCE
 from veil.operators.spans import Rule, find_spans
+from veil.session import materialize
 
 SITES_PER_TOKEN, SITE_CONTEXT, SITE_MIN_MATCH = 32, 40, 10
-BUCKET = 65_536  # texts per numbering bucket
 
 
-def assign_tokens(findings: DataFrame, session: str = "session_id", order: str = "doc_id", config: Config | None = None, bucket: int = BUCKET) -> DataFrame:
+def assign_tokens(findings: DataFrame, session: str = "session_id", order: str = "doc_id", config: Config | None = None) -> DataFrame:
     """Token map: ``session, type, norm, ordinal, token, canonical``, numbered in first-seen order.
 
-    Numbers run per session and type. A session may be the whole corpus, so no task ever sorts all of
-    its values: values are numbered within buckets of the text order, and the buckets' sizes, one row
-    each, give every bucket its first number.
+    Numbers run per session and type, in the order of the texts' ids, of whatever type these are. A session may be the whole
+    corpus, so no task ever sorts all of its values: distinct values are spread by ranges of (session, type, place) and
+    written once; they are numbered within a range, and the ranges' sizes, one row each, give every range its first number.
     """
     config = config or Config()
     position = F.struct(F.col(order).alias("o"), F.col("start_at").alias("s"))
@@ -29,8 +29,9 @@ def assign_tokens(findings: DataFrame, session: str = "session_id", order: str =
         findings.withColumn("norm", norm(F.col("value")))
         .groupBy(session, "type", "norm")
         .agg(F.min(position).alias("_pos"), F.min_by("value", position).alias("canonical"))
-        .withColumn("_bucket", F.floor(F.col("_pos.o") / bucket))
     )
+    ranged = first.repartitionByRange(session, "type", "_pos", "norm")
+    first = materialize(ranged.withColumn("_bucket", F.spark_partition_id()))
     sizes = first.groupBy(session, "type", "_bucket").count()
     earlier = Window.partitionBy(session, "type").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(session, "type", "_bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_base"))
@@ -83,11 +84,11 @@ def changed_only(redacted: DataFrame, text: str = "text") -> DataFrame:
     return redacted.where(~F.col(text).eqNullSafe(F.col("redacted")))
 
 
-def token_sites(tokenised: DataFrame, session: str = "session_id", order: str = "doc_id") -> DataFrame:
-    """The first 32 distinct places each token stands for: surface and 40 characters either side.
+def token_sites(tokenised: DataFrame, session: str = "session_id", order: str = "doc_id", most: int | None = SITES_PER_TOKEN) -> DataFrame:
+    """The first ``most`` distinct places each token stands for (None: all): surface and 40 characters either side.
 
     Duplicates collapse before the shuffle, and the rank filter is applied on both sides of it, so a
-    token that occurs everywhere sends at most 32 rows per task.
+    token that occurs everywhere sends at most so many rows per task.
     """
     position = F.struct(F.col(order).alias("o"), F.col("start_at").alias("s"))
     places = (
@@ -99,7 +100,8 @@ def token_sites(tokenised: DataFrame, session: str = "session_id", order: str =
         .agg(F.min("_pos").alias("_pos"))
     )
     rank = F.row_number().over(Window.partitionBy(session, "token").orderBy("_pos", "surface", "before", "after"))
-    return places.withColumn("site_no", rank).where(F.col("site_no") <= SITES_PER_TOKEN).drop("_pos")
+    numbered = places.withColumn("site_no", rank).drop("_pos")
+    return numbered if most is None else numbered.where(F.col("site_no") <= most)
 
 
 def _shared(a: Column, b: Column, cut) -> Column:

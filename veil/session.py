@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a few regexes run per row, so smaller scan splits keep every core busy
     "spark.sql.files.maxPartitionBytes": "64m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -37,19 +38,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only when neither the
-    setting nor the context has one (tests, laptops) is a scratch folder used.
+    Checkpoints hold what ``df`` holds, values in clear included; ``cleanCheckpoints`` in the settings above has Spark delete
+    them once nothing refers to them.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="veil-checkpoint-")
-        context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where it names none, a local session (tests, laptops) gets a
+    scratch folder; on a cluster executors could not read that, so it is an error there."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="veil-")
+    return folder.rstrip("/")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark a side for broadcast if it has at most so many rows; otherwise leave the join to the optimizer.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +9,12 @@ from pyspark.sql import functions as F
 
 from veil.functions.crypto import decrypt, encrypt
 from veil.operators.audit import EVENT_COLUMNS
+from veil.session import shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate output, in the shared folder the cluster names if there is one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"veil-{name}-")
+    """The path of a fresh folder for intermediate output, in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_redacted(redacted: DataFrame, like: DataFrame, path: str, text: str = "text", masked: str = "redacted") -> None:

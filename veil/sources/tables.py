@@ -10,12 +10,12 @@ TABLES = (
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan that has fewer splits than the session has cores; larger scans stay as they are.
+    """Repartition a scan of fewer files than the session has cores; larger scans stay as they are. Only file names are read.
 
     Given keys, rows are placed by them, so a later grouping by text finds them in place.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -51,13 +51,14 @@ def message_texts(df: DataFrame, keys: list[str], content: str = "content", syst
     return df.select(*keys, F.explode(blocks).alias("_b")).select(*keys, "_b.*").where("text is not null")
 
 
-NDJSON_SCHEMA = "id long, method string, params string, result string"
+NDJSON_SCHEMA = "id string, method string, params string, result string"  # an id may be a number, a string or absent
 
 
 def parse_ndjson(lines: DataFrame, schema: str = NDJSON_SCHEMA, column: str = "value") -> DataFrame:
     """Records of a stream or table of JSON lines; lines that do not parse are dropped."""
     parsed = F.from_json(F.trim(F.col(column)), schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    return lines.select(parsed.alias("_r")).select("_r.*").where("_broken is null and id is not null").drop("_broken")
+    records = lines.where(F.ltrim(F.col(column)).startswith("{")).select(parsed.alias("_r"))
+    return records.select("_r.*").where("_broken is null").drop("_broken")
 
 
 def read_ndjson_stream(spark: SparkSession, path: str, schema: str = NDJSON_SCHEMA) -> DataFrame:
@@ -69,12 +70,14 @@ DATA_METHODS = ["tools/call", "resources/read", "resources/list", "resources/tem
 DESCRIPTION_METHODS = ["tools/list"]
 
 
-def route_records(requests: DataFrame, replies: DataFrame) -> DataFrame:
+def route_records(requests: DataFrame, replies: DataFrame, keys: tuple[str, ...] = ("session_id", "id")) -> DataFrame:
     """Replies with how their request says to treat them: ``data``, ``descriptions`` or ``pass``.
 
-    ``requests``: id, method. ``replies``: id, result. A reply no request asked for passes through.
+    ``requests``: keys, method. ``replies``: keys, result. Ids start anew with each connection, so the session belongs to the
+    key. A reply no request asked for passes through; of requests that repeat a key the first method by name counts.
     """
     route = F.when(F.col("method").isin(DATA_METHODS), "data").when(F.col("method").isin(DESCRIPTION_METHODS), "descriptions")
-    wanted = requests.where("id is not null").select("id", "method", route.alias("_route")).where("_route is not null")
-    joined = replies.join(wanted, "id", "left")
+    known = requests.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.min("method").alias("method"))
+    wanted = known.select(*keys, "method", route.alias("_route")).where("_route is not null")
+    joined = replies.join(wanted, list(keys), "left")
     return joined.withColumn("route", F.when(F.col("result").isNull(), "pass").otherwise(F.coalesce("_route", F.lit("pass")))).drop("_route")

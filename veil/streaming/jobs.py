@@ -17,8 +17,13 @@ KEYS = ["session_id", "doc_id"]
 
 
 def detect_stream(texts: DataFrame, config: Config, keys: list[str]) -> DataFrame:
-    """Raw findings of a stream of texts: the batch expressions, one text at a time, no state."""
-    return detect(texts, text_rules(config.with_(detectors={**config.detectors, "PERSON": False}), texts.sparkSession), keys, config)
+    """Raw findings of a stream of texts: the batch expressions, one text at a time, no state.
+
+    Names need a look at their neighbours in the text, a window that streams don't have: use ``SessionTokens`` for them.
+    """
+    if config.on("PERSON"):
+        raise ValueError("PERSON needs a foreachBatch sink such as SessionTokens")
+    return detect(texts, text_rules(config, texts.sparkSession), keys, config)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -157,11 +162,11 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
 
 
 def pair_replies(requests: DataFrame, replies: DataFrame, patience: str = "1 hour") -> DataFrame:
-    """Each reply with the request it answers. Requests are forgotten after ``patience``.
+    """Each reply with the request it answers, of the same session. Requests are forgotten after ``patience``.
 
-    ``requests``: id, method, asked_ts. ``replies``: id, result, reply_ts.
+    ``requests``: session_id, id, method, asked_ts. ``replies``: session_id, id, result, reply_ts.
     """
     asked = requests.withWatermark("asked_ts", "10 minutes").alias("q")
-    answered = replies.withWatermark("reply_ts", "10 minutes").withColumnRenamed("id", "reply_id").alias("r")
-    on = F.expr(f"id = reply_id AND reply_ts >= asked_ts AND reply_ts <= asked_ts + interval {patience}")
-    return asked.join(answered, on, "inner").select("id", "method", "result", "asked_ts", "reply_ts")
+    answered = replies.withWatermark("reply_ts", "10 minutes").withColumnsRenamed({"id": "reply_id", "session_id": "reply_session"}).alias("r")
+    on = F.expr(f"id = reply_id AND session_id = reply_session AND reply_ts >= asked_ts AND reply_ts <= asked_ts + interval {patience}")
+    return asked.join(answered, on, "inner").select("session_id", "id", "method", "result", "asked_ts", "reply_ts")

@@ -160,7 +160,7 @@ def test_stream_keeps_tokens_between_batches(spark, tmp_path):
             "session_id", "doc_id", F.expr(f"timestamp '2024-01-01 00:00:00' + interval {no} hours").alias("ts"), "text", "is_end"
         )
 
-    sink = SessionTokens(spark, str(tmp_path / "s"), Config.only("EMAIL"))
+    sink = SessionTokens(spark, str(tmp_path / "s"), "secret", Config.only("EMAIL"))
     first = batch(0, [("a", 0, "x@acme.com y@acme.com", False), ("b", 0, "x@acme.com", True)])
     second = batch(1, [("a", 1, "z@acme.com Y@acme.com", False), ("b", 1, "q@acme.com", False)])
     sink(first, 0)

@@ -4,15 +4,13 @@ from pyspark.sql import functions as F
 
 from veil.catalog import views as V
 from veil.catalog.base import pick, query, view
-from veil.catalog.detectors import BY_KEY
 from veil.catalog.redaction import SESSIONS, findings_sql, masked, masked_sql, token_steps
 from veil.operators import records as N
-from veil.operators import tokens as T
 from veil.operators.audit import leak_events
-from veil.operators.detect import detect
-from veil.operators.resolve import resolve_overlaps
+from veil.config import Config
 from veil.functions.crypto import derive_key, hmac_pads, looks_encrypted
 from veil.sources import sinks
+from veil.plans.records import redact_records, rehydrate_records
 from veil.sources.text import message_texts, read_conversations, read_text, route_records
 
 MASTER = "sample master secret"
@@ -136,17 +134,6 @@ def snk_events(spark, folder):
 
 
 # ---- masking and restoring records
-def record_tokens(spark, folder):
-    df = records(spark, folder)
-    leaves = N.explode_leaves(df, ["id"], skip_keys=tuple(N.STRUCTURAL_KEYS), skip_blobs=True).withColumn("session_id", F.col("id"))
-    keys = ["session_id", "id", "field_path"]
-    kept = resolve_overlaps(detect(leaves, [BY_KEY["EMAIL"]], keys, text="value"), keys).withColumn("doc_id", F.lit(0))
-    token_map = T.assign_tokens(kept)
-    tokenised = T.attach_tokens(kept, token_map)
-    done = T.redact(leaves, tokenised, keys, "value").where("redacted <> value")
-    return df, leaves, token_map, tokenised, done
-
-
 def flat(df):
     return df.select(
         "id", F.col("person.first_name").alias("first_name"), F.col("email_addresses")[0]["value"].alias("mail"), F.col("names")[1].alias("name"),
@@ -160,19 +147,13 @@ _FLAT = f"SELECT c_custkey AS id, {FIRST} AS first_name, {{mail}} AS mail, 'vip'
 @query("redact_record", _FLAT.format(mail="'[EMAIL_1]'"))
 def redact_record(spark, folder):
     """Masked in place: keys, numbers, structural fields and blobs stay."""
-    df, _, _, _, done = record_tokens(spark, folder)
-    changed = N.rewrite_records(df, done.select("id", "field_path", F.col("redacted").alias("new_value")), ["id"], tuple(N.STRUCTURAL_KEYS))
-    return flat(changed)
+    return flat(redact_records(records(spark, folder), ["id"], Config.only("EMAIL"), "id").redacted)
 
 
 @query("rehydrate_record", _FLAT.format(mail=MAIL))
 def rehydrate_record(spark, folder):
-    df, _, token_map, tokenised, done = record_tokens(spark, folder)
-    changed = N.rewrite_records(df, done.select("id", "field_path", F.col("redacted").alias("new_value")), ["id"], tuple(N.STRUCTURAL_KEYS))
-    leaves = N.explode_leaves(changed, ["id"]).withColumn("session_id", F.col("id"))
-    back = T.rehydrate(leaves, token_map, T.token_sites(tokenised), ["session_id", "id", "field_path"], text="value")
-    restored = back.where("restored <> value").select("id", "field_path", F.col("restored").alias("new_value"))
-    return flat(N.rewrite_records(changed, restored, ["id"]))
+    done = redact_records(records(spark, folder), ["id"], Config.only("EMAIL"), "id")
+    return flat(rehydrate_records(done.redacted, ["id"], done.token_map, done.sites, session="id"))
 
 
 @query(

@@ -55,7 +55,7 @@ def conversations(spark, folder, is_end="false"):
 
 
 def stream_tokens(spark, folder, **kw):
-    tokens = J.SessionTokens(spark, scratch(spark, "session-tokens"), Config.only("EMAIL"), **kw)
+    tokens = J.SessionTokens(spark, scratch(spark, "session-tokens"), "sample master secret", Config.only("EMAIL"), **kw)
     tokens.run(conversations(spark, folder))
     return tokens
 
@@ -70,31 +70,31 @@ def str_tokens(spark, folder):
 
 
 _TWICE = (
-    token_steps(CONV, ("EMAIL",))
-    + " SELECT cast(session_id AS string) AS session_id, type, norm, ordinal, batch FROM tm, (VALUES (0), (1)) AS b(batch)"
+    token_steps(CONV, ("EMAIL",)) + masked_sql(CONV)
+    + " SELECT cast(session_id AS string) AS session_id, doc_id, redacted, b AS batch, {again} AS again FROM masked, (VALUES (0), (1)) AS t(b)"
 )
 
 
 def replayed(spark, folder, later: str, is_end: str):
     """The conversations, and then all of them once more some time later."""
-    tokens = J.SessionTokens(spark, scratch(spark, "session-tokens"), Config.only("EMAIL"))
+    tokens = J.SessionTokens(spark, scratch(spark, "session-tokens"), "sample master secret", Config.only("EMAIL"))
     flat = view(spark, folder, CONV, "session_id", "doc_id")
     for batch_id, shift in ((0, "0 hours"), (1, later)):
         at = F.expr(f"timestamp_seconds(1700000000 + doc_id * 60) + interval {shift}")
         tokens(flat.withColumn("ts", at).withColumn("is_end", F.expr(is_end)), batch_id)
-    return tokens.tokens().select("session_id", "type", "norm", "ordinal", F.col("batch").cast("int").alias("batch"))
+    return tokens.redacted().select("session_id", "doc_id", "redacted", F.col("batch").cast("int").alias("batch"), (~F.col("life").endswith("#0")).alias("again"))
 
 
-@query("str_ttl", _TWICE)
+@query("str_ttl", _TWICE.format(again="b = 1"))
 def str_ttl(spark, folder):
     """Two days later every session starts over: all values are numbered again."""
     return replayed(spark, folder, "48 hours", "false")
 
 
-@query("str_session_end", _TWICE.replace(" FROM tm,", " FROM (SELECT * FROM tm) tm,") + " WHERE batch = 0 OR session_id % 2 = 0")
+@query("str_session_end", _TWICE.format(again="b = 1 AND session_id % 2 = 0"))
 def str_session_end(spark, folder):
     """Even sessions were ended after the first batch and start over; the others keep their tokens."""
-    return replayed(spark, folder, "1 hours", "session_id % 2 = 0")
+    return replayed(spark, folder, "23 hours", "session_id % 2 = 0 AND doc_id = max(doc_id) OVER (PARTITION BY session_id)")
 
 
 _FMT = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"

@@ -26,21 +26,27 @@ def is_blob(c: Column) -> Column:
     return (F.length(c) >= 120) & c.rlike(BLOB)
 
 
-def _leaves(kind: T.DataType, value: Column, path: Column, key: str | None) -> list[Column]:
-    """Arrays of ``{field_path, key, value}``, one per string leaf of a column's type."""
+def _leaves(kind: T.DataType, value: Column, path: Column, key: str | None, block_types: tuple[str, ...] | None = None) -> list[Column]:
+    """Arrays of ``{field_path, key, value}``, one per string leaf of a column's type.
+
+    With ``block_types``, structs with a ``type`` beside their content are read only if it is one of these.
+    """
     if isinstance(kind, T.StringType):
         return [F.array(F.struct(path.alias("field_path"), F.lit(key).cast("string").alias("key"), value.alias("value")))]
     if isinstance(kind, T.StructType):
         found = []
         for f in kind.fields:
-            found += _leaves(f.dataType, value[f.name], F.concat(path, F.lit("." + f.name)), f.name)
+            found += _leaves(f.dataType, value[f.name], F.concat(path, F.lit("." + f.name)), f.name, block_types)
+        if block_types and "type" in kind.names:
+            found = [F.when(value["type"].isin(*block_types), a) for a in found]
         return found
     if isinstance(kind, T.ArrayType):
-        shape = _leaves(kind.elementType, F.lit(None).cast(kind.elementType), path, key)
-        if not shape:
+        if not _leaves(kind.elementType, F.lit(None).cast(kind.elementType), path, key):
             return []
+
         def inner(v, i):
-            return F.concat(*_leaves(kind.elementType, v, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), key))
+            every = _leaves(kind.elementType, v, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), key, block_types)
+            return F.flatten(F.filter(F.array(*every), lambda a: a.isNotNull()))
 
         return [F.flatten(F.transform(value, inner))]
     if isinstance(kind, T.MapType):
@@ -49,7 +55,7 @@ def _leaves(kind: T.DataType, value: Column, path: Column, key: str | None) -> l
 
         def entry(e):
             # leaves that lie directly in the map, or in arrays of it, have the entry's key
-            inner = _leaves(kind.valueType, e["value"], F.concat(path, F.lit("."), e["key"].cast("string")), None)
+            inner = _leaves(kind.valueType, e["value"], F.concat(path, F.lit("."), e["key"].cast("string")), None, block_types)
             named = [F.transform(a, lambda x: F.struct(x["field_path"], F.coalesce(x["key"], e["key"].cast("string")).alias("key"), x["value"])) for a in inner]
             return F.flatten(F.filter(F.array(*named), lambda a: a.isNotNull()))
 
@@ -58,13 +64,16 @@ def _leaves(kind: T.DataType, value: Column, path: Column, key: str | None) -> l
 
 
 def explode_leaves(
-    df: DataFrame, id_cols: list[str], skip_keys: tuple[str, ...] = (), only_keys: tuple[str, ...] | None = None, skip_blobs: bool = False
+    df: DataFrame, id_cols: list[str], skip_keys: tuple[str, ...] = (), only_keys: tuple[str, ...] | None = None, skip_blobs: bool = False,
+    block_types: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """``id_cols, field_path, key, value`` for every string leaf; array elements inherit the array's key."""
     arrays = []
     for f in df.schema.fields:
         if f.name not in id_cols:
-            arrays += _leaves(f.dataType, F.col(f.name), F.lit(f.name), f.name)
+            arrays += _leaves(f.dataType, F.col(f.name), F.lit(f.name), f.name, block_types)
+    if not arrays:
+        return df.select(*id_cols, F.lit("").alias("field_path"), F.lit("").alias("key"), F.lit("").alias("value")).limit(0)
     every = F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
     leaves = df.select(*id_cols, F.explode(every).alias("_l")).select(*id_cols, "_l.*").where("value is not null")
     if skip_keys:
@@ -113,8 +122,8 @@ def map_leaves(kind: T.DataType, value: Column, change: Callable[[Column, Column
         )
     if isinstance(kind, T.MapType):
         def each(k, v):
-            changed = map_leaves(kind.valueType, v, change, F.concat(path, F.lit("."), k), "", skip)
-            return F.when(k.isin(list(skip)), v).otherwise(changed) if skip else changed
+            changed = map_leaves(kind.valueType, v, change, F.concat(path, F.lit("."), k.cast("string")), "", skip)
+            return F.when(k.cast("string").isin(list(skip)), v).otherwise(changed) if skip else changed
 
         return F.transform_values(value, each)
     return value

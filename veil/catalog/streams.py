@@ -85,13 +85,13 @@ def replayed(spark, folder, later: str, is_end: str):
     return tokens.redacted().select("session_id", "doc_id", "redacted", F.col("batch").cast("int").alias("batch"), (~F.col("life").endswith("#0")).alias("again"))
 
 
-@query("str_ttl", _TWICE.format(again="b = 1"))
+@query("str_ttl", _TWICE.replace("{again}", "b = 1"))
 def str_ttl(spark, folder):
     """Two days later every session starts over: all values are numbered again."""
     return replayed(spark, folder, "48 hours", "false")
 
 
-@query("str_session_end", _TWICE.format(again="b = 1 AND session_id % 2 = 0"))
+@query("str_session_end", _TWICE.replace("{again}", "b = 1 AND session_id % 2 = 0"))
 def str_session_end(spark, folder):
     """Even sessions were ended after the first batch and start over; the others keep their tokens."""
     return replayed(spark, folder, "23 hours", "session_id % 2 = 0 AND doc_id = max(doc_id) OVER (PARTITION BY session_id)")

@@ -52,10 +52,14 @@ def is_certain(config: Config) -> Column:
 
 
 def certain_values(found: DataFrame, session: str, config: Config) -> DataFrame:
-    """``session, norm, declared``: values proved or declared, with the type that ranks highest."""
+    """``session, norm, declared``: values proved or declared, with the type that ranks highest.
+
+    Where ``found`` has a boolean ``declared``, what a record's key declared is certain as well, whatever it looks like.
+    """
+    certain = is_certain(config) | F.coalesce("declared", F.lit(False)) if "declared" in found.columns else is_certain(config)
     rank = precedence(F.col("type"), F.col("via"), F.lit(False))
     return (
-        found.where(is_certain(config))
+        found.where(certain)
         .groupBy(session, norm(F.col("value")).alias("norm"))
         .agg(F.min_by("type", F.struct(-rank, F.col("gathered"))).alias("declared"))
     )

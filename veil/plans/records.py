@@ -52,14 +52,16 @@ def redact_records(
     leaves = _leaves(df, id_cols, session, skip_keys, block_types)
     keys = list(dict.fromkeys(["session_id", *id_cols, "field_path"]))
     spark = df.sparkSession
-    declared = N.detect_fields(leaves, keys, config, spark)
-    found = declared.withColumn("via", F.when(F.col("declared") & F.col("via").isin("label", "shape"), "field").otherwise(F.col("via"))).drop("declared")
+    found = N.detect_fields(leaves, keys, config, spark)
+    more = []
     if config.encoded:
-        found = found.unionByName(detect_encoded(leaves, keys, config, spark, "value"))
+        more.append(detect_encoded(leaves, keys, config, spark, "value"))
     if lists.wallet_words is not None and config.on("SECRETS"):
-        found = found.unionByName(seed_phrases(leaves, lists.wallet_words, keys, "value"))
+        more.append(seed_phrases(leaves, lists.wallet_words, keys, "value"))
     if lists.terms is not None:
-        found = found.unionByName(detect_terms(leaves, lists.terms, keys, "value"))
+        more.append(detect_terms(leaves, lists.terms, keys, "value"))
+    for part in more:
+        found = found.unionByName(part.withColumn("declared", F.lit(False)))
     if config.sweep:
         found = learn_and_sweep(materialize(found), leaves.select(*keys, "value"), keys, config, "value")
     if config.encoded:

@@ -5,7 +5,7 @@ later link also sees the earlier links' log-odds. For training these come from m
 (out-of-fold), as they do when the chain is applied; the models applied are trained on all rows.
 
 Models are fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of their id. Features are words and beginnings of
-words, the ``FEATURES`` that separate a label best by their smoothed log-odds over its standard error; each enters a model
+words, the ``FEATURES`` that tell most about a label (information gain); each enters a model
 with the size of its log-odds, so that a telling word costs little of the penalty on weights. The decision's
 threshold is the one with the best F1 on out-of-fold predictions. Applying the chain is one pass without a shuffle.
 """
@@ -93,9 +93,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(owner: np.ndarray, feature: np.ndarray, n_features: int, chain: np.ndarray, y: np.ndarray, size: np.ndarray, steps: int = 200, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_linear(owner: np.ndarray, feature: np.ndarray, n_features: int, chain: np.ndarray, y: np.ndarray, size: np.ndarray, steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression on sparse features, each 0 or its ``size``, and a few dense ones, by accelerated gradient descent."""
-    n = max(len(y), 1)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1.0)
         return np.zeros(n_features), np.zeros(chain.shape[1]), float(np.log(rate / (1 - rate)))
@@ -104,29 +103,33 @@ def fit_linear(owner: np.ndarray, feature: np.ndarray, n_features: int, chain: n
     beta = np.zeros(n_features + dense.shape[1] + 1)
     ahead, t = beta.copy(), 1.0
     value = size[feature]
-    most = np.bincount(owner, weights=value * value, minlength=len(y)).max(initial=0) + dense.shape[1] + 1
-    rate = 4.0 / (most * 0.5 + 1)  # of the curvature bound; raised below while the loss falls
-    penalty = np.full(len(beta), l2)
-    penalty[-1] = 0
+    rows = len(y)
+
+    def product(b):
+        return np.bincount(owner, weights=b[feature] * value, minlength=rows) + dense @ b[n_features:-1] + b[-1]
 
-    def gradient(b):
-        z = np.bincount(owner, weights=b[feature] * value, minlength=len(y)) + dense @ b[n_features:-1] + b[-1]
-        loss = np.mean(np.logaddexp(0, z) - y * z) + 0.5 * (penalty * b * b).sum()
-        r = (sigmoid(z) - y) / n
-        return loss, np.concatenate([np.bincount(feature, weights=r[owner] * value, minlength=n_features), dense.T @ r, [r.sum()]]) + penalty * b
+    def transposed(r):
+        return np.concatenate([np.bincount(feature, weights=r[owner] * value, minlength=n_features), dense.T @ r, [r.sum()]])
 
-    last = np.inf
+    penalty = np.full(n_features + dense.shape[1] + 1, l2)
+    penalty[-1] = 0
+    # the largest curvature, by power iteration: steps of its inverse can't run away
+    v = np.ones(len(penalty))
+    for _ in range(30):
+        v /= np.linalg.norm(v)
+        u = transposed(product(v)) / rows
+        top, v = float(np.linalg.norm(u)), u
+    rate = 1 / (1.2 * 0.25 * top + l2)
+    beta = np.zeros(len(penalty))
+    ahead, t = beta.copy(), 1.0
     for _ in range(steps):
-        loss, g = gradient(ahead)
-        if loss > last + 1e-12:  # start the momentum anew, with smaller steps
-            rate, t, ahead = rate / 2, 1.0, beta.copy()
-            last = np.inf
-            continue
-        last = loss
+        g = transposed(sigmoid(product(ahead)) - y) / rows + penalty * ahead
         new = ahead - rate * g
+        if g @ (new - beta) > 0:  # the momentum points uphill: start it anew
+            t = 1.0
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = new + (t - 1) / t_new * (new - beta)
-        beta, t, rate = new, t_new, rate * 1.05
+        beta, t = new, t_new
     return beta[:n_features] * size, beta[n_features:-1] / scale, float(beta[-1])
 
 
@@ -162,10 +165,16 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, rows
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(y) for c, y in zip(chain, ys)]).first()
     chosen: dict[int, tuple] = {}
     for y in ys:
-        a, b = F.col(y) + 0.5, F.col("n") - F.col(y) + 0.5
-        c, d = F.lit(totals[y] + 1.0) - F.col(y), F.lit(totals["n"] - totals[y] + 1.0) - (F.col("n") - F.col(y))
-        z = F.abs(F.log(a / b * d / c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-        chosen |= {r["f"]: tuple(r) for r in counted.orderBy(z.desc(), "f").limit(features).collect()}
+        with_, ones, rows = F.col("n"), F.lit(float(totals[y])), F.lit(float(totals["n"]))
+
+        def term(part, row, column):
+            return F.when(part > 0, part * F.log(part * rows / (row * column))).otherwise(0.0)
+
+        gain = (
+            term(F.col(y), with_, ones) + term(with_ - F.col(y), with_, rows - ones)
+            + term(ones - F.col(y), rows - with_, ones) + term(rows - with_ - (ones - F.col(y)), rows - with_, rows - ones)
+        )
+        chosen |= {r["f"]: tuple(r) for r in counted.orderBy(gain.desc(), "f").limit(features).collect()}
     known = np.array(sorted(chosen), np.int64).view(np.uint64)
     lookup = Lookup(np.sort(known))
     stats = np.array([chosen[f] for f in lookup.known.view(np.int64).tolist()], float).reshape(-1, 2 + len(ys))

@@ -56,21 +56,23 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         "conv", "node", F.col("k_node").alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(1).cast("long").alias("depth")
     )
     step = materialize(step)
-    jumps, open_ = [], None
+    done, open_ = step.where("up is null"), step.where("up is not null")
+    jumps, left = [], None
     while True:
-        left = step.where("up is not null").count()
-        if not left or left == open_:
+        before, left = left, open_.count()
+        if not left or left == before:  # the same nodes as before are on rings
             break
-        open_ = left
-        jumps.append(step.where("up is not null").select(F.col("conv").alias("j_conv"), F.col("node").alias("j_node"), "up"))
-        ahead = step.select(F.col("conv").alias("a_conv"), F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("score").alias("a_score"), F.col("depth").alias("a_depth"))
-        step = materialize(
-            step.join(ahead, (F.col("conv") == F.col("a_conv")) & (F.col("up") == F.col("a_node")), "left").select(
-                "conv", "node", F.col("a_up").alias("up"), (F.col("score") + F.coalesce("a_score", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")
+        jumps.append(open_.select(F.col("conv").alias("j_conv"), F.col("node").alias("j_node"), "up"))
+        ahead = done.unionByName(open_).select(F.col("conv").alias("a_conv"), F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("score").alias("a_score"), F.col("depth").alias("a_depth"))
+        # only nodes whose root isn't reached yet are joined
+        moved = materialize(
+            open_.join(ahead, (F.col("conv") == F.col("a_conv")) & (F.col("up") == F.col("a_node"))).select(
+                "conv", "node", F.col("a_up").alias("up"), (F.col("score") + F.col("a_score")).alias("score"), (F.col("depth") + F.col("a_depth")).alias("depth")
             )
         )
+        done, open_ = done.unionByName(moved.where("up is null")), moved.where("up is not null")
     parents = jumps[0].select(F.col("j_conv").alias("p_conv"), F.col("up").alias("p_node")).distinct() if jumps else None
-    leaves = step.where("up is null")
+    leaves = done
     if parents is not None:
         leaves = leaves.join(parents, (F.col("conv") == F.col("p_conv")) & (F.col("node") == F.col("p_node")), "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy((F.col("score") / F.col("depth")).desc(), "node")))

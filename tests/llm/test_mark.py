@@ -219,6 +219,23 @@ def test_language_bound_on_runs(make):
     assert sum(len(levels[-1][0]) for levels in model.levels) <= 40
 
 
+@pytest.mark.parametrize("most", [1, 40])
+def test_language_beyond_the_bound_on_runs(make, most):
+    """More runs than arrays may hold: no run and no language is lost, each bit is as with arrays."""
+    learn = [(i, sentence(i, ["ka", "lo", "mi"]), "aa") for i in range(30)] + [(i, sentence(i, ["stra", "ße", "ung"]), "bb") for i in range(30)] + [(99, "ръ жа", "rare")]
+    test = [(i, sentence((i, "t"), s, 12)) for s in (["ka", "lo"], ["stra", "ung"], ["ръ", "жа"], ["ka", "new", "ße"]) for i in range(5)]
+    test += [(50, None), (51, ""), (52, "12 !"), (53, "kalo"), (54, "kalo"), (None, "ръжа")]
+    got = []
+    for bound in (most, language.MOST_RUNS):
+        model = language.calibrate(language.train(make(learn).select("text", "lang"), most=bound), make(learn).select("text", "lang"))
+        assert model.langs == ["aa", "bb", "rare"]
+        rows = language.identify(make(test).select("doc_id", "text", F.lit("x").alias("score")), model).select("doc_id", "text", "lang_pred", "score", "bits", "accepted")
+        got.append(sorted(map(tuple, rows.collect()), key=lambda r: repr(r[:2])))
+    assert len(got[0]) == len(test)
+    for a, b in zip(*got):
+        assert a[:3] == b[:3] and a[5] == b[5] and a[3] == pytest.approx(b[3]) and (a[4] == pytest.approx(b[4], rel=1e-6) if b[4] is not None else a[4] is None)
+
+
 def test_language_without_texts(make):
     model = language.train(make([]).select("text", "lang"))
     assert language.identify(make([(1, "some text")]).select("doc_id", "text"), model).first().lang_pred == "und"

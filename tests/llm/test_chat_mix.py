@@ -132,6 +132,17 @@ def test_mixing_draws_by_chance(make, prose):
     assert abs(sum(n.values()) / (times * len(n)) - share) < 0.05
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_with_a_very_long_document(make, prose, seed):
+    """One document with a third of a source's words: the others fill the target whether it is drawn or not."""
+    docs = make([(0, "w " * 6000, "en", "a"), *[(i, prose(i, 15 + i % 90), "en", "a") for i in range(1, 200)], (300, prose(3, 40_000), "en", "b")])
+    got = mixing.mix_sources(docs, weights=(1, 3), share=0.5, seed=seed).where("source = 'a'").collect()
+    target, taken = got[0].target, sum(r.taken for r in got)
+    assert got[0].source_size < 3 * 6000 < 3 * target
+    assert abs(target - taken) <= 50
+    assert not any(r.copies == 0 and 0 < r.size < target - taken for r in got)
+
+
 def test_mixing_nothing(make):
     assert mixing.mix_sources(make([])).collect() == []
     assert [r.taken for r in mixing.mix_sources(make([(1, ""), (2, None)])).collect()] == [0, 0]

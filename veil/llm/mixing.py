@@ -4,7 +4,9 @@ A source of ``source_size`` words gets ``target`` words. The whole part of their
 document is copied that often. The rest is a sample without replacement: each document draws a uniform
 number from a hash of its id and text, its rank is the odds of the draw divided by the odds of its inclusion
 probability, and the documents of lowest rank are taken. The sample size is fixed in words: documents are taken
-in rank order while they fit the rest of the target, and one more closes what gap they leave, the one that fits best.
+in rank order while they fit the rest of the target. If a long one does not, further rounds go on down the ranks with the
+documents of at most half the gap; each round halves it or takes all of these. One more document, the one that fits best,
+closes what gap they leave, so that no document left out is smaller than the gap.
 
 The place is found without sorting a source in one task: ranks are counted into ``BINS`` bins for each
 source (pre-aggregated before the shuffle), running totals over these few rows find the bin in which the
@@ -22,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1 << 16
 #: Sources whose figures may be broadcast; a row has under 100 bytes. Beyond it the join is a shuffled one.
 FEW_SOURCES = 50_000
+#: Documents that fill gaps, of all sources, that may be broadcast.
+FEW_PICKS = 500_000
 
 
 def spread_budget(sources: DataFrame, budget: float, most: float = 2.0) -> DataFrame:
@@ -107,15 +111,41 @@ def _sample(ranked: DataFrame, edges: DataFrame) -> DataFrame:
     return rest.unionByName(edge.withColumn("extra", (F.col("before") + F.col("upto") <= F.col("rest")).cast("long")).drop("upto")).drop("e_source")
 
 
-def _closers(sampled: DataFrame) -> DataFrame:
-    """For each source the one document left out that best fills what its sample leaves of the target, if one does."""
+def _fill(sampled: DataFrame) -> DataFrame:
+    """The documents left out that fill what their source's sample leaves of the target: c_source, last_id, last_odds.
+
+    Rows that agree in id and text come in together.
+    """
+    source = lambda c: F.col("source").eqNullSafe(F.col(c))
     gaps = sampled.where("edge is not null").groupBy("source").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("gap"))
-    gaps = small(materialize(gaps.withColumnRenamed("source", "g_source")), FEW_SOURCES)
-    fits = sampled.where("edge is not null and extra = 0").join(gaps, F.col("source").eqNullSafe(F.col("g_source"))).where("size > 0 and size < 2 * gap")
-    # rows that agree in id and text come in together
-    fits = fits.groupBy("source", "doc_id", "odds").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).where("size < 2 * gap")
+    gaps = materialize(gaps.withColumnRenamed("source", "g_source"))
+    left = sampled.where("edge is not null and extra = 0 and size > 0").select("source", "doc_id", "odds", "bin", "size")
+    left = left.groupBy("source", "doc_id", "odds").agg(F.sum("size").alias("size"), F.first("bin").alias("bin"))
+    near = lambda rows: rows.join(small(gaps, FEW_SOURCES), source("g_source")).where("size < 2 * gap").drop("g_source")
+    left = materialize(near(left))
+    by_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_odds = Window.partitionBy("source").orderBy("odds", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picks = []
+    while not left.where("2 * size <= gap").isEmpty():
+        fits = 2 * F.col("size") <= F.col("gap")
+        bins = left.where(fits).groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+        edges = bins.withColumn("so_far", F.sum("words").over(by_bin)).where("so_far > gap and so_far - words <= gap")
+        edges = edges.select(F.col("source").alias("e_source"), F.col("bin").alias("edge"), (F.col("so_far") - F.col("words")).alias("before"))
+        placed = left.join(small(materialize(edges), FEW_SOURCES), source("e_source"), "left").withColumn("fits", fits)
+        at_edge = F.coalesce(F.col("fits") & (F.col("bin") == F.col("edge")), F.lit(False))
+        rest = placed.where(~at_edge).withColumn("taken", F.col("fits") & F.coalesce(F.col("bin") < F.col("edge"), F.lit(True)))
+        edge = placed.where(at_edge).withColumn("taken", F.col("before") + F.sum("size").over(by_odds) <= F.col("gap"))
+        round_ = materialize(rest.unionByName(edge).select("source", "doc_id", "odds", "bin", "size", "taken"))
+        picks.append(round_.where("taken").select("source", "doc_id", "odds"))
+        used = round_.where("taken").groupBy("source").agg(F.sum("size").alias("used"))
+        used = small(used.withColumnRenamed("source", "u_source"), FEW_SOURCES)
+        gaps = materialize(gaps.join(used, F.col("g_source").eqNullSafe(F.col("u_source")), "left").select("g_source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")))
+        left = materialize(near(round_.where("not taken").drop("taken")))
     best = F.min_by(F.struct("doc_id", "odds"), F.struct(F.abs(F.col("size") - F.col("gap")), "odds", "doc_id"))
-    return fits.groupBy("source").agg(best.alias("last")).select(F.col("source").alias("c_source"), F.col("last.doc_id").alias("last_id"), F.col("last.odds").alias("last_odds"))
+    picked = left.groupBy("source").agg(best.alias("last")).select("source", "last.doc_id", "last.odds")
+    for rows in picks:
+        picked = picked.unionByName(rows)
+    return picked.select(F.col("source").alias("c_source"), F.col("doc_id").alias("last_id"), F.col("odds").alias("last_odds"))
 
 
 def mix(sized: DataFrame, targets: DataFrame, slim: DataFrame | None = None) -> DataFrame:
@@ -127,7 +157,7 @@ def mix(sized: DataFrame, targets: DataFrame, slim: DataFrame | None = None) ->
     """
     slim = _rank(sized if slim is None else slim, targets)
     edges = materialize(_edges(slim))
-    closers = small(materialize(_closers(_sample(slim, edges))), FEW_SOURCES)
+    closers = small(materialize(_fill(_sample(slim, edges))), FEW_PICKS)
     done = _sample(_rank(sized, targets), edges).join(
         closers, F.col("source").eqNullSafe(F.col("c_source")) & F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("odds") == F.col("last_odds")), "left"
     )

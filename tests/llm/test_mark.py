@@ -260,6 +260,20 @@ def test_toxicity_on_held_out_rows(spark, make, prose):
     assert not got[1000].rejected and not got[1001].rejected and got[None].rejected
 
 
+def test_toxicity_of_a_repeated_id(spark, make, prose):
+    """A labelled id that holds a third of all rows counts once."""
+    rows = [(i, prose(i, 30) + (" grobian" if i % 4 == 0 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)] + [(500, 1, 1), (501, 1, 0), (501, 0, 0)], "doc_id long, quality int, toxic int")
+    often = [(500, f"plain words {i % 3}") for i in range(100)] + [(500, None), (501, None), (501, "x")]
+    docs = make(rows + often).select("doc_id", "text")
+    found = toxicity.labelled(docs, labels, toxicity.CHAIN, 1000).collect()
+    assert sorted(r.doc_id for r in found) == [*range(200), 500, 501]
+    assert {r.doc_id: r.text for r in found}[501] == "x" and {r.doc_id: r.text for r in found}[500].startswith("plain")
+    assert toxicity.labelled(docs, labels, toxicity.CHAIN, 50).count() == 50
+    got = {r.text: r.rejected for r in toxicity.judge(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(got[t] == ("grobian" in t) for _, t in rows)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)], [(1, None, 1)]])
 def test_toxicity_without_examples(spark, make, labels):
     docs = make([(1, "a b"), (2, "c d"), (3, None)]).select("doc_id", "text")

@@ -134,13 +134,16 @@ def fit_linear(owner: np.ndarray, feature: np.ndarray, n_features: int, chain: n
 
 
 def labelled(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...], rows: int) -> DataFrame:
-    """At most ``rows`` documents with all their labels, one row for each id. Conflicting labels: the larger counts."""
+    """At most ``rows`` documents with all their labels, one row for each id. Conflicting labels: the larger counts.
+    Of rows that repeat an id the text of smallest hash counts, null only if there is no other."""
     clean = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in chain])
     for c in chain:
         clean = clean.where(F.col(c).isin(0, 1))
     some = clean.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows).withColumnRenamed("doc_id", "l_id")
-    found = docs.where("doc_id is not null").join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).drop("l_id")
-    return found
+    found = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).drop("l_id")
+    # tasks keep one row for each id before the shuffle
+    one = found.groupBy("doc_id", *chain).agg(F.min(F.struct(F.col("text").isNull().alias("none"), F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    return one.select("doc_id", "one.text", *chain)
 
 
 def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, rows: int = SAMPLE, features: int = FEATURES) -> Chain:

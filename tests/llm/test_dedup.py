@@ -87,6 +87,20 @@ def test_one_of_each(make, corpus):
     assert kept.where("doc_id = 20").count() == 2  # two texts have this id, one of them twice
 
 
+@pytest.mark.parametrize("m", [2279, 3001, 20_011])
+def test_exact_ties_of_long_texts(m):
+    """Sets that share 4m of 5m grams are linked, those that share one less are not."""
+    import numpy as np
+    import pyarrow as pa
+
+    grams = np.arange(1, 5 * m + 1, dtype=np.uint64)
+    blobs = [grams.tobytes(), grams[: 4 * m].tobytes(), grams[: 4 * m - 1].tobytes()]
+    zero = pa.array([0, 0, 0], pa.int64())
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, zero, pa.array([1, 2, 3]), pa.array([1, 1, 1]), pa.array(blobs, pa.binary())], ["grp", "lo", "hi", "side", "cls", "docs", "grams"])
+    out = pa.Table.from_batches(ngram_join._verify(0.8)(iter([batch])))
+    assert out.column("texts").to_pylist() == [1, 2, 1]
+
+
 def test_near_duplicates_of_nothing(make):
     assert ngram_join.near_duplicates(make([]).select("doc_id", "text")).collect() == []
     assert ngram_join.one_of_each(make([])).collect() == []

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -105,16 +106,18 @@ def _band_hashes(n_bands: int, rows: int):
 
 
 def _candidates(threshold: float, n_hashes: int):
+    share = Fraction(str(threshold))
+    p, q = share.numerator, share.denominator
     least = threshold - 5.6 * math.sqrt(threshold * (1 - threshold) / n_hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in graph.whole_groups(batches, ["bucket", "lo", "hi"]):
             signature = _signatures(table.column("sig"))
-            n, side = table.column("n").to_numpy(), table.column("side").to_numpy()
+            n, side = table.column("n").to_numpy().astype(np.int64), table.column("side").to_numpy()
             one_block = (table.column("lo").to_numpy() == table.column("hi").to_numpy())
             a, b = [], []
             for x, y in graph.pairs(first):
-                ok = (one_block[x] | (side[x] != side[y])) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
+                ok = (one_block[x] | (side[x] != side[y])) & (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y]))
                 x, y = x[ok], y[ok]
                 ok = (signature[x] == signature[y]).mean(axis=1) >= least
                 a.append(x[ok])
@@ -150,17 +153,21 @@ def _overlaps(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     new = np.concatenate([[0], np.cumsum(column[1:] != column[:-1])]) if len(column) else column
-    both = np.zeros((len(sets_), len(sets_)), np.float32)
+    # a product of so few columns is exact in float32, their sum need not be
+    both = np.zeros((len(sets_), len(sets_)), np.int64)
     width = 8192
     for c in range(0, int(new[-1]) + 1 if len(new) else 0, width):
         a, b = np.searchsorted(new, [c, c + width])
         m = np.zeros((len(sets_), width), np.float32)
         m[row[a:b], new[a:b] - c] = 1
-        both += m @ m.T
+        both += (m @ m.T).astype(np.int64)
     return size, both
 
 
 def _verify(threshold: float):
+    share = Fraction(str(threshold))
+    p, q = share.numerator, share.denominator
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in graph.whole_groups(batches, ["grp", "lo", "hi"], rows=256):
             docs, cls, side = (table.column(c).to_numpy() for c in ("docs", "cls", "side"))
@@ -168,8 +175,8 @@ def _verify(threshold: float):
             blobs = table.column("grams").to_pylist()
             for s, e in zip(first.tolist(), first[1:].tolist()):
                 size, both = _overlaps(blobs[s:e])
-                # |A and B| >= t * |A or B|, without a division
-                linked = both * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-3
+                # |A and B| >= p / q * |A or B|, in integers
+                linked = both * (p + q) >= p * (size[:, None] + size[None, :])
                 np.fill_diagonal(linked, False)
                 if not one_block[s]:
                     linked &= side[s:e, None] != side[None, s:e]

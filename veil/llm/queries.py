@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.llm import chat, decontaminate, language, licenses, mixing, ngram_join, query, secrets, sql, substrings, tables, toxicity, winnowing
+from veil.llm import alignment, chat, decontaminate, language, licenses, mixing, ngram_join, query, secrets, sql, substrings, tables, toxicity, winnowing
 
 
 @query("op3_mixing")
@@ -95,3 +95,9 @@ def op4_licenses(spark, folder):
     """License notices of each document, by family."""
     docs = tables.texts(tables.documents(spark, folder, "doc_id", "text"))
     return licenses.scan(docs, licenses.fit(docs))
+
+
+@query("op11_alignment")
+def op11_alignment(spark, folder):
+    """Tokens of two public tokenizers aligned in each document, with corpus-wide counts of linked ids."""
+    return alignment.align(tables.texts(tables.documents(spark, folder, "doc_id", "text")))

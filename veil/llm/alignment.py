@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from veil.llm import graph
 from veil.llm import words as W
-from veil.llm.tables import parts
+from veil.llm.tables import packed, parts, unpacked
 from veil.session import materialize
 
 TOKENIZERS = "/opt/tokenizers"
@@ -181,17 +181,6 @@ def _align(texts: list[str], side_a: _Side, side_b: _Side) -> tuple[np.ndarray,
     return stats, _digests(a, b, group_a, group_b, stats[0] + stats[1]), code, often
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(blob).read_next_batch()
-
-
 def _encode(folder: str, page_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = _sides(folder)
@@ -214,7 +203,7 @@ def _encode(folder: str, page_bytes: int):
             pairs = pa.RecordBatch.from_arrays([pa.array(pair // n_b), pa.array(pair % n_b), pa.array(docs.astype(np.int64))], ["a", "b", "docs"])
             held.clear()
             page += 1
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + page]), pa.array([_packed(pairs)], pa.binary()), pa.array([_packed(rows)], pa.binary())], ["page", "pairs", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + page]), pa.array([packed(pairs)], pa.binary()), pa.array([packed(rows)], pa.binary())], ["page", "pairs", "docs"])
 
         size = 0
         for batch in batches:
@@ -234,7 +223,7 @@ def _encode(folder: str, page_bytes: int):
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for page, blob in zip(batch.column("page").to_pylist(), batch.column("pairs")):
-            pairs = _unpacked(blob.as_py())
+            pairs = unpacked(blob.as_py())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(pairs.num_rows, page)), pa.array(np.arange(pairs.num_rows, dtype=np.int32)), *pairs.columns], ["page", "place", "a", "b", "docs"]
             )
@@ -245,7 +234,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, first in graph.whole_groups(batches, ["page"], rows=1 << 16):
         count, best = table.column("count").to_numpy(), table.column("best").to_numpy()
         for s, e in zip(first.tolist(), first[1:].tolist()):
-            rows = _unpacked(table.column("rows")[s].as_py())
+            rows = unpacked(table.column("rows")[s].as_py())
             count_of, best_of = count[s + 1 : e], best[s + 1 : e]
             borders = rows.column("place").offsets.to_numpy()
             place, often = rows.column("place").values.to_numpy(), rows.column("often").values.to_numpy()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veil.llm import alignment, chat, decontaminate, language, licenses, mixing, ngram_join, query, secrets, sql, substrings, tables, toxicity, winnowing
+from veil.llm import alignment, chat, decontaminate, language, licenses, mixing, ngram_join, phrases, query, secrets, sql, substrings, tables, toxicity, vectors, winnowing
 
 
 @query("op3_mixing")
@@ -101,3 +101,15 @@ def op4_licenses(spark, folder):
 def op11_alignment(spark, folder):
     """Tokens of two public tokenizers aligned in each document, with corpus-wide counts of linked ids."""
     return alignment.align(tables.texts(tables.documents(spark, folder, "doc_id", "text")))
+
+
+@query("op12_vector_dedup", sql.VECTORS)
+def op12_vector_dedup(spark, folder):
+    """Each vector's links by a cosine of 0.95 or more, its component, and whether it is kept."""
+    return vectors.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+@query("op13_collocations", sql.PHRASES)
+def op13_collocations(spark, folder):
+    """The first 2,000 phrases of each language by how much more often their parts stand together than apart."""
+    return phrases.collocations(tables.documents(spark, folder, "text", "lang"))

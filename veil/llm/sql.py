@@ -55,3 +55,35 @@ degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT d.doc_id, class_id, coalesce(copy_id, d.doc_id) AS copy_id, cast(coalesce(n_links, 0) AS bigint) AS n_links, cast(coalesce(n_copies, 0) AS bigint) AS n_copies
 FROM d JOIN classes ON classes.v = d.doc_id LEFT JOIN copies ON copies.doc_id = d.doc_id LEFT JOIN degree ON degree.a = d.doc_id
 """
+
+VECTORS = r"""
+WITH RECURSIVE v AS (SELECT vec_id, cast(embedding AS double[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+reach(x, label) AS (SELECT vec_id, vec_id FROM v UNION SELECT links.b, reach.label FROM reach JOIN links ON links.a = reach.x),
+low AS (SELECT x, min(label) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, cast(coalesce(n_links, 0) AS bigint) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN low ON low.x = v.vec_id LEFT JOIN degree ON degree.a = v.vec_id
+"""
+
+PHRASES = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM w, unnest(range(1, 6)) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i) GROUP BY ALL),
+n AS (SELECT lang, cast(sum(f) AS hugeint) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND f >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.m, c.a, n.n, k, x.f AS l, y.f AS r, (1000 * cast(a AS hugeint) * n) // (cast(x.f AS hugeint) * y.f) AS score
+  FROM c JOIN n USING (lang), unnest(range(1, c.m)) AS t(k)
+  JOIN g AS x ON x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN g AS y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = best.lang AND c.m > best.m AND 100 * c.a >= 100 * best.a
+  AND contains(' ' || c.phrase || ' ', ' ' || best.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, cast(n AS bigint) AS n, cast(score AS bigint) AS score FROM ranked WHERE rank <= 2000
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +28,15 @@ def hidden(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFram
     names = {c: c if c in needed else f"_c{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     return inner, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A batch as one value, so that a checkpoint or a shuffle holds it compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()

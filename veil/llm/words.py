@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 SLICE_BYTES = 2 << 20
 
@@ -139,3 +140,11 @@ def total_hash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     weighted = mix(values + place.astype(np.uint64) * _P)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted)])
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
+
+
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)

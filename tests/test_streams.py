@@ -36,10 +36,48 @@ def test_tokens_however_the_stream_is_cut(spark, tmp_path, cut):
     assert len(list((tmp_path / "s" / "tokens").glob("batch=*"))) <= 2
 
 
-def test_names_are_refused_where_they_cannot_run(spark):
+def _tokens_of(spark, root, batches, **kw):
+    """Masked texts of some batches of (session, text number, time, text)."""
+    sink = SessionTokens(spark, str(root), "secret", Config.only("EMAIL"), **kw)
+    for n, rows in enumerate(batches):
+        batch = spark.createDataFrame([(s, d, t, x, False) for s, d, t, x in rows], "session_id string, doc_id bigint, ts string, text string, is_end boolean")
+        sink(batch.withColumn("ts", F.col("ts").cast("timestamp")), n)
+    return {r.doc_id: (r.life, r.redacted) for r in sink.redacted().collect()}
+
+
+def test_a_token_of_a_life_has_one_value_after_a_silence(spark, tmp_path):
+    """Another session's batch lies between, and drops the state of the silent one."""
+    done = _tokens_of(spark, tmp_path, [[("a", 0, "2024-01-01", "x@acme.com")], [("b", 1, "2024-01-04", "q@acme.com")], [("a", 2, "2024-01-04", "y@acme.com x@acme.com")]])
+    assert done[0][1] == "[EMAIL_1]" and done[2][1] == "[EMAIL_1] [EMAIL_2]"
+    assert done[0][0] != done[2][0]
+
+
+def test_a_text_stamped_far_ahead_ends_no_other_session(spark, tmp_path):
+    rows = [
+        [("a", 0, "2024-01-01 00:00:00", "x1@acme.com"), ("b", 1, "2024-01-01 00:00:30", "z@acme.com"), ("c", 2, "2024-01-01 00:00:40", "w@acme.com")],
+        [("b", 3, "2100-01-01 00:00:00", "z@acme.com")],
+        [("a", 4, "2024-01-01 00:01:00", "y2@acme.com x1@acme.com"), ("b", 5, "2024-01-01 00:02:00", "z2@acme.com")],
+    ]
+    done = _tokens_of(spark, tmp_path / "x", rows)
+    assert done[4] == (done[0][0], "[EMAIL_2] [EMAIL_1]")
+    assert done[2][1] == "[EMAIL_1]"
+    # one text after the other gives the same as all in one batch, but for what the far stamp itself does to its session
+    one = _tokens_of(spark, tmp_path / "y", [[r for batch in rows for r in batch]])
+    assert {k: v for k, v in one.items() if k in (0, 2, 4)} == {k: v for k, v in done.items() if k in (0, 2, 4)}
+
+
+def test_twenty_cuts_give_what_one_gives(spark, tmp_path):
+    rows = [("abcd"[i % 4], i, f"2024-01-{1 + i * i // 40:02d} {i % 24:02d}:00:00", f"u{i % 7}@acme.com and U{i % 5}@acme.com") for i in range(20)]
+    rows.sort(key=lambda r: (r[2], r[1]))
+    assert _tokens_of(spark, tmp_path / "many", [[r] for r in rows]) == _tokens_of(spark, tmp_path / "one", [rows])
+
+
+def test_the_sweep_is_refused_where_it_cannot_run(spark):
     texts = spark.createDataFrame([(0, "x")], "doc_id int, text string")
     with pytest.raises(ValueError):
-        detect_stream(texts, Config(detectors={"PERSON": True}), ["doc_id"])
+        detect_stream(texts, Config(sweep=True), ["doc_id"])
+    with pytest.raises(ValueError):
+        SessionTokens(spark, "unused", "secret", Config())
 
 
 @pytest.mark.parametrize("cut", [1, 3])

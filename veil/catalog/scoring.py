@@ -10,6 +10,8 @@ from veil.operators import rules as R
 from veil.operators import score as S
 from veil.operators.detect import detect
 from veil.operators.encoded import detect_encoded, drop_in_base64
+from veil.functions.text import unmarked
+from veil.operators.inrow import detection, finding_rows, resolved
 from veil.operators.resolve import (
     TYPE_PRECEDENCE, above_floor, drop_allowed, drop_rejected, enough_instances, precedence, resolve_overlaps,
 )
@@ -217,21 +219,35 @@ _CANDIDATES = " UNION ALL ".join(
 ) + " UNION ALL SELECT doc_id, start_at, value, 'CUSTOM' FROM (" + matches_sql(V.IDS, r"[0-9-]{4,8}") + " SELECT * FROM e) q"
 
 
-@query(
-    "resolve_overlaps",
+_RESOLVED = (
     f"""WITH RECURSIVE cand AS ({_CANDIDATES}),
 o AS (SELECT *, start_at + length(value) AS end_at, row_number() OVER (PARTITION BY doc_id ORDER BY start_at, {_PREC.replace("'CUSTOM' THEN 55", "'CUSTOM' THEN 105")} DESC, length(value) DESC) AS rn FROM cand),
 walk AS (SELECT doc_id, rn, end_at AS last_end, true AS kept FROM o WHERE rn = 1
  UNION ALL SELECT o.doc_id, o.rn, CASE WHEN o.start_at >= w.last_end THEN o.end_at ELSE w.last_end END, o.start_at >= w.last_end FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn + 1)
-SELECT o.doc_id, o.start_at, o.end_at, o.type, o.value FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn WHERE kept""",
+SELECT o.doc_id, o.start_at, o.end_at, o.type, o.value FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn WHERE kept"""
 )
-def resolve(spark, folder):
+
+
+def _resolving(spark):
     chosen = [r for r in R.BUILTIN if r.key in _RESOLVE_TYPES]
-    custom = R.custom_rules(Config(custom_patterns=({"type": "CUSTOM", "pattern": "[0-9-]{4,8}"},)), spark)
-    found = detect(view(spark, folder, V.IDS), chosen + custom, ["doc_id"])
+    return chosen + R.custom_rules(Config(custom_patterns=({"type": "CUSTOM", "pattern": "[0-9-]{4,8}"},)), spark)
+
+
+@query("resolve_overlaps", _RESOLVED)
+def resolve(spark, folder):
+    found = detect(view(spark, folder, V.IDS), _resolving(spark), ["doc_id"])
     return spans_out(resolve_overlaps(found, ["doc_id"])).drop("via")
 
 
+@query("resolve_in_row", _RESOLVED)
+def resolve_in_row(spark, folder):
+    """The same inside the row: candidates and walk as arrays, nothing shuffled."""
+    texts = view(spark, folder, V.IDS).select("doc_id", unmarked(F.col("text")).alias("_body"))
+    for step in [*detection(F.col("_body"), _resolving(spark), Config()), resolved]:
+        texts = texts.withColumn("_found", step(F.col("_found")))
+    return spans_out(finding_rows(texts, ["doc_id"], "_found")).drop("via")
+
+
 # ---- hidden forms
 ENCODED = f"""SELECT c_custkey AS doc_id, c_name || ' says ' || CASE c_custkey % 4 WHEN 0 THEN 'to=u' || cast(c_custkey as string) || '.x%40mail.example.com&k=1' WHEN 1 THEN 'phone=%2B2782' || {pad('c_custkey', 7)} || ' ok'
  WHEN 2 THEN 'u' || cast(c_custkey as string) || '&#64;mail.example.com now' ELSE '100%25 sure, 50%zz' END AS text FROM customer"""

@@ -1,12 +1,14 @@
 """Streaming jobs over the sample tables, run to the end of what is there."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veil.catalog.audit import PLANS, USAGE
 from veil.catalog.base import EMAIL_RE2, query, re2, spans_out, spans_sql, view
 from veil.catalog.records import METHOD
 from veil.catalog.redaction import CONV, NOTICE, masked_sql, token_steps
-from veil.catalog.views import DOCS
+from veil.catalog.scoring import LEVEL_SQL, NUMBERS, scored_sql
+from veil.catalog.views import CONTEXT, DOCS
 from veil.config import Config
 from veil.operators import rules as R
 from veil.sources.sinks import scratch
@@ -46,6 +48,16 @@ def str_detect(spark, folder):
     return spans_out(J.run_available(J.detect_stream(docs, Config.only("EMAIL"), ["doc_id"]), "detect"))
 
 
+@query("str_graded", scored_sql(NUMBERS) + f" SELECT doc_id, cast(start_at AS bigint) AS start_at, type, value, points / 100.0 AS confidence, {LEVEL_SQL} AS level FROM g WHERE points >= 35")
+def str_graded(spark, folder):
+    """Numbers graded by what stands around them, on arrival."""
+    view(spark, folder, "SELECT 1 AS doc_id")
+    stream_of(spark, folder, "orders").createOrReplaceTempView("orders_stream")
+    texts = spark.sql(CONTEXT.replace("FROM orders", "FROM orders_stream"))
+    found = J.run_available(J.detect_stream(texts, Config.only("PHONE", "CREDIT_CARD"), ["doc_id"]), "graded")
+    return found.select("doc_id", F.col("start_at").cast("bigint").alias("start_at"), "type", "value", "confidence", "level")
+
+
 def conversations(spark, folder, is_end="false"):
     view(spark, folder, "SELECT 1 AS doc_id")
     turns = stream_of(spark, folder, "conversations")
@@ -82,7 +94,7 @@ def replayed(spark, folder, later: str, is_end: str):
     for batch_id, shift in ((0, "0 hours"), (1, later)):
         at = F.expr(f"timestamp_seconds(1700000000 + doc_id * 60) + interval {shift}")
         tokens(flat.withColumn("ts", at).withColumn("is_end", F.expr(is_end)), batch_id)
-    return tokens.redacted().select("session_id", "doc_id", "redacted", F.col("batch").cast("int").alias("batch"), (~F.col("life").endswith("#0")).alias("again"))
+    return tokens.redacted().select("session_id", "doc_id", "redacted", F.col("batch").cast("int").alias("batch"), (F.min("batch").over(Window.partitionBy("life")) > 0).alias("again"))
 
 
 @query("str_ttl", _TWICE.replace("{again}", "b = 1"))

@@ -121,6 +121,13 @@ def is_lowercase_person(type_: Column, via: Column, value: Column) -> Column:
     return (type_ == "PERSON") & ~via.isin("term", "established") & (value == F.lower(value))
 
 
+def points(via: Column, hot: Column, anti: Column, lowercase: Column) -> Column:
+    """Hundredths: what the evidence is worth, with the context's bonus and maluses."""
+    plus = F.when(hot.isNotNull(), HOT_BONUS).otherwise(0)
+    minus = F.when(anti.isNotNull(), ANTI_MALUS).otherwise(0) + F.when(lowercase, LOWERCASE_MALUS).otherwise(0)
+    return F.greatest(F.lit(0), F.least(F.lit(CEILING), base_score(via) + plus - minus))
+
+
 def level(points: Column) -> Column:
     return F.when(points >= HIGH, "high").when(points >= MEDIUM, "medium").otherwise("low")
 
@@ -155,19 +162,7 @@ def score(findings: DataFrame, drop_weak: bool = True) -> DataFrame:
         findings.withColumn("_hot", hotword(type_, F.col("before"), F.col("after")))
         .withColumn("_anti", antiword(type_, via, F.col("before")))
         .withColumn("_low", is_lowercase_person(type_, via, value))
-        .withColumn(
-            "points",
-            F.greatest(
-                F.lit(0),
-                F.least(
-                    F.lit(CEILING),
-                    base_score(via)
-                    + F.when(F.col("_hot").isNotNull(), HOT_BONUS).otherwise(0)
-                    - F.when(F.col("_anti").isNotNull(), ANTI_MALUS).otherwise(0)
-                    - F.when(F.col("_low"), LOWERCASE_MALUS).otherwise(0),
-                ),
-            ),
-        )
+        .withColumn("points", points(via, F.col("_hot"), F.col("_anti"), F.col("_low")))
     )
     if drop_weak:
         scored = scored.where(F.col("points") >= FLOOR)

@@ -103,38 +103,50 @@ def with_context(text: Column, spans: Column, *extra: str, context: int = CONTEX
     return F.transform(spans, add)
 
 
-def find_spans(df: DataFrame, rules: list[Rule], keys: list[str], text: str = "text", context: int = CONTEXT) -> DataFrame:
-    """One row per raw match: ``keys, rule, start_at, end_at, value, explicit, before, after``.
-
-    ``rule`` is the index in ``rules``. Offsets count characters from 0.
-    """
-    body = F.col("_text")
+def _rule_parts(body: Column, rules: list[Rule]) -> Column:
+    """For each rule that matches: its number, and the alternating gaps and matches."""
 
     def parts(rule: Rule) -> Column:
         found = F.split(F.regexp_replace(body, F.lit(rule.regex), F.lit(rule.mark)), f"[{OPEN}{CLOSE}]", -1)
         return F.when(rule.guard(body), found) if rule.guard else found
 
     per_rule = F.array(*[F.struct(F.lit(i).alias("rule"), parts(r).alias("parts")) for i, r in enumerate(rules)])
+    return F.filter(per_rule, lambda r: F.size(r["parts"]) > 1)
+
+
+def _described(body: Column, part: Column, start: Column, context: int, *head: Column) -> Column:
+    value = _plain(part)
+    end = start + F.length(value)
+    return F.struct(
+        *head,
+        start.alias("start_at"),
+        end.alias("end_at"),
+        value.alias("value"),
+        part.endswith(ALT).alias("explicit"),
+        F.substring(body, F.greatest(start - context, F.lit(0)) + 1, F.least(start, F.lit(context))).alias("before"),
+        F.substring(body, end + 1, F.lit(context)).alias("after"),
+    )
+
+
+def hits_in(body: Column, rules: list[Rule], context: int = CONTEXT) -> Column:
+    """What ``find_spans`` gives as rows, as one array; ``body`` must be marker-free."""
+    each = lambda r: F.transform(_located(r["parts"]), lambda z: _described(body, z["p"], z["s"], context, r["rule"].alias("rule")))
+    return F.flatten(F.transform(_rule_parts(body, rules), each))
+
+
+def find_spans(df: DataFrame, rules: list[Rule], keys: list[str], text: str = "text", context: int = CONTEXT) -> DataFrame:
+    """One row per raw match: ``keys, rule, start_at, end_at, value, explicit, before, after``.
+
+    ``rule`` is the index in ``rules``. Offsets count characters from 0.
+    """
+    body = F.col("_text")
     marked = (
         df.where(F.length(text) > 0)
         .select(*keys, unmarked(F.col(text)).alias("_text"))
-        .select(*keys, "_text", F.explode(F.filter(per_rule, lambda r: F.size(r["parts"]) > 1)).alias("_r"))
+        .select(*keys, "_text", F.explode(_rule_parts(body, rules)).alias("_r"))
         .select(*keys, "_text", F.col("_r.rule").alias("rule"), F.col("_r.parts").alias("_parts"))
     )
-
-    def describe(part, start):
-        value = _plain(part)
-        end = start + F.length(value)
-        return F.struct(
-            start.alias("start_at"),
-            end.alias("end_at"),
-            value.alias("value"),
-            part.endswith(ALT).alias("explicit"),
-            F.substring(body, F.greatest(start - context, F.lit(0)) + 1, F.least(start, F.lit(context))).alias("before"),
-            F.substring(body, end + 1, F.lit(context)).alias("after"),
-        )
-
-    hits = F.transform(_located(F.col("_parts")), lambda z: describe(z["p"], z["s"]))
+    hits = F.transform(_located(F.col("_parts")), lambda z: _described(body, z["p"], z["s"], context))
     return marked.select(*keys, "rule", F.explode(hits).alias("_h")).select(*keys, "rule", "_h.*")
 
 

@@ -15,6 +15,8 @@ from veil.operators.spans import locate, running_starts, with_context
 
 # each delimiter as it stands and as a pattern
 DELIMITERS = [("\t", r"\t"), ("|", r"\|"), (",", ",")]
+# the findings of a text as an array
+FOUND = "array<struct<type:string,start_at:int,end_at:int,value:string,surface:string,via:string,before:string,after:string,gathered:int>>"
 HTML_CELL = r"(<t[dh][^>]*>)([\s\S]*?)(</t[dh]>)"
 
 
@@ -92,29 +94,49 @@ def html_pairs(body: Column) -> Column:
     return F.filter(found, lambda s: s["type"].isNotNull() & (F.length(s["value"]) > 1) & column_type(s["value"]).isNull())
 
 
-def detect_tables(df: DataFrame, keys: list[str], parts: tuple[str, ...] = ("header", "adjacent", "html"), text: str = "text", header_lines: int | None = 5) -> DataFrame:
-    """Findings (via ``field``) of the chosen table shapes."""
-    body = F.col("_text")
-    lined = (
-        df.where(F.length(text) >= 8)
-        .where(F.col(text).rlike(HAS_HEADING) | F.col(text).rlike("(?i)<t[dh]"))
-        .select(*keys, unmarked(F.col(text)).alias("_text"))
-        .withColumn("_lines", _offsets(F.split("_text", "\n", -1), 1))
-    )
+_MAY_HOLD = (HAS_HEADING, "(?i)<t[dh]")
+
+
+def _table_spans(body: Column, lines: Column, parts: tuple[str, ...], header_lines: int | None) -> Column:
+    """Values of the chosen table shapes, with type and context."""
     delims = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(q).alias("q")) for d, q in DELIMITERS])
     present = F.filter(delims, lambda d: F.contains(body, d["d"]))
     found = []
     if "header" in parts:
-        found.append(F.flatten(F.filter(F.transform(present, lambda d: under_header(F.col("_lines"), d, header_lines)), lambda a: a.isNotNull())))
+        found.append(F.flatten(F.filter(F.transform(present, lambda d: under_header(lines, d, header_lines)), lambda a: a.isNotNull())))
     if "adjacent" in parts:
-        found.append(F.flatten(F.transform(present, lambda d: beside_label(F.col("_lines"), d))))
+        found.append(F.flatten(F.transform(present, lambda d: beside_label(lines, d))))
     if "html" in parts:
         found.append(F.when(body.rlike("(?i)<t[dh]"), html_pairs(body)))
     spans = F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))
+    return with_context(body, spans, "type")
+
+
+def table_findings(body: Column, parts: tuple[str, ...] = ("header", "adjacent", "html"), header_lines: int | None = 5) -> Column:
+    """What ``detect_tables`` gives as rows, as one array; ``body`` must be marker-free."""
+
+    def finding(s):
+        return F.struct(
+            s["type"].alias("type"), s["start_at"].alias("start_at"), s["end_at"].alias("end_at"), s["value"].alias("value"), s["value"].alias("surface"),
+            F.lit("field").alias("via"), s["before"].alias("before"), s["after"].alias("after"), F.lit(GATHERED["table"]).alias("gathered"),
+        )
+
+    likely = (F.length(body) >= 8) & (body.rlike(_MAY_HOLD[0]) | body.rlike(_MAY_HOLD[1]))
+    spans = let(_offsets(F.split(body, "\n", -1), 1), lambda lines: F.transform(_table_spans(body, lines, parts, header_lines), finding))
+    return F.coalesce(F.when(likely, spans), F.array().cast(FOUND))
+
+
+def detect_tables(df: DataFrame, keys: list[str], parts: tuple[str, ...] = ("header", "adjacent", "html"), text: str = "text", header_lines: int | None = 5) -> DataFrame:
+    """Findings (via ``field``) of the chosen table shapes."""
+    body = F.col("_text")
+    lined = (
+        df.where(F.length(text) >= 8)
+        .where(F.col(text).rlike(_MAY_HOLD[0]) | F.col(text).rlike(_MAY_HOLD[1]))
+        .select(*keys, unmarked(F.col(text)).alias("_text"))
+        .withColumn("_lines", _offsets(F.split("_text", "\n", -1), 1))
+    )
     return (
-        lined.select(*keys, "_text", spans.alias("_spans"))
-        .where(F.size("_spans") > 0)
-        .select(*keys, F.explode(with_context(body, F.col("_spans"), "type")).alias("_s"))
+        lined.select(*keys, F.explode(_table_spans(body, F.col("_lines"), parts, header_lines)).alias("_s"))
         .select(
             *keys, "_s.type", "_s.start_at", "_s.end_at", "_s.value", F.col("_s.value").alias("surface"),
             F.lit("field").alias("via"), "_s.before", "_s.after", F.lit(GATHERED["table"]).alias("gathered"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from veil.config import Config
 from veil.operators.detect import detect, text_rules
 from veil.operators.encoded import detect_encoded, drop_in_base64
+from veil.operators.inrow import finding_rows, findings_in_row
 from veil.operators.known import learn_and_sweep
 from veil.operators.resolve import select_findings
 from veil.operators.score import score
@@ -47,10 +48,12 @@ def candidates(corpus: DataFrame, config: Config, keys: list[str] = KEYS, text:
 def find(corpus: DataFrame, config: Config | None = None, keys: list[str] = KEYS, text: str = "text", lists: Lists = Lists()) -> DataFrame:
     """Resolved findings of ``corpus`` (keys and text).
 
-    With the sweep on, the candidates are checkpointed once: known values are learnt from them and
-    then looked for in every text of the same session.
+    Without the sweep and without lists that are tables all of it happens inside the row. With the sweep on, the candidates
+    are checkpointed once: known values are learnt from them and then looked for in every text of the same session.
     """
     config = config or Config()
+    if not config.sweep and lists == Lists():
+        return finding_rows(findings_in_row(corpus, config, text), keys)
     found = candidates(corpus, config, keys, text, lists)
     if config.sweep:
         found = learn_and_sweep(materialize(found), corpus, keys, config, text)

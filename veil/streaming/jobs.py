@@ -7,24 +7,21 @@ from pyspark.sql import functions as F
 
 from veil.config import Config
 from veil.functions.crypto import blind_index, derive_key, encrypt, hmac_pads
-from veil.operators.detect import detect, text_rules
-from veil.operators.encoded import drop_in_base64
-from veil.operators.resolve import select_findings
-from veil.operators.score import score
+from veil.operators.inrow import finding_rows, findings_in_row
 from veil.operators.tokens import assign_tokens, redact
-from veil.plans.redact import candidates
 from veil.session import materialize
 from veil.sources.sinks import scratch
 
 
 def detect_stream(texts: DataFrame, config: Config, keys: list[str]) -> DataFrame:
-    """Raw findings of a stream of texts: the batch expressions, one text at a time, no state.
+    """Resolved and graded findings of a stream of texts, names included: the whole chain inside the row, without state.
 
-    Names need a look at their neighbours in the text, a window that streams don't have: use ``SessionTokens`` for them.
+    The same rows as ``plans.redact.find`` gives for a table with the sweep off; known values of a session need more than
+    one text, so with the sweep on this is refused.
     """
-    if config.on("PERSON"):
-        raise ValueError("PERSON needs a foreachBatch sink such as SessionTokens")
-    return detect(texts, text_rules(config, texts.sparkSession), keys, config)
+    if config.sweep:
+        raise ValueError("the sweep needs all texts of a session: use Config(sweep=False)")
+    return finding_rows(findings_in_row(texts, config), keys)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -43,22 +40,28 @@ class SessionTokens:
 
     Used as a ``foreachBatch`` sink that runs the whole chain on arrival: rules, labels, names, tables, hidden forms, grading,
     overlaps. A session starts anew after an end marker, or when it was silent for ``ttl``, wherever in a batch that happens:
-    by the texts' times, not by how the stream was cut.
+    by its own texts' times, not by how the stream was cut nor by other sessions. Each spell of a session, its ``life``, is
+    named by its first text, so a token of a life never stands for two values, also when the session's state was dropped.
 
     The state is a compacted snapshot for each batch: tokens of sessions that still live, and each session's last time. A batch
     reads the snapshot before it and writes its own, so work follows the batch and what lives, and a replayed batch overwrites
     its own output. Values are sealed; they are joined by their keyed fingerprint. Snapshots before the last two are deleted,
-    and with them the values of sessions that ended or fell silent.
+    and with them the values of sessions that ended or fell silent. Silence is measured against the latest time that another
+    session supports within ``lead``, and that has come by the clock: a few texts stamped far ahead end no session but their own.
     """
 
-    def __init__(self, spark: SparkSession, root: str, secret: str, config: Config | None = None, ttl: str = "24 hours"):
-        self.spark, self.root, self.ttl = spark, root.rstrip("/"), ttl
+    OUTLIERS, FOUND = 2, "_findings"
+
+    def __init__(self, spark: SparkSession, root: str, secret: str, config: Config | None = None, ttl: str = "24 hours", lead: str = "7 days"):
+        self.spark, self.root, self.ttl, self.lead = spark, root.rstrip("/"), ttl, lead
         self.config = config or Config(sweep=False)
+        if self.config.sweep:
+            raise ValueError("the sweep needs all texts of a session: use Config(sweep=False)")
         self.ipad, self.opad = (F.lit(p) for p in hmac_pads(derive_key("blind", "stream", secret)))
         self.key = F.lit(derive_key("enc", "stream", secret).hex())
 
     TOKENS = "session_id string, life string, type string, norm_ix string, ordinal bigint, token string, canonical string"
-    SESSIONS = "session_id string, turns bigint, last_ts timestamp, ended boolean"
+    SESSIONS = "session_id string, life string, last_ts timestamp, ended boolean"
     LIFE = ["life", "doc_id"]
 
     def _folder(self, name: str):
@@ -89,25 +92,34 @@ class SessionTokens:
         return self.spark.read.parquet(f"{self.root}/redacted")
 
     def _lives(self, texts: DataFrame, before: DataFrame) -> DataFrame:
-        """Texts with ``turns`` (how often their session has started anew) and ``life``, the session's name for tokens."""
-        joined = texts.join(before.withColumnsRenamed({"turns": "_turns", "last_ts": "_last", "ended": "_ended"}), "session_id", "left")
+        """Texts with ``life``: the session's name with the time and id of the text that its current spell began with."""
+        joined = texts.join(before.withColumnsRenamed({"life": "_life", "last_ts": "_last", "ended": "_ended"}), "session_id", "left")
         order = Window.partitionBy("session_id").orderBy("ts", "doc_id")
         first = F.row_number().over(order) == 1
         earlier = F.when(first, F.col("_last")).otherwise(F.lag("ts").over(order))
         ended = F.when(first, F.col("_ended")).otherwise(F.lag("is_end").over(order))
-        anew = F.coalesce(ended, F.lit(False)) | F.coalesce(F.col("ts") - earlier > F.expr(f"interval {self.ttl}"), F.lit(False))
-        turns = F.coalesce("_turns", F.lit(0).cast("bigint")) + F.sum(F.col("_anew").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return joined.withColumn("_anew", anew).withColumn("turns", turns).withColumn("life", F.concat_ws("#", "session_id", F.col("turns").cast("string"))).drop("_turns", "_last", "_ended", "_anew")
+        anew = F.coalesce(ended, F.lit(False)) | F.coalesce(F.col("ts") - earlier > F.expr(f"interval {self.ttl}"), F.lit(False)) | (first & F.col("_life").isNull())
+        named = F.when(F.col("_anew"), F.concat_ws("#", "session_id", F.unix_micros("ts").cast("string"), F.col("doc_id").cast("string")))
+        life = F.coalesce(F.last(named, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_life")
+        return joined.withColumn("_anew", anew).withColumn("life", life).drop("_life", "_last", "_ended", "_anew")
+
+    def _clock(self, sessions: DataFrame):
+        """The latest last time of a session that another one supports, leaving a few at most out; None without sessions."""
+        latest = [r[0] for r in sessions.where("last_ts is not null").orderBy(F.desc("last_ts")).select(F.unix_micros("last_ts")).limit(self.OUTLIERS + 1).collect()]
+        lead = self.spark.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {self.lead}"))).first()[0]
+        for t, before in zip(latest, latest[1:]):
+            if t - before <= lead:
+                return t
+        return latest[-1] if latest else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         config = self.config
         sessions = self._snapshot("sessions", self.SESSIONS, batch_id)
         given = self._snapshot("tokens", self.TOKENS, batch_id)
-        texts = materialize(self._lives(batch.withColumn("session_id", F.col("session_id").cast("string")), sessions))
-        found = candidates(texts, config, self.LIFE)
-        if config.encoded:
-            found = drop_in_base64(found, texts, self.LIFE)
-        kept = select_findings(score(found), self.LIFE, config)
+        texts = batch if self.FOUND in batch.columns else findings_in_row(batch, config, name=self.FOUND)
+        texts = materialize(self._lives(texts.withColumn("session_id", F.col("session_id").cast("string")), sessions))
+        kept = finding_rows(texts, self.LIFE, self.FOUND)
+        texts = texts.drop(self.FOUND)
         kept = materialize(kept.withColumn("norm_ix", blind_index(F.col("value"), self.ipad, self.opad)))
         live = given.join(texts.select("life").distinct(), "life", "left_semi")
         new = kept.join(live.select("life", "type", "norm_ix"), ["life", "type", "norm_ix"], "left_anti")
@@ -120,21 +132,25 @@ class SessionTokens:
             .withColumn("token", F.concat(F.lit(config.token_prefix), "type", F.lit("_"), F.col("ordinal").cast("string"), F.lit(config.token_suffix)))
             .withColumn("norm_ix", blind_index(F.col("canonical"), self.ipad, self.opad))
             .withColumn("canonical", encrypt(F.col("canonical"), self.key))
-            .withColumn("session_id", F.regexp_replace("life", "#[0-9]+$", ""))
+            .join(texts.select("life", "session_id").distinct(), "life")
         )
         columns = [c.split()[0] for c in self.TOKENS.split(", ")]
         valid = materialize(live.select(*columns).unionByName(named.select(*columns)))
         tokenised = kept.join(valid.select("life", "type", "norm_ix", "token"), ["life", "type", "norm_ix"])
         done = redact(texts, tokenised, self.LIFE)
         self._write(done.select("session_id", "life", "doc_id", "redacted"), "redacted", batch_id)
-        last = texts.groupBy("session_id").agg(F.max("turns").alias("turns"), F.max("ts").alias("last_ts"), F.max_by("is_end", F.struct("ts", "doc_id")).alias("ended"))
-        rest = sessions.join(last.select("session_id"), "session_id", "left_anti")
-        every = rest.unionByName(last)
-        now = texts.agg(F.max("ts")).first()[0]
+        newest = F.struct("ts", "doc_id")
+        last = texts.groupBy("session_id").agg(
+            F.max_by("life", newest).alias("life"), F.least(F.max("ts"), F.current_timestamp()).alias("last_ts"), F.max_by("is_end", newest).alias("ended")
+        )
+        known = sessions.select("session_id", F.col("last_ts").alias("_last"))
+        last = last.join(known, "session_id", "left").withColumn("last_ts", F.greatest("last_ts", "_last")).drop("_last")
+        every = materialize(sessions.join(last.select("session_id"), "session_id", "left_anti").unionByName(last))
+        now = self._clock(every)
         if now is not None:
-            every = every.where(~F.coalesce(F.lit(now).cast("timestamp") - F.col("last_ts") > F.expr(f"interval {self.ttl}"), F.lit(False)))
-        every = materialize(every)
-        current = every.where("not coalesce(ended, false)").select(F.concat_ws("#", "session_id", F.col("turns").cast("string")).alias("life"))
+            since = F.least(F.timestamp_micros(F.lit(now)), F.current_timestamp()) - F.expr(f"interval {self.ttl}")
+            every = every.where(F.coalesce(F.col("last_ts") >= since, F.lit(True)))
+        current = every.where("not coalesce(ended, false)").select("life")
         others = given.join(texts.select("life").distinct(), "life", "left_anti")
         self._write(others.select(*columns).unionByName(valid).join(current, "life", "left_semi").select(*columns), "tokens", batch_id)
         self._write(every, "sessions", batch_id)
@@ -147,8 +163,9 @@ class SessionTokens:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
 
     def run(self, stream: DataFrame) -> None:
+        found = findings_in_row(stream, self.config, name=self.FOUND)  # planned once, not for each batch
         query = (
-            stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.root}/progress").trigger(availableNow=True).start()
+            found.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.root}/progress").trigger(availableNow=True).start()
         )
         query.awaitTermination()
 

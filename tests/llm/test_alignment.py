@@ -11,7 +11,7 @@ from veil.llm import alignment
 
 TEXTS = [
     "The quick brown fox, jumping over 12345 lazy dogs.", "naïve café – 東京タワー กขค 😀👍", "  two  spaces\tand\ttabs \n\n newlines ", "", None, "a" * 700,
-    "<|endoftext|> and <s> </s> <unk> are plain text here", "▁ is kept by one side only", "same text", "same text", "=-" * 400 + " ----- " * 30, "ǆ ﬁ Å nfkc?",
+    "<|endoftext|> and <s> </s> <unk> are plain text here", "▁ is kept by one side only", "same text", "same text", "=-" * 400 + " ----- " * 30, "ǆ ﬁ Å nfkc?", "it's they'll 's we 're a  b   c \u00a0 d\u2003e f\u0301 g \u0301 h", " lead", "trail ", "é à ÿ÷ x × y 1 2 3a b4 ... a - b", "x\u200b y\u00ad z",
 ]
 
 
@@ -79,11 +79,10 @@ def test_long_text_and_large_group(spark, monkeypatch):
     assert result(alignment.align(docs)) == want
     # all groups as large ones, in this process
     texts = [t for _, t in rows]
-    sides = alignment._sides(alignment.TOKENIZERS)
-    usual = alignment._align(texts, *sides)
+    usual = alignment._align(texts, alignment.Memory(alignment.TOKENIZERS))
     for most in (0, 3, 50):
         monkeypatch.setattr(alignment, "EXPAND", max(most, 1))
-        other = alignment._align(texts, *sides)
+        other = alignment._align(texts, alignment.Memory(alignment.TOKENIZERS))
         assert all(np.array_equal(x, y) for x, y in zip(usual, other))
 
 
@@ -96,3 +95,19 @@ def test_groups_cover_the_same_bytes(sizes):
     a, b = (np.array(s) for s in sizes)
     x, y = alignment.coalesce(a, b)
     assert np.array_equal(np.bincount(x, weights=a), np.bincount(y, weights=b))
+
+
+def test_memory_gives_the_same_ids(spark):
+    """Stretches encoded apart, remembered, forgotten and learnt again, against whole texts."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(400).collect()
+    texts = [r["text"] or "" for r in rows] + [t or "" for t in TEXTS] + ["".join(np.random.default_rng(i).choice(list("ab \'.1é\t\n$ÿ　ﬁ "), 200)) for i in range(300)]
+    for most in (1 << 30, 100_000):
+        memory = alignment.Memory(alignment.TOKENIZERS, most)
+        for i in range(0, len(texts), 50):
+            some = texts[i : i + 50]
+            for side, (ids, first) in zip(memory.sides, memory.encode(some)):
+                for t, a, b in zip(some, first, first[1:]):
+                    whole = side.encode([t])[0]
+                    fits = t and all(b"".join(s.tokens[k] for k in s.encode([t])[0]) == (" " + t).encode() for s in memory.sides)
+                    assert ids[a:b].tolist() == (whole if fits else []), t
+        assert memory.seams

@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment: which tokens of one tokenizer stand for the same bytes as which of another.
 
-1. A task encodes its texts by both tokenizers, a few megabytes at a time. Interval coalescing: all tokens are lexsorted by
+1. A task encodes its texts by both tokenizers, a few megabytes at a time; stretches between seams that neither can cross
+   are encoded once and remembered. Interval coalescing: all tokens are lexsorted by
    their first byte, the running maximum of the ends is taken, and a group breaks where a token starts at that maximum.
    Tokens of a group are linked all with all (``_links``), so a group is the smallest stretch both tokenizers cut out alike.
 2. Each document's distinct links go into a page, some megabytes of text of one task: a list of the page's distinct id
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -37,6 +39,8 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text of a page, in bytes. It decides how often a pair is sent, not what is counted.
 PAGE_BYTES = 24 << 20
+#: Texts a task remembers the tokens of, in bytes; it decides what is encoded again.
+REMEMBERED = 64 << 20
 #: Links expanded at once; a larger group is counted by its distinct ids.
 EXPAND = 1 << 21
 
@@ -92,10 +96,62 @@ def _sides(folder: str) -> tuple[_Side, _Side]:
     return ByteLevel(os.path.join(folder, BYTE_BPE)), Pieces(os.path.join(folder, PIECES))
 
 
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids, and the borders of the texts."""
-    first = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in ids], dtype=np.int64)])
-    return np.fromiter(chain.from_iterable(ids), np.int64, int(first[-1])), first
+#: A space after a sign of ASCII or a letter of Latin-1, before such a letter. Both tokenizers begin a token at it whatever stands
+#: around it: byte-level BPE splits there before it merges, and no piece holds a space after another character (``Memory`` looks).
+_SEAM = re.compile(r" (?<=[!-~À-ÖØ-öø-ÿ] )(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
+
+
+def _spread(first: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values ``first[w]`` to ``first[w + 1]`` of each w of ``which``, one after the other, and how many each has."""
+    n = np.diff(first)[which]
+    return values[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[which], n)], n
+
+
+class Memory:
+    """Encodes texts stretch by stretch between seams, and remembers what it has encoded; forgets all beyond a size."""
+
+    def __init__(self, folder: str, most: int = REMEMBERED):
+        self.sides, self.most = _sides(folder), most
+        self.seams = not any(" " in t.lstrip(b" ").decode("utf-8", "replace") for t in self.sides[1].tokens)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.size, self.fits = 0, np.zeros(0, bool)
+        self.pools = [(np.zeros(1, np.int64), np.zeros(0, np.int64)) for _ in self.sides]
+
+    def _learn(self, new: list[str]) -> None:
+        ids = [s.encode(new) for s in self.sides]
+        whole = [(" " + t).encode("utf-8", "surrogatepass") for t in new]
+        joined = [[b"".join(map(s.tokens.__getitem__, x)) for x in each] for s, each in zip(self.sides, ids)]
+        self.fits = np.concatenate([self.fits, np.array([w == x == y for w, x, y in zip(whole, *joined)], bool)])
+        for i, each in enumerate(ids):
+            first, pool = self.pools[i]
+            ends = first[-1] + np.cumsum([len(x) for x in each], dtype=np.int64)
+            self.pools[i] = np.concatenate([first, ends]), np.concatenate([pool, np.fromiter(chain.from_iterable(each), np.int64)])
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+        self.size += sum(map(len, whole)) + 200 * len(new)
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each side: the ids of all texts, and the borders of the texts. A text that doesn't come back byte for byte has none."""
+        if self.size > self.most:
+            self.forget()
+        cut = [(_SEAM.split(t) if self.seams else [t]) if t else [] for t in texts]
+        known = self.numbers
+        new = list(dict.fromkeys(c for c in chain.from_iterable(cut) if c not in known))
+        if new:
+            self._learn(new)
+        which = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+        bad = np.zeros(len(texts), bool)
+        bad[owner[~self.fits[which]]] = True
+        which, owner = which[~bad[owner]], owner[~bad[owner]]
+        out = []
+        for first, pool in self.pools:
+            ids, n = _spread(first, pool, which)
+            tokens = np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)
+            out.append((ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(tokens)])))
+        return out
 
 
 def coalesce(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,15 +218,10 @@ def _digests(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndar
     return [hashlib.sha256(body[s : e - 1]).hexdigest() if e > s else "" for s, e in zip(ends, ends[1:])]
 
 
-def _align(texts: list[str], side_a: _Side, side_b: _Side) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+def _align(texts: list[str], memory: Memory) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """For some texts: their counts (rows as ``_STATS``), digests, and distinct links with how often they occur."""
-    ids_a, ids_b = side_a.encode(texts), side_b.encode(texts)
-    for i, text in enumerate(texts):
-        whole = (" " + text).encode("utf-8", "surrogatepass")
-        if not text or any(b"".join(map(s.tokens.__getitem__, ids[i])) != whole for s, ids in ((side_a, ids_a), (side_b, ids_b))):
-            ids_a[i] = ids_b[i] = []
-    a, text_a = _flat(ids_a)
-    b, text_b = _flat(ids_b)
+    side_a, side_b = memory.sides
+    (a, text_a), (b, text_b) = memory.encode(texts)
     group_a, group_b = coalesce(side_a.sizes[a], side_b.sizes[b])
     groups = int(group_a[-1]) + 1 if len(a) else 0
     first_a, first_b = (np.searchsorted(g, np.arange(groups + 1)) for g in (group_a, group_b))
@@ -183,9 +234,9 @@ def _align(texts: list[str], side_a: _Side, side_b: _Side) -> tuple[np.ndarray,
 
 def _encode(folder: str, page_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side_a, side_b = _sides(folder)
-        n_b = len(side_b.tokens)
-        span = len(side_a.tokens) * n_b
+        memory = Memory(folder)
+        n_b = len(memory.sides[1].tokens)
+        span = len(memory.sides[0].tokens) * n_b
         page, task = 0, TaskContext.get().partitionId()
         held: list[tuple] = []
 
@@ -208,7 +259,7 @@ def _encode(folder: str, page_bytes: int):
         size = 0
         for batch in batches:
             for rows in W.slices(batch, "text"):
-                stats, digests, code, often = _align(pc.fill_null(rows.column("text"), "").to_pylist(), side_a, side_b)
+                stats, digests, code, often = _align(pc.fill_null(rows.column("text"), "").to_pylist(), memory)
                 held.append((rows.column("doc_id"), stats, digests, rows.num_rows, code, often))
                 size += rows.column("text").nbytes
                 if size >= page_bytes:

@@ -302,3 +302,19 @@ def test_licenses(make, prose, license_model):
 def test_licenses_of_nothing(make, license_model):
     assert licenses.scan(make([]).select("doc_id", "text"), license_model).collect() == []
     licenses.fit(make([]).select("doc_id", "text"))
+
+
+def test_long_candidates_neither_end_nor_stall_the_scan(spark):
+    """A million characters of one repeated piece each: paths, base64, words, dots, digits; a secret at the end is still found."""
+    import time
+
+    from veil.llm import secrets
+
+    pieces = ["ab1/Z2/", "Q9x9Y8zT", "word ", "a.b.", "0123456789abcdef", "token: ", "AKIA", "-_-", "Ab9+"]
+    tail = " password=hunter2hunter"
+    docs = spark.createDataFrame([(i, p * (1_000_000 // len(p)) + tail) for i, p in enumerate(pieces)], "doc_id long, text string").repartition(9)
+    began = time.time()
+    rows = secrets.scan(docs).select("doc_id", "base", "found").collect()
+    assert all(r["base"][-1]["value"].endswith("password=hunter2hunter") for r in rows)
+    assert not [s for r in rows if r["doc_id"] == 0 for s in r["found"] if s["kind"] == "entropy_token"]
+    assert time.time() - began < 120

@@ -161,3 +161,59 @@ def test_remove_repeats_in_many_sendings(make, passages, monkeypatch):
 
 def test_remove_repeats_of_nothing(make):
     assert substrings.remove_repeats(make([]).select("doc_id", "text")).collect() == []
+
+
+def test_rows_that_share_an_id_and_a_short_hash_take_only_their_own_marks(spark):
+    """Texts whose 32-bit hashes clash, under one id and under none; only one of each pair repeats a passage."""
+    from pyspark.sql import functions as F
+
+    from veil.llm import substrings
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    own = F.expr("array_join(transform(sequence(0, 20), i -> concat('q', id, 'w', i)), ' ')")  # no window of another row
+    made = spark.range(150_000).select(F.concat(F.lit(passage + " a"), "id").alias("x"), own.alias("y"))
+    clash = made.select("x", F.hash("x").alias("h")).join(made.select("y", F.hash("y").alias("h")), "h").orderBy("x").limit(4).collect()
+    assert clash
+    rows = [(1, passage)]
+    for i, r in enumerate(clash):
+        rows += [(None, r["x"]), (None, r["y"])] if i % 2 else [(50 + i, r["x"]), (50 + i, r["y"])]
+    got = {r["kept"]: r["n_removed"] for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(passage) == 0
+    assert all(got[r["y"]] == 0 for r in clash)
+    assert sorted(n for k, n in got.items() if not k.startswith("q")) == [20] * len(clash)
+
+
+def test_exact_copies_stay_within_the_stated_size():
+    from veil.llm import substrings
+
+    out, most = substrings._Sender(8), 0
+    for doc in range(1_200_000):
+        out.add(b"one passage", 3, doc, (doc, 0, 13, 5))
+        if out.size > substrings.FLUSH_BYTES:
+            most = max(most, len(out.marked) // 5)
+            assert 1 < sum(b.num_rows for b in out.rows()) <= 2 + substrings.FLUSH_BYTES // substrings.MARK_BYTES // substrings.MARKS
+    assert 0 < most <= substrings.FLUSH_BYTES // substrings.MARK_BYTES + 1
+
+
+def test_stretch_hashes_do_not_depend_on_their_place():
+    import numpy as np
+
+    from veil.llm import words as W
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64)
+    twice = np.concatenate([h[:7], h, h[5:]])
+    a, b = np.array([0, 3, 10]), np.array([13, 4, 50])
+    assert (W.stretch_hash(twice, a + 7, b + 7) == W.stretch_hash(h, a, b)).all()
+    assert len(set(W.stretch_hash(h, np.arange(40), np.arange(40) + 10).tolist())) == 40
+
+
+def test_marks_come_back_as_they_were_packed():
+    import numpy as np
+
+    from veil.llm import substrings
+
+    r = np.random.default_rng(2)
+    doc = np.sort(r.choice([-(2**62), -5, 0, 7, 2**63 - 1], 500))
+    marks = np.stack([doc, r.integers(-(2**31), 2**31, 500), r.integers(0, 2**31 - 50, 500), np.zeros(500, np.int64), r.integers(0, 2**31, 500)], axis=1)
+    marks[:, 3] = marks[:, 2] + r.integers(13, 50, 500)
+    assert (substrings._unpacked_marks(substrings._packed_marks(marks)) == marks).all()

@@ -11,12 +11,14 @@ task once. A minimiser that very many different windows share (a common phrase)
 are looked for in a sample, and windows under them are dealt by the hash of the whole window instead. The sample decides
 only where windows meet, never which are compared.
 
-Windows are compared by the 64-bit hashes of their 13 words.
+Windows are compared by the 64-bit hashes of their 13 words. A mark names its row by id and a short hash of the text, and
+carries a hash of the words it covers: rows that share the id and the short hash take only marks of words they have there.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,11 @@ from veil.llm.tables import parts
 
 WINDOW, GRAM = 13, 3
 #: Packed strings a task holds before it sends them, in bytes.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 30 << 20
+#: What a mark and a further place of a string take of that.
+MARK_BYTES, PLACE_BYTES = 48, 300
+#: Marks that travel together.
+MARKS = 1 << 14
 LEVEL = 6
 #: Documents sampled for common minimisers, and the share of them from which a minimiser counts as common.
 SAMPLE_ROWS, COMMON = 4000, 0.004
@@ -60,37 +66,59 @@ def _routes(w: W.Words, hashes: np.ndarray, window: int, common: np.ndarray) ->
     return at, route
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(33)).astype(np.int64)
+
+
 def _ids(rows: pa.RecordBatch) -> np.ndarray:
     return rows.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
+def _packed_marks(marks: np.ndarray) -> bytes:
+    """Marks in order of documents, column by column, as differences where neighbours are alike."""
+    doc, rest = marks[:, 0], marks[:, 1:].astype(np.int32)
+    rest = np.stack([np.diff(rest[:, 0], prepend=np.int32(0)), np.diff(rest[:, 1], prepend=np.int32(0)), rest[:, 2] - rest[:, 1], rest[:, 3]])
+    return np.diff(doc, prepend=np.int64(0)).tobytes() + rest.tobytes()
+
+
+def _unpacked_marks(raw: bytes) -> np.ndarray:
+    n = len(raw) // 24
+    rest = np.frombuffer(raw, np.int32, 4 * n, offset=8 * n).reshape(4, n)
+    first = np.cumsum(rest[1], dtype=np.int32)
+    return np.stack([np.cumsum(np.frombuffer(raw, np.int64, n)), np.cumsum(rest[0], dtype=np.int32), first, first + rest[2], rest[3]], axis=1).astype(np.int64)
+
+
 class _Sender:
     """Collects packed strings by their text, and hands them out bucket by bucket."""
 
     def __init__(self, buckets: int):
         self.buckets, self.size = buckets, 0
         self.best: dict[bytes, tuple[int, int, set]] = {}  # text: bucket, smallest document, where it has the text
-        self.marked: list[tuple[int, int, int, int]] = []
+        self.marked = array("q")  # document, key, first word, end, hash; one mark after the other
 
-    def add(self, text: bytes, bucket: int, doc: int, place: tuple[int, int, int]) -> None:
-        """``place``: the row's key, first word, end."""
+    def add(self, text: bytes, bucket: int, doc: int, place: tuple[int, int, int, int]) -> None:
+        """``place``: the row's key, first word, end, and the hash of these words."""
         have = self.best.get(text)
         if have is None:
             self.best[text] = (bucket, doc, {place})
             self.size += len(text) + 300
         elif have[1] < doc:
-            self.marked.append((doc, *place))
+            self.marked.extend((doc, *place))
+            self.size += MARK_BYTES
         elif have[1] > doc:
             self.best[text] = (bucket, doc, {place})
-            self.marked += [(have[1], *x) for x in have[2]]
+            for x in have[2]:
+                self.marked.extend((have[1], *x))
+            self.size += MARK_BYTES * len(have[2])
         else:
             have[2].add(place)
+            self.size += PLACE_BYTES
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL)
         by: dict[int, list] = {}
         for text, (bucket, doc, places) in self.best.items():
-            by.setdefault(bucket, []).extend((text, doc, key, first) for key, first, _ in sorted(places))
+            by.setdefault(bucket, []).extend((text, doc, key, first) for key, first, *_ in sorted(places))
         for bucket, items in by.items():
             doc = np.array([x[1] for x in items], np.int64)
             head = np.array([(key, first, len(text)) for text, _, key, first in items], np.int32).T
@@ -98,10 +126,16 @@ class _Sender:
             blob = pack.compress(np.diff(doc, prepend=np.int64(0)).tobytes() + head.tobytes() + b"".join(x[0] for x in items))
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(items)], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "n", "blob"])
         if self.marked:
-            blob = pack.compress(np.array(self.marked, np.int64).tobytes())
-            spot = abs(hash(self.marked[0][:3])) % self.buckets
-            yield pa.RecordBatch.from_arrays([pa.array([spot], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "n", "blob"])
-        self.best, self.marked, self.size = {}, [], 0
+            marked = np.frombuffer(self.marked, np.int64).reshape(-1, 5)
+            # split by document, into as many parts as keep each at a few thousand marks
+            spot = W.mix(marked[:, 0].view(np.uint64)) % np.uint64(len(marked) // MARKS + 1)
+            order = np.lexsort((marked[:, 2], marked[:, 1], marked[:, 0], spot))
+            borders = np.flatnonzero(np.diff(spot[order].astype(np.int64), prepend=-1, append=-1))
+            for x, y in zip(borders.tolist(), borders[1:].tolist()):
+                some = marked[order[x:y]]
+                bucket = int(W.mix(some[:1, 0].view(np.uint64))[0] % np.uint64(self.buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([pack.compress(_packed_marks(some))], pa.binary())], ["bucket", "n", "blob"])
+        self.best, self.marked, self.size = {}, array("q"), 0
 
 
 def _send(buckets: int, window: int, common) -> object:
@@ -111,7 +145,8 @@ def _send(buckets: int, window: int, common) -> object:
         for batch in batches:
             for rows in W.slices(batch, "text"):
                 w = W.split(rows.column("text"), W.SPACED)
-                at, route = _routes(w, w.hashes(), window, often)
+                hashes = w.hashes()
+                at, route = _routes(w, hashes, window, often)
                 if not len(at):
                     continue
                 owner = np.searchsorted(w.first, at, side="right") - 1
@@ -123,23 +158,24 @@ def _send(buckets: int, window: int, common) -> object:
                 bucket = (W.mix(route[new]) % np.uint64(buckets)).tolist()
                 body = w.data.tobytes()
                 first = a - w.first[owner[new]]
-                for s, e, b, d, *place in zip(begin, end, bucket, doc, key, first.tolist(), (first + windows + window - 1).tolist()):
+                covered = _short(W.stretch_hash(hashes, a, a + windows + window - 1)).tolist()
+                for s, e, b, d, *place in zip(begin, end, bucket, doc, key, first.tolist(), (first + windows + window - 1).tolist(), covered):
                     out.add(body[s:e], b, d, tuple(place))
-                if out.size > FLUSH_BYTES:
-                    yield from out.rows()
+                    if out.size > FLUSH_BYTES:
+                        yield from out.rows()
         yield from out.rows()
 
     return run
 
 
 def _bucket(blobs: list[tuple[int, bytes]], window: int) -> Iterator[np.ndarray]:
-    """Marked word ranges (doc, key, first word, end) of one bucket."""
+    """Marked word ranges (doc, key, first word, end, hash of the words) of one bucket."""
     unpack = zstandard.ZstdDecompressor()
     heads, texts = [], []
     for n, blob in blobs:
         raw = unpack.decompress(blob)
         if not n:
-            yield np.frombuffer(raw, np.int64).reshape(-1, 4)
+            yield _unpacked_marks(raw)
             continue
         head = np.frombuffer(raw, np.int32, 3 * n, offset=8 * n).reshape(3, n)
         heads.append(np.stack([np.cumsum(np.frombuffer(raw, np.int64, n)), *head.astype(np.int64)]))
@@ -179,7 +215,8 @@ def _bucket(blobs: list[tuple[int, bytes]], window: int) -> Iterator[np.ndarray]
     start = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(which, prepend=-1) != 0))
     stop = np.append(start[1:], len(at)) - 1
     base = first[which[start]] - w.first[which[start]]
-    yield np.unique(np.stack([doc[which[start]], key[which[start]], at[start] + base, at[stop] + base + window], axis=1), axis=0)
+    covered = _short(W.stretch_hash(hashes, at[start], at[stop] + window))
+    yield np.unique(np.stack([doc[which[start]], key[which[start]], at[start] + base, at[stop] + base + window, covered], axis=1), axis=0)
 
 
 def _meet(window: int) -> object:
@@ -197,11 +234,11 @@ def _meet(window: int) -> object:
                 yield from _bucket(blobs, window)
 
         for found in ranges():
-            # one row for a document: its ranges as pairs of 32-bit numbers
+            # one row for a document: its ranges, each with the hash of its words
             found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
             new = np.flatnonzero((np.diff(found[:, 0], prepend=found[0, 0] - 1) != 0) | (np.diff(found[:, 1], prepend=found[0, 1] - 1) != 0))
-            pairs = found[:, 2:].astype(np.int32)
-            blobs = [pairs[a:b].tobytes() for a, b in zip(new.tolist(), [*new[1:].tolist(), len(found)])]
+            ranges_of = found[:, 2:].astype(np.int32)
+            blobs = [ranges_of[a:b].tobytes() for a, b in zip(new.tolist(), [*new[1:].tolist(), len(found)])]
             doc = found[new, 0]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == _LAST), pa.array(found[new, 1].astype(np.int32)), pa.array(blobs, pa.binary())], ["m_id", "m_key", "ranges"])
 
@@ -215,11 +252,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = W.split(rows.column("text"), W.SPACED)
             n = len(w.starts)
             change = np.zeros(n + 1, np.int64)
+            hashes = None
             for i, ranges in enumerate(rows.column("ranges").to_pylist()):
-                for r in ranges or ():
-                    pairs = np.frombuffer(r, np.int32).reshape(-1, 2) + w.first[i]
-                    np.add.at(change, pairs[:, 0], 1)
-                    np.add.at(change, pairs[:, 1], -1)
+                if ranges:
+                    hashes = w.hashes() if hashes is None else hashes
+                    a, b, covered = np.frombuffer(b"".join(ranges), np.int32).reshape(-1, 3).T
+                    a, b = a + w.first[i], b + w.first[i]
+                    own = b <= w.first[i + 1]
+                    a, b, covered = a[own], b[own], covered[own]
+                    own = _short(W.stretch_hash(hashes, a, b)) == covered
+                    np.add.at(change, a[own], 1)
+                    np.add.at(change, b[own], -1)
             keep = np.flatnonzero(np.cumsum(change)[:n] == 0)
             owner = w.owner()[keep]
             last = np.concatenate([owner[1:] != owner[:-1], [True]]) if len(keep) else np.zeros(0, bool)

@@ -134,6 +134,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(a, b - a)
 
 
+def stretch_hash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash for each stretch of values a to b - 1, whatever stands before it; stretches may overlap."""
+    n = len(hashes)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * _power("up", _P, n), out=total[1:])
+    return mix((total[b] - total[a]) * _power("down", _P_INVERSE, n + 1)[a])
+
+
 def total_hash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One hash for each group ``first[i]`` to ``first[i + 1]`` of values, in their order."""
     place = np.arange(len(values)) - np.repeat(first[:-1], np.diff(first))

@@ -258,18 +258,17 @@ def _numbered(docs: DataFrame, least: int, page_bytes: int) -> tuple[DataFrame,
 def frequent_phrases(pages: DataFrame, entries: DataFrame, frequent: DataFrame, least: int, n_parts: int) -> DataFrame:
     """w1 to w5 (ids of words, -1 after the last) and f for each phrase of two words or more that occurs often enough."""
 
-    def numbered(some: DataFrame) -> DataFrame:
-        """The pages of ``some``, dealt out whole: texts first, then their words' ids."""
-        told = entries.join(some.select("page"), "page", "left_semi") if some is not pages else entries
-        told = told.join(frequent.select("lang", "word", "wid"), ["lang", "word"]).select("page", "place", "wid", F.lit(None).cast("binary").alias("run"))
+    def numbered(some: DataFrame, words: DataFrame) -> DataFrame:
+        """Pages, dealt out whole: texts first, then their words' ids."""
+        told = words.join(frequent.select("lang", "word", "wid"), ["lang", "word"]).select("page", "place", "wid", F.lit(None).cast("binary").alias("run"))
         heads = some.select("page", F.lit(-1).alias("place"), F.lit(-1).cast("long").alias("wid"), "run")
         return told.unionByName(heads).repartition(n_parts, "page").sortWithinPartitions("page", "place")
 
-    sample = pages.select("page", "run").orderBy(F.xxhash64("page"), "page").limit(SAMPLE_PAGES)
-    seen = sorted(tuple(r) for r in numbered(sample).mapInArrow(_range_sample(SAMPLE_ROWS), _ID_TYPES).collect())
+    chosen = F.col("page").isin([r["page"] for r in pages.select("page").orderBy(F.xxhash64("page"), "page").limit(SAMPLE_PAGES).collect()])
+    seen = sorted(tuple(r) for r in numbered(pages.where(chosen), entries.where(chosen)).mapInArrow(_range_sample(SAMPLE_ROWS), _ID_TYPES).collect())
     n_ranges = 4 * n_parts
     borders = sorted({seen[i * len(seen) // n_ranges] for i in range(1, n_ranges)}) if seen else []
-    shards = numbered(pages).mapInArrow(_shards(borders), "part int, blob binary")
+    shards = numbered(pages, entries).mapInArrow(_shards(borders), "part int, blob binary")
     summed = shards.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_summed(borders, least), f"{_ID_TYPES}, f long")
     return materialize(summed.groupBy(*_IDS).agg(F.sum("f").alias("f")).where(F.col("f") >= least))
 

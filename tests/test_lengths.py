@@ -122,3 +122,27 @@ def test_label_over_a_line_break(spark):
     from veil.operators.labels import label_rules
 
     assert [r.value for r in detect(df, label_rules(), ["doc_id"]).where(F.col("type") == "PERSON").collect()] == ["jennifer"]
+
+
+def test_addresses_as_the_plain_pattern_finds_them(spark):
+    """Tried once a run, the pattern finds what it finds when tried at every character."""
+    import random
+    import re
+
+    from veil.operators.known import url_zones
+
+    plain = re.compile(r"(?i)(?:[a-z][a-z0-9+.-]*://|www\.)[^\s\"'<>]+|/[A-Za-z0-9._~%\-/]{3,}|[A-Za-z0-9._~%-]+\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)(?![A-Za-z0-9_])")
+    r, bits = random.Random(5), ["a", "b", "9", ".", "-", "~", "%", "+", "/", "://", ":", " ", "www.", ".pdf", ".txt", "x.gif", "_", "'", "http"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", url_zones(F.col("t")).alias("z"))
+    got = {x.i: [(z.p, z.s) for z in x.z] for x in df.collect()}
+    assert got == {i: [(m[0], m.start()) for m in plain.finditer(t)] for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("piece", ["a", "ab.", "aB3", "a-", "/", "ab/", "%41", "x: "])
+def test_addresses_in_a_million_characters(spark, piece):
+    from veil.operators.known import url_zones
+
+    text = (piece * 1_000_000)[:1_000_000] + " x.pdf"
+    last = spark.createDataFrame([(text,)], "t string").select(F.element_at(url_zones(F.col("t")), -1).alias("z")).first().z
+    assert text.endswith(last.p) and last.s + len(last.p) == len(text)

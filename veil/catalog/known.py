@@ -152,12 +152,14 @@ def sweep_dedupe(spark, folder):
     return kept.withColumn("start_at", F.col("start_at").cast("bigint")).withColumn("end_at", F.col("end_at").cast("bigint"))
 
 
+# what addresses, paths and file names are, written for an engine without lookbehind
+_URL = r"(?i)(?:[a-z][a-z0-9+.-]*://|www\.)[^\s\"'<>]+|/[A-Za-z0-9._~%\-/]{3,}|[A-Za-z0-9._~%-]+\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)\>"
 _ZONES = "SELECT page_id AS doc_id, url || ' ' || html AS text FROM pages"
 
 
 @query(
     "url_zones",
-    matches_sql(_ZONES, "(?i)" + re2(W.URLISH)) + " SELECT doc_id, start_at, start_at + length(value) AS end_at, value FROM e",
+    matches_sql(_ZONES, re2(_URL)) + " SELECT doc_id, start_at, start_at + length(value) AS end_at, value FROM e",
 )
 def url_zones(spark, folder):
     texts = view(spark, folder, _ZONES)

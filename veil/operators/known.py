@@ -26,9 +26,11 @@ from veil.session import materialize, small
 
 # Evidence that makes a value certain, and where a lone surname may be looked for.
 CERTAIN_VIA = ("checksum", "structural", "secret", "term", "custom", "token_literal", "established", "field")
+# A scheme or file name is tried once for each run of its characters, so that a run of any length costs its length. After
+# digits or signs, or behind an earlier match, a scheme is looked for inside the run, then over 40 characters at most.
 URLISH = (
-    r"(?:[a-z][a-z0-9+.-]*://|www\.)[^\s\"'<>]+|/[A-Za-z0-9._~%\-/]{3,}"
-    r"|[A-Za-z0-9._~%-]+\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)\>"
+    r"(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://|[a-z][a-z0-9+.-]{0,40}+://|www\.)[^\s\"'<>]+|/[A-Za-z0-9._~%\-/]{3,}"
+    r"|(?<![A-Za-z0-9._~%-])[A-Za-z0-9._~%-]+\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)\>"
 )
 ZONE_HINT = has(r"(?i)/|www\.|\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)(?![a-z0-9_])")
 SEPARATOR = "(?:%[0-9A-Fa-f]{2}|[^A-Za-z0-9]){0,3}"

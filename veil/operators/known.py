@@ -2,9 +2,10 @@
 
 A name is the same name joined by a space, a hyphen or a percent-escape. Known values become a table
 of variants, each with a join key (its letters and digits, lower-cased, without separators) and an
-exact pattern. Texts become runs of neighbouring words with the same kind of key. An equi-join on
-session and key finds the few places worth looking at; only there is the pattern tried. There is no
-product of values and texts, and nothing is capped but what the feature itself caps.
+exact pattern. Words of the texts meet the first words of known values in an equi-join on session and
+word; the runs of words that begin there meet the values' whole keys in a second one, and only then is
+the pattern tried. There is no product of values and texts, and nothing is capped but what the feature
+itself caps.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.config import Config
-from veil.functions.text import CLOSE, OPEN, decode_entities, decode_percent, java, let, norm, unmarked
+from veil.functions.text import CLOSE, OPEN, decode_entities, decode_percent, java, norm, unmarked
 from veil.operators.detect import FINDING, GATHERED, detect
 from veil.operators.encoded import HAS_ESCAPE, HAS_SPELLED, unspell
 from veil.operators.intervals import contained, overlapping
 from veil.operators.persons import PERSON_RULES
 from veil.operators.resolve import precedence
 from veil.operators.rules import has, value_rules
-from veil.operators.spans import locate, with_context
+from veil.operators.spans import CONTEXT, locate
 from veil.operators.words import word_array
-from veil.session import materialize, small
+from veil.session import light, materialize
 
 # Evidence that makes a value certain, and where a lone surname may be looked for.
 CERTAIN_VIA = ("checksum", "structural", "secret", "term", "custom", "token_literal", "established", "field")
@@ -243,84 +244,86 @@ def _pairs(prepared: DataFrame, session: str, config: Config) -> DataFrame:
     )
 
 
-SMALL_SESSIONS, SMALL_FORMS = 2_000, 100_000  # rows up to which a side is broadcast: about 32 MB either way
-MAX_SKETCH = 2_048  # longs a session's bit set may take in a row
+def first_words(forms: DataFrame, session: str) -> DataFrame:
+    """``session, item`` and how far to read on behind such a word: what a form may begin with, and the sizes of those forms.
 
-
-def _bit_set(items: DataFrame, session: str, name: str) -> DataFrame:
-    """``session, <name>``: a bit set of the words in ``items`` (session, item), sized to their number up to a bound."""
-    own = items.where("item <> ''").distinct()
-    sizes = own.groupBy(session).agg(F.count(F.lit(1)).alias("n"))
-    longs = F.least(F.lit(MAX_SKETCH), F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(F.col("n") * 2)).cast("int")))
-    at = F.pmod(F.xxhash64("item"), F.col("longs") * 64)
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int"))
-    cells = (
-        own.join(sizes.select(session, longs.alias("longs")), session)
-        .select(session, "longs", F.shiftright(at, 6).cast("int").alias("cell"), bit.alias("bit"))
-        .groupBy(session, "longs", "cell")
-        .agg(F.bit_or("bit").alias("bits"))
+    ``sizes`` are the lengths of the keys, negative for keys without the digits at their end; ``words``, ``gap``, ``lead`` and
+    ``tail`` the most words, characters between words, and signs before and after that any of the forms has.
+    """
+    key = F.col("key")
+    size = F.when(F.endswith(key, F.lit(DIGITS_CUT)), 1 - F.length(key)).otherwise(F.length(key))
+    items = F.array_distinct(F.concat("firsts", F.transform("firsts", lambda x: F.rtrim(x, F.lit(DIGITS)))))
+    return (
+        forms.select(
+            session, F.explode(items).alias("item"), size.alias("size"), F.size("firsts").alias("words"), F.length("value").alias("long"),
+            F.length("lead").alias("lead"), F.length("tail").alias("tail"), "url_only",
+        )
+        .where("item <> ''")
+        .groupBy(session, "item")
+        .agg(
+            F.collect_set("size").alias("sizes"), F.max("words").alias("words"),
+            F.max(F.greatest(F.lit(SEPARATOR_WIDTH) * F.col("words"), "long")).alias("gap"),
+            F.max("lead").alias("lead"), F.max("tail").alias("tail"), F.max("url_only").alias("zoned"),
+        )
     )
-    filled = F.map_from_entries(F.collect_list(F.struct("cell", "bits")))
-    dense = F.transform(F.sequence(F.lit(0), F.col("longs") - 1), lambda i: F.coalesce(F.try_element_at("_filled", i), F.lit(0).cast("bigint")))
-    return cells.groupBy(session, "longs").agg(filled.alias("_filled")).select(session, dense.alias(name))
 
 
-def session_sketches(forms: DataFrame, known: DataFrame, session: str) -> DataFrame:
-    """``session, longest, first_bits, key_bits``: how many words a value may have, and what to look for.
+def word_runs(corpus: DataFrame, firsts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, key, start_at, end_at, from_at, around, in_zone`` of runs of neighbouring words that may be a known value.
 
-    With the two bit sets, of first words and of whole keys, nearly all of a text is dismissed inside
-    the row, before anything is joined. They only ever let too much through.
+    The words of the sessions that know anything meet the first words of known values in an equi-join; a word that is very
+    frequent in one session is a skewed key of that join, whose partitions the adaptive plan splits. Only texts with such words
+    are read again, each once. From a hit a run goes on for as many words as the values that begin so have, and counts where it is
+    as long as one of them. ``around`` is the run with the characters beside it, so the text is not needed again.
     """
-    words = F.size(F.regexp_extract_all("value", F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
-    longest = known.groupBy(session).agg(F.greatest(F.lit(2), F.max(words)).alias("longest"))
-    trimmed = F.transform("firsts", lambda x: F.rtrim(x, F.lit(DIGITS)))
-    firsts = forms.select(session, F.explode(F.concat("firsts", trimmed)).alias("item"))
-    first_bits = _bit_set(firsts, session, "first_bits")
-    return longest.join(first_bits, session).join(_bit_set(forms.select(session, F.col("key").alias("item")), session, "key_bits"), session)
-
-
-def _listed(word: Column, bits: str, cut) -> Column:
-    """Whether a word, or the word without digits at its end, may be in a bit set."""
-
-    def test(x):
-        at = F.pmod(F.xxhash64(x), F.size(bits) * 64)
-        return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
-
-    return test(word) | (F.right(word, F.lit(1)).between("0", "9") & test(cut(word)))
-
-
-def word_runs(corpus: DataFrame, sketches: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, key, start_at, end_at`` of runs of neighbouring words that may be a known value.
+    session, w = keys[0], F.col("_w")
+    words = lambda body: F.filter(word_array(body, WORDS, WORD_MARK), lambda x, i: (i % 2 == 1) & (x["p"] != ""))
+    ends_in_digit = lambda c: F.right(c, F.lit(1)).between("0", "9")
+    bare = lambda c: F.rtrim(c, F.lit(DIGITS))
+    spoken = (
+        corpus.join(light(firsts.select(session).distinct()), session, "left_semi")
+        .select(*keys, F.posexplode_outer(F.transform(words(unmarked(F.col(text))), lambda x: F.lower(x["p"]))).alias("at", "word"))
+        .where("word is not null")
+        .withColumn("item", F.explode(F.when(ends_in_digit(F.col("word")), F.array("word", bare(F.col("word")))).otherwise(F.array("word"))))
+    )
+    hits = (
+        spoken.drop("word")
+        .join(light(firsts), [session, "item"])
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct("at", "sizes", "words", "gap", "lead", "tail", "zoned")).alias("_hits"))
+    )
 
-    Runs are as long as the session's longest value at most. Sessions that know nothing drop out.
-    """
-    w = F.col("_w")
+    def run(h, n):
+        part = F.slice(w, h["at"] + 1, n)
+        last = F.element_at(part, -1)
+        key = F.lower(F.array_join(F.transform(part, lambda x: x["p"]), ""))
+        return F.struct(key.alias("key"), F.element_at(part, 1)["s"].alias("start_at"), (last["s"] + F.length(last["p"])).alias("end_at"))
 
-    def word(i):
-        return F.element_at(w, i)
+    def fits(h, r):
+        size = F.length(r["key"])
+        whole = F.array_contains(h["sizes"], size) | (ends_in_digit(r["key"]) & F.array_contains(h["sizes"], -F.length(bare(r["key"]))))
+        return whole & (r["end_at"] - r["start_at"] - size <= h["gap"])
 
-    def run(i, n):
-        last = word(i + n - 1)
-        key = F.lower(F.array_join(F.transform(F.sequence(i, i + n - 1), lambda k: word(k)["p"]), ""))
-        return F.struct(key.alias("key"), word(i)["s"].alias("start_at"), (last["s"] + F.length(last["p"])).alias("end_at"))
+    def with_surroundings(h, r):
+        from_at = F.greatest(r["start_at"] - h["lead"] - CONTEXT, F.lit(0))
+        in_zone = F.exists("_zones", lambda z: (r["start_at"] >= z["s"]) & (r["end_at"] <= z["s"] + F.length(z["p"])))
+        around = F.substring("_text", from_at + 1, r["end_at"] + h["tail"] + CONTEXT - from_at)
+        return F.struct(r["key"].alias("key"), r["start_at"].alias("start_at"), r["end_at"].alias("end_at"), from_at.alias("from_at"), around.alias("around"), in_zone.alias("in_zone"))
 
-    def from_start(i):
-        runs = F.transform(F.sequence(F.lit(1), F.least(F.col("longest"), F.size(w) - i + 1)), lambda n: run(i, n))
-        return F.filter(runs, lambda r: _listed(r["key"], "key_bits", _undigited))
+    def from_hit(h):
+        runs = F.transform(F.sequence(F.lit(1), F.least(h["words"], F.size(w) - h["at"])), lambda n: run(h, n))
+        return F.transform(F.filter(runs, lambda r: fits(h, r)), lambda r: with_surroundings(h, r))
 
-    close = F.col("_r.end_at") - F.col("_r.start_at") - F.length("_r.key") <= SEPARATOR_WIDTH * F.col("longest")
-    words = F.filter(word_array(unmarked(F.col(text)), WORDS, WORD_MARK), lambda x, i: (i % 2 == 1) & (x["p"] != ""))
-    marks = F.transform(w, lambda x, i: F.when(let(F.lower(x["p"]), lambda low: _listed(low, "first_bits", lambda x: F.rtrim(x, F.lit(DIGITS)))), i + 1))
-    starts = F.filter(marks, lambda i: i.isNotNull())
+    body = F.col("_text")
+    zones = F.when(F.exists("_hits", lambda h: h["zoned"]), url_zones(body)).otherwise(F.slice(url_zones(F.lit("")), 1, 0))
     return (
-        corpus.join(sketches, keys[0])
-        .select(*keys, "longest", "first_bits", "key_bits", words.alias("_w"))
-        .withColumn("_starts", starts)
-        .where(F.size("_starts") > 0)
-        .select(*keys, "longest", F.explode(F.flatten(F.transform("_starts", from_start))).alias("_r"))
-        .where(close)
+        corpus.select(*keys, unmarked(F.col(text)).alias("_text"))
+        .join(hits, keys)
+        .select(*keys, "_text", "_hits", words(body).alias("_w"), zones.alias("_zones"))
+        .select(*keys, F.explode_outer(F.flatten(F.transform("_hits", from_hit))).alias("_r"))
+        .where("_r is not null")
         .select(*keys, "_r.*")
-        .withColumn("key", F.explode(F.when(F.right("key", F.lit(1)).between("0", "9"), F.array("key", _undigited(F.col("key")))).otherwise(F.array("key"))))
+        .withColumn("key", F.explode(F.when(ends_in_digit(F.col("key")), F.array("key", _undigited(F.col("key")))).otherwise(F.array("key"))))
         .where(F.col("key") != DIGITS_CUT)
     )
 
@@ -328,42 +331,25 @@ def word_runs(corpus: DataFrame, sketches: DataFrame, keys: list[str], text: str
 def sweep(corpus: DataFrame, found: DataFrame, known: DataFrame, keys: list[str], config: Config, text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """New findings of known values in other spellings, not counting what ``found`` already covers."""
     session = keys[0]
-    known = materialize(known)  # small, and read for the variants, the pairs and the sizes
+    known = materialize(known)  # small, and read for the variants and the pairs
     forms = materialize(variants(known, session, config, kinds) if kinds else variants(known, session, config))
-    sketches = small(materialize(session_sketches(forms, known, session)), SMALL_SESSIONS)
-    lookup = small(forms.drop("firsts"), SMALL_FORMS)
-    places = word_runs(corpus, sketches, keys, text).join(lookup, [session, "key"])
-    proposed = (
-        places.withColumn("start_at", F.col("start_at") - F.length("lead"))
-        .withColumn("end_at", F.col("end_at") + F.length("tail"))
-        .where("start_at >= 0")
-        .select(*keys, F.struct("start_at", "end_at", "value", "type", "sure", "url_only", "pattern", "gathered", "kind").alias("_c"))
-        .groupBy(*keys)
-        .agg(F.collect_set("_c").alias("_cs"))
-    )
-    body = F.col("_text")
-
-    def confirmed(zones):
-        def ok(c):
-            surface = F.substring(body, c["start_at"] + 1, c["end_at"] - c["start_at"])
-            previous = F.substring(body, c["start_at"], F.lit(1))
-            in_zone = F.exists(zones, lambda z: (c["start_at"] >= z["s"]) & (c["end_at"] <= z["s"] + F.length(z["p"])))
-            free = (c["start_at"] == 0) | ~previous.rlike("[A-Za-z0-9]")
-            same = (surface == c["value"]) & ~(c["sure"] & (c["kind"] != "pair"))
-            return F.regexp_like(surface, c["pattern"]) & free & ~same & (~c["url_only"] | (c["sure"] & (c["kind"] != "pair")) | in_zone)
+    places = word_runs(corpus, materialize(first_words(forms, session)), keys, text).join(light(forms.drop("firsts")), [session, "key"])
+    proven = F.col("sure") & (F.col("kind") != "pair")
+    surface, start = F.col("surface"), F.col("start_at")
 
-        return F.filter("_cs", ok)
+    def around(first, length):
+        return F.substring("around", first - F.col("from_at") + 1, length)
 
-    needs_zone = F.exists("_cs", lambda c: c["url_only"])
-    zones = F.when(needs_zone, url_zones(body)).otherwise(F.slice(url_zones(F.lit("")), 1, 0))
-    kept = let(zones, confirmed)
     placed = (
-        corpus.select(*keys, unmarked(F.col(text)).alias("_text"))
-        .join(proposed, keys)
-        .select(*keys, "_text", kept.alias("_cs"))
-        .where(F.size("_cs") > 0)
-        .select(*keys, F.explode(with_context(body, F.col("_cs"), "type", "sure", "gathered", "kind")).alias("_s"), "_text")
-        .select(*keys, "_s.*", F.substring(body, F.col("_s.start_at") + 1, F.col("_s.end_at") - F.col("_s.start_at")).alias("surface"))
+        places.withColumn("start_at", start - F.length("lead"))
+        .withColumn("end_at", F.col("end_at") + F.length("tail"))
+        .where("start_at >= 0")
+        .where(~F.col("url_only") | proven | F.col("in_zone"))
+        .withColumn("surface", around(start, F.col("end_at") - start))
+        .where(((start == 0) | ~around(start - 1, F.lit(1)).rlike("[A-Za-z0-9]")) & ~((surface == F.col("value")) & ~proven))
+        .where(F.regexp_like("surface", "pattern"))
+        .withColumn("before", around(F.greatest(start - CONTEXT, F.lit(0)), F.least(start, F.lit(CONTEXT))))
+        .withColumn("after", around(F.col("end_at"), F.lit(CONTEXT)))
     )
     via = F.when(F.col("sure") & (F.col("kind") != "pair"), "established").otherwise("known_value")
     swept = (

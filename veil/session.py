@@ -65,3 +65,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     Looks at ``rows + 1`` rows at most, so the check stays cheap however large the side is.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+LIGHT = 32 << 20  # bytes
+
+
+def light(df: DataFrame, most: int = LIGHT) -> DataFrame:
+    """Mark a side for broadcast if its rows, written as text, take at most so many bytes; otherwise leave the join to the optimizer.
+
+    Reads all of ``df``, so it is for sides that are materialized or as cheap.
+    """
+    taken = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (taken or 0) <= most else df

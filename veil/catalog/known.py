@@ -119,6 +119,27 @@ sweep_query(
     CONFIG.with_(allow_terms=("Jennifer Testcase", " THABO testcase ")),
 )
 
+# whole documents, a session for each language: every name of a language is looked for in all its texts
+_F, _L = pick("doc_id", V.FIRST), pick("cast(floor(doc_id / 2) as bigint)", V.LAST)
+_SIGNED = f"""SELECT coalesce(lang, 'und') AS session_id, doc_id, coalesce(text, '') || ' ~ Name: ' || {_F} || ' ' || {_L} || '. Done; see https://x.org/in/' || lower({_F}) || '-' || lower({_L})
+ || ' or ' || {_F} || '_' || {_L} || '; prose ' || lower({_F}) || ' ' || lower({_L}) || ' end' AS text, {_F} || ' ' || {_L} AS name, lower({_F}) || '-' || lower({_L}) AS slug, {_F} || '_' || {_L} AS joined FROM documents"""
+
+
+@query(
+    "sweep_documents",
+    f"""WITH v AS ({_SIGNED}), p AS (SELECT session_id, doc_id, text, name, slug AS surface FROM v UNION ALL SELECT session_id, doc_id, text, name, joined FROM v)
+SELECT session_id, doc_id, cast(strpos(text, surface) - 1 AS bigint) AS start_at, cast(strpos(text, surface) - 1 + length(surface) AS bigint) AS end_at,
+ 'PERSON' AS type, name AS value, surface, 'known_value' AS via FROM p""",
+)
+def sweep_documents(spark, folder):
+    """Names learnt from labels at the foot of documents, found as slugs and joined names in whole texts of their language."""
+    corpus = view(spark, folder, _SIGNED, *KEYS)
+    found = detect(corpus, [LABELS["LABEL_NAME"]], KEYS, CONFIG)
+    certain = W.certain_values(found, "session_id", CONFIG)
+    known = W.known_values(W.upgrade(found, certain, "session_id"), certain, "session_id", CONFIG)
+    return swept_out(W.sweep(corpus, found, known, KEYS, CONFIG, kinds=("full",)))
+
+
 DISGUISED = "SELECT c_custkey AS session_id, cast(0 as bigint) AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'get /f/u' || cast(c_custkey as string) || '%40acme.co.za/cv' WHEN 1 THEN 'u' || cast(c_custkey as string) || ' [at] acme [dot] org' ELSE 'plain u' || cast(c_custkey as string) END AS text FROM customer"
 
 

@@ -277,12 +277,13 @@ def word_runs(corpus: DataFrame, firsts: DataFrame, keys: list[str], text: str =
     as long as one of them. ``around`` is the run with the characters beside it, so the text is not needed again.
     """
     session, w = keys[0], F.col("_w")
-    words = lambda body: F.filter(word_array(body, WORDS, WORD_MARK), lambda x, i: (i % 2 == 1) & (x["p"] != ""))
+    pieces = lambda body: word_array(body, WORDS, WORD_MARK)
+    is_word = lambda x, i: (i % 2 == 1) & (x["p"] != "")
     ends_in_digit = lambda c: F.right(c, F.lit(1)).between("0", "9")
     bare = lambda c: F.rtrim(c, F.lit(DIGITS))
     spoken = (
         corpus.join(light(firsts.select(session).distinct()), session, "left_semi")
-        .select(*keys, F.posexplode_outer(F.transform(words(unmarked(F.col(text))), lambda x: F.lower(x["p"]))).alias("at", "word"))
+        .select(*keys, F.posexplode_outer(F.transform(F.filter(pieces(unmarked(F.col(text))), is_word), lambda x: F.lower(x["p"]))).alias("at", "word"))
         .where("word is not null")
         .withColumn("item", F.explode(F.when(ends_in_digit(F.col("word")), F.array("word", bare(F.col("word")))).otherwise(F.array("word"))))
     )
@@ -297,7 +298,10 @@ def word_runs(corpus: DataFrame, firsts: DataFrame, keys: list[str], text: str =
         part = F.slice(w, h["at"] + 1, n)
         last = F.element_at(part, -1)
         key = F.lower(F.array_join(F.transform(part, lambda x: x["p"]), ""))
-        return F.struct(key.alias("key"), F.element_at(part, 1)["s"].alias("start_at"), (last["s"] + F.length(last["p"])).alias("end_at"))
+        return F.struct(
+            key.alias("key"), F.element_at(part, 1)["s"].alias("start_at"), (last["s"] + F.length(last["p"])).alias("end_at"),
+            F.element_at(part, 1)["no"].alias("first"), last["no"].alias("last"),
+        )
 
     def fits(h, r):
         size = F.length(r["key"])
@@ -307,7 +311,11 @@ def word_runs(corpus: DataFrame, firsts: DataFrame, keys: list[str], text: str =
     def with_surroundings(h, r):
         from_at = F.greatest(r["start_at"] - h["lead"] - CONTEXT, F.lit(0))
         in_zone = F.exists("_zones", lambda z: (r["start_at"] >= z["s"]) & (r["end_at"] <= z["s"] + F.length(z["p"])))
-        around = F.substring("_text", from_at + 1, r["end_at"] + h["tail"] + CONTEXT - from_at)
+        # a gap and its word have one character at least; the few beside the run are joined, as the way into a long text is long
+        begin = F.greatest(r["first"] - 2 * (h["lead"] + CONTEXT + 1), F.lit(0))
+        beside = F.slice("_pieces", begin + 1, r["last"] - begin + 1 + 2 * (h["tail"] + CONTEXT + 1))
+        joined = F.array_join(F.transform(beside, lambda x: x["p"]), "")
+        around = F.substring(joined, from_at - F.element_at(beside, 1)["s"] + 1, r["end_at"] + h["tail"] + CONTEXT - from_at)
         return F.struct(r["key"].alias("key"), r["start_at"].alias("start_at"), r["end_at"].alias("end_at"), from_at.alias("from_at"), around.alias("around"), in_zone.alias("in_zone"))
 
     def from_hit(h):
@@ -315,11 +323,13 @@ def word_runs(corpus: DataFrame, firsts: DataFrame, keys: list[str], text: str =
         return F.transform(F.filter(runs, lambda r: fits(h, r)), lambda r: with_surroundings(h, r))
 
     body = F.col("_text")
+    numbered = F.transform("_pieces", lambda x, i: F.struct(x["p"].alias("p"), x["s"].alias("s"), F.when(is_word(x, i), i).otherwise(-1).alias("no")))
     zones = F.when(F.exists("_hits", lambda h: h["zoned"]), url_zones(body)).otherwise(F.slice(url_zones(F.lit("")), 1, 0))
     return (
         corpus.select(*keys, unmarked(F.col(text)).alias("_text"))
         .join(hits, keys)
-        .select(*keys, "_text", "_hits", words(body).alias("_w"), zones.alias("_zones"))
+        .select(*keys, "_hits", pieces(body).alias("_pieces"), zones.alias("_zones"))
+        .select(*keys, "_hits", "_pieces", "_zones", F.filter(numbered, lambda x: x["no"] >= 0).alias("_w"))
         .select(*keys, F.explode_outer(F.flatten(F.transform("_hits", from_hit))).alias("_r"))
         .where("_r is not null")
         .select(*keys, "_r.*")

@@ -20,7 +20,7 @@ from veil.operators.detect import _LABEL_KEYS, _PERSON_KEYS, FINDING, GATHERED,
 from veil.operators.labels import first_words, kept_words, name_value, word_norm
 from veil.operators.persons import TITLE_BEFORE
 from veil.operators.resolve import precedence
-from veil.operators.rules import value_rules
+from veil.operators.rules import needs_rows, value_rules
 from veil.operators.spans import BLOCK, CONTEXT, Rule, hits_in, locate
 from veil.operators.tabular import table_findings
 
@@ -285,6 +285,8 @@ def findings_in_row(texts: DataFrame, config: Config | None = None, text: str =
     Known values of a session (the sweep) and lists that are tables need more than one text and are not part of it.
     """
     config = config or Config()
+    if needs_rows(config):
+        raise ValueError("a validator that is a pandas UDF works on rows of matches: use plans.redact.find")
     spark = texts.sparkSession
     body = F.col("_body")
 

@@ -12,6 +12,7 @@ from veil.operators.encoded import detect_encoded, drop_in_base64
 from veil.operators.inrow import finding_rows, findings_in_row
 from veil.operators.known import learn_and_sweep
 from veil.operators.resolve import select_findings
+from veil.operators.rules import needs_rows
 from veil.operators.score import score
 from veil.operators.secrets import seed_phrases
 from veil.operators.tabular import detect_tables
@@ -52,7 +53,7 @@ def find(corpus: DataFrame, config: Config | None = None, keys: list[str] = KEYS
     are checkpointed once: known values are learnt from them and then looked for in every text of the same session.
     """
     config = config or Config()
-    if not config.sweep and lists == Lists():
+    if not config.sweep and lists == Lists() and not needs_rows(config):
         return finding_rows(findings_in_row(corpus, config, text), keys)
     found = candidates(corpus, config, keys, text, lists)
     if config.sweep:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veil import Config
-from veil.streaming.jobs import SessionTokens, WithheldOverLimit, detect_stream
+from veil.streaming.jobs import SessionTokens, WithheldOverLimit, answered_once, detect_stream
 
 EVENTS = [  # session, text number, hour, text, whether the session ends here
     ("a", 0, 0, "x@acme.com y@acme.com", False), ("b", 1, 0, "x@acme.com", True), ("a", 2, 1, "z@acme.com Y@acme.com", False),
@@ -93,3 +93,59 @@ def test_texts_are_withheld_over_the_limit(spark, tmp_path, cut):
     shown = sorted(r.shown for r in sink.shown().collect() if r.tenant == "a")
     assert shown == ["a0", "a1", "a2", "withheld", "withheld", "withheld"]
     assert sink.shown().where("tenant <> 'a' and shown = 'withheld'").count() == 0
+
+
+LATE = [  # tenant, second, id, use; as they arrive: out of order by at most 100 seconds
+    ("a", 0, 0, 2), ("a", 90, 1, 2), ("b", 95, 2, 7), ("a", 30, 3, 1), ("a", 30, 4, 1), ("a", 120, 5, 0), ("a", 60, 6, 3), ("a", 200, 7, 1),
+    ("a", 130, 8, None), ("b", 210, 9, 9), ("a", 300, 10, 1), ("c", 310, 11, -5), ("c", 312, 12, 6), ("c", 312, 13, 1),
+]
+LIMITS = {"a": 6, "c": 6}
+
+
+def _plain(rows):
+    """Shown ids by a loop over all texts in order of time."""
+    used, shown = {}, {}
+    for tenant, _, n, use in sorted(rows, key=lambda r: (r[1], r[2])):
+        shown[n] = "withheld" if used.get(tenant, 0) >= LIMITS.get(tenant, 1 << 60) else f"t{n}"
+        used[tenant] = used.get(tenant, 0) + max(use or 0, 0)
+    return shown
+
+
+@pytest.mark.parametrize("cut", [1, 3, 14])
+def test_late_texts_are_withheld_in_order_of_time(spark, tmp_path, cut):
+    plans = spark.createDataFrame([("a", 5, 1), ("b", -1, 0), ("c", 6, 0), ("c", 2, 0)], "tenant string, limit_n bigint, credits bigint")
+    sink = WithheldOverLimit(spark, str(tmp_path / "w"), plans, "withheld", "100 seconds", {"id": "int"})
+    size = -(-len(LATE) // cut)
+    for n in range(cut):
+        rows = [(t, s, i, f"t{i}", u) for t, s, i, u in LATE[n * size : (n + 1) * size]]
+        batch = spark.createDataFrame(rows, "tenant string, s int, id int, redacted string, used bigint")
+        sink(batch.withColumn("ts", F.timestamp_seconds("s")).drop("s"), n)
+        if n == cut - 1:  # a replayed batch changes nothing
+            sink(batch.withColumn("ts", F.timestamp_seconds("s")).drop("s"), n)
+    assert {r.id: r.shown for r in sink.shown(final=True).collect()} == _plain(LATE)
+    assert sink.shown().count() < len(LATE)
+    assert len(list((tmp_path / "w" / "totals").glob("batch=*"))) <= 2
+
+
+def test_withholding_without_texts_times_or_tenants(spark, tmp_path):
+    schema = "tenant string, ts timestamp, redacted string, used bigint"
+    plans = spark.createDataFrame([("a", 1, 0)], "tenant string, limit_n bigint, credits bigint")
+    sink = WithheldOverLimit(spark, str(tmp_path / "w"), plans, "withheld")
+    sink(spark.createDataFrame([], schema), 0)
+    sink(spark.createDataFrame([("a", None, "x", 1), (None, None, "y", 5), (None, None, "y", 5), ("a", None, None, 1)], schema), 1)
+    assert sorted(str(r.shown) for r in sink.shown().collect()) == ["None", "withheld", "y", "y"]
+
+
+def test_a_repeated_reply_gives_one_row_however_it_arrives(spark, tmp_path):
+    q = [("s", 1, "tools/call", 0), ("s", 2, "tools/list", 0), ("t", 1, "tools/call", 0)]
+    r = [("s", 1, "one", 60), ("s", 1, "one", 1200), ("s", 2, "two", 4000), ("t", 1, "uno", 30), ("t", 1, "uno", 30), (None, 1, "x", 10)]
+    for n, reply in enumerate(r):  # one file each, so each reply is a batch of its own
+        spark.createDataFrame([reply], "session_id string, id int, result string, t int").coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+    spark.createDataFrame(q, "session_id string, id int, method string, t int").write.parquet(str(tmp_path / "q"))
+    asked = spark.readStream.schema("session_id string, id int, method string, t int").parquet(str(tmp_path / "q"))
+    replies = spark.readStream.schema("session_id string, id int, result string, t int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
+    pairs = answered_once(asked.withColumn("asked_ts", F.timestamp_seconds(F.col("t") + 1704067200)).drop("t"), replies.withColumn("reply_ts", F.timestamp_seconds(F.col("t") + 1704067200)).drop("t"))
+    query = pairs.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((x.session_id, x.id, x.result) for x in spark.read.schema(pairs.schema).parquet(str(tmp_path / "o")).collect())
+    assert got == [("s", 1, "one"), ("t", 1, "uno")]

@@ -173,3 +173,40 @@ def str_request_reply(spark, folder):
     delay = F.when(F.col("event_id") % 5 == 0, F.expr("interval 2 hours")).otherwise(F.expr("interval 0 hours"))
     replies = events.select(session, (F.col("event_id") - 1).alias("id"), F.col("props").alias("result"), (F.col("ts") + delay).alias("reply_ts"))
     return J.run_available(J.pair_replies(requests, replies), "pairs").select("id", "method", "result")
+
+
+_ALLOWED = f"SELECT tenant, CASE limit_n WHEN -1 THEN -1 ELSE limit_n - 100 END AS limit_n, credits FROM ({PLANS})"
+
+
+@query(
+    "str_withheld",
+    f"""WITH u AS (SELECT user_id AS tenant, event_id, ts, props, 1 + event_id % 3 AS used FROM events),
+r AS (SELECT *, coalesce(sum(used) OVER (PARTITION BY tenant ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM u)
+SELECT cast(r.tenant AS string) AS tenant, event_id, CASE WHEN limit_n <> -1 AND earlier >= limit_n + credits THEN '{NOTICE}' ELSE props END AS shown FROM r JOIN ({_ALLOWED}) p ON p.tenant = r.tenant""",
+)
+def str_withheld(spark, folder):
+    """Texts that arrive up to nine hours late, in batches of five days, withheld in the order of time."""
+    events = view(spark, folder, "SELECT user_id AS tenant, event_id, ts, props AS redacted, 1 + event_id % 3 AS used FROM events", "event_id")
+    come = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") * 7 % 10 * 3600
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_batch", F.least(F.floor((come - 1704067200) / (5 * 86400)), F.lit(6)))
+    sink = J.WithheldOverLimit(spark, scratch(spark, "withheld"), spark.sql(_ALLOWED), NOTICE, "10 hours", {"event_id": "bigint"})
+    for n in range(7):
+        sink(rows.where(F.col("_batch") == n).drop("_batch"), n)
+    return sink.shown(final=True).select("tenant", "event_id", "shown")
+
+
+@query(
+    "str_answered_once",
+    f"""WITH q AS (SELECT event_id AS id, {METHOD} AS method, ts AS asked_ts FROM events),
+r AS (SELECT event_id - 1 AS id, props AS result, ts + k * INTERVAL 20 MINUTE AS reply_ts FROM events, (VALUES (0), (1), (2)) AS t(k) WHERE k <= event_id % 3)
+SELECT DISTINCT q.id, method, result FROM q JOIN r ON q.id = r.id AND reply_ts >= asked_ts AND reply_ts <= asked_ts + INTERVAL 1 HOUR""",
+)
+def str_answered_once(spark, folder):
+    """The next event answers, some of them two or three times, twenty minutes apart."""
+    events = stream_of(spark, folder, "events")
+    session = (F.col("event_id") % 1 == 0).alias("session_id")
+    requests = events.select(session, F.col("event_id").alias("id"), F.expr(METHOD).alias("method"), F.col("ts").alias("asked_ts"))
+    times = F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))
+    replies = events.select(session, (F.col("event_id") - 1).alias("id"), F.col("props").alias("result"), "ts", F.explode(times).alias("k"))
+    replies = replies.select("session_id", "id", "result", (F.col("ts") + F.make_dt_interval(mins=F.col("k") * 20)).alias("reply_ts"))
+    return J.run_available(J.answered_once(requests, replies), "answered").select("id", "method", "result")

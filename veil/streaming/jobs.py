@@ -35,7 +35,41 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(out)
 
 
-class SessionTokens:
+class Snapshots:
+    """Tables under one folder, written anew for each batch: a replayed batch overwrites its own output."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _folder(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _batches(self, name: str) -> list[int]:
+        """Numbers of the batches that a table has."""
+        path, fs = self._folder(name)
+        if not fs.exists(path):
+            return []
+        return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(path) if x.getPath().getName().startswith("batch="))
+
+    def _snapshot(self, name: str, schema: str, before: int) -> DataFrame:
+        known = [b for b in self._batches(name) if b < before]
+        if not known:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/batch={known[-1]}")
+
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+
+    def _forget(self, names: tuple[str, ...], batch_id: int) -> None:
+        """Delete the snapshots before the last two."""
+        for name in names:
+            path, fs = self._folder(name)
+            for old in [b for b in self._batches(name) if b < batch_id][:-1]:
+                fs.delete(path.suffix(f"/batch={old}"), True)
+
+
+class SessionTokens(Snapshots):
     """Masks a stream of ``session_id, doc_id, ts, text, is_end`` with tokens that stay the same all session long.
 
     Used as a ``foreachBatch`` sink that runs the whole chain on arrival: rules, labels, names, tables, hidden forms, grading,
@@ -53,7 +87,8 @@ class SessionTokens:
     OUTLIERS, FOUND = 2, "_findings"
 
     def __init__(self, spark: SparkSession, root: str, secret: str, config: Config | None = None, ttl: str = "24 hours", lead: str = "7 days"):
-        self.spark, self.root, self.ttl, self.lead = spark, root.rstrip("/"), ttl, lead
+        super().__init__(spark, root)
+        self.ttl, self.lead = ttl, lead
         self.config = config or Config(sweep=False)
         if self.config.sweep:
             raise ValueError("the sweep needs all texts of a session: use Config(sweep=False)")
@@ -64,23 +99,6 @@ class SessionTokens:
     SESSIONS = "session_id string, life string, last_ts timestamp, ended boolean"
     LIFE = ["life", "doc_id"]
 
-    def _folder(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _batches(self, name: str) -> list[int]:
-        """Numbers of the batches that a table has."""
-        path, fs = self._folder(name)
-        if not fs.exists(path):
-            return []
-        return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(path) if x.getPath().getName().startswith("batch="))
-
-    def _snapshot(self, name: str, schema: str, before: int) -> DataFrame:
-        known = [b for b in self._batches(name) if b < before]
-        if not known:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/batch={known[-1]}")
-
     def live_tokens(self) -> DataFrame:
         """Tokens of the sessions that live after the last batch: values sealed."""
         return self._snapshot("tokens", self.TOKENS, 1 << 62)
@@ -154,13 +172,7 @@ class SessionTokens:
         others = given.join(texts.select("life").distinct(), "life", "left_anti")
         self._write(others.select(*columns).unionByName(valid).join(current, "life", "left_semi").select(*columns), "tokens", batch_id)
         self._write(every, "sessions", batch_id)
-        for name in ("tokens", "sessions"):
-            path, fs = self._folder(name)
-            for old in [b for b in self._batches(name) if b < batch_id][:-1]:
-                fs.delete(path.suffix(f"/batch={old}"), True)
-
-    def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+        self._forget(("tokens", "sessions"), batch_id)
 
     def run(self, stream: DataFrame) -> None:
         found = findings_in_row(stream, self.config, name=self.FOUND)  # planned once, not for each batch
@@ -201,32 +213,71 @@ def limit_flags(usage: DataFrame, plans: DataFrame) -> DataFrame:
     return total.join(plans.select("tenant", "limit_n", "credits"), "tenant").select("tenant", "total", over.alias("over_limit"))
 
 
-class WithheldOverLimit:
-    """Masked texts of a stream (tenant, ts, redacted, used), withheld once their tenant's use has reached its plan.
+class WithheldOverLimit(Snapshots):
+    """Masked texts of a stream (tenant, ts, redacted, used and ``keys``), withheld once their tenant's use has reached its plan.
 
-    Used as a ``foreachBatch`` sink. The state is one number for each tenant, a snapshot for each batch as in ``SessionTokens``.
-    Within a batch use adds up in the order of time; the text that reaches the limit is still shown, later ones are not.
-    """
+    Used as a ``foreachBatch`` sink. Use adds up in the order of ``ts``, ties by ``keys`` and text; the text that reaches the limit
+    is still shown, later ones are not. A text waits until another one is ``late`` past it, so texts that arrive out of order by
+    at most that are decided as in one batch; those that come later still are decided when they come, after what was decided
+    before them. Without time a text is decided first in its batch. Tenants without a plan have no limit, of a tenant's
+    several plans the widest counts; use below zero or missing counts as none.
 
-    SCHEMA = "tenant string, total bigint"
+    The state is one number for each tenant with a limit and the texts that wait. Use is summed by minute first; only the
+    minute in which a tenant reaches its limit is put in order text by text.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, plans: DataFrame, notice: str):
-        self.spark, self.root, self.plans, self.notice = spark, root.rstrip("/"), plans, notice
-        self.state = SessionTokens(spark, root, "unused")
+    TOTALS, CLOCK = "tenant string, total bigint", "latest timestamp"
+
+    def __init__(self, spark: SparkSession, root: str, plans: DataFrame, notice: str, late: str = "0 seconds", keys: dict[str, str] | None = None):
+        super().__init__(spark, root)
+        self.notice, self.late, self.keys = notice, F.expr(f"interval {late}"), list(keys or {})
+        self.waiting = ", ".join(["tenant string, ts timestamp, redacted string, used bigint", *(f"{k} {t}" for k, t in (keys or {}).items())])
+        limit = F.when(F.min("limit_n") != -1, F.max(F.col("limit_n") + F.col("credits")))
+        self.limits = plans.groupBy(F.col("tenant").cast("string").alias("tenant")).agg(limit.alias("_limit")).where("_limit is not null")
+
+    def _steps(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
+        """Minutes of tenants that have a limit: use before them, and whether it reaches the limit within them."""
+        minutes = rows.groupBy("tenant", "_minute").agg(F.sum("used").alias("_used")).join(self.limits, "tenant").join(totals, "tenant", "left")
+        so_far = F.sum("_used").over(Window.partitionBy("tenant").orderBy("_minute").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        upto = F.coalesce("total", F.lit(0)) + so_far
+        return minutes.select("tenant", "_minute", "_limit", (upto - F.col("_used")).alias("_before"), upto.alias("_upto"))
+
+    def _decided(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_minute", F.coalesce(F.date_trunc("minute", "ts"), F.timestamp_micros(F.lit(-(1 << 62)))))
+        steps = self._steps(rows, totals).where("_upto >= _limit").withColumn("_edge", F.expr("_before < _limit"))
+        met = rows.join(steps, ["tenant", "_minute"], "left")
+        order = Window.partitionBy("tenant").orderBy("ts", *self.keys, "redacted").rowsBetween(Window.unboundedPreceding, -1)
+        edge = met.where("_edge").withColumn("_before", F.col("_before") + F.coalesce(F.sum("used").over(order), F.lit(0)))
+        shown = F.when(F.coalesce(F.expr("_before >= _limit"), F.lit(False)), F.lit(self.notice)).otherwise(F.col("redacted"))
+        return met.where("not coalesce(_edge, false)").unionByName(edge).select("tenant", "ts", *self.keys, shown.alias("shown"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = self.state._snapshot("totals", self.SCHEMA, batch_id)
-        order = Window.partitionBy("tenant").orderBy("ts", "redacted").rowsBetween(Window.unboundedPreceding, -1)
-        limit = F.when(F.col("limit_n") != -1, F.col("limit_n") + F.col("credits"))
-        rows = batch.join(before, "tenant", "left").join(self.plans.select("tenant", "limit_n", "credits"), "tenant", "left")
-        earlier = F.coalesce("total", F.lit(0)) + F.coalesce(F.sum("used").over(order), F.lit(0))
-        shown = F.when(F.coalesce(earlier >= limit, F.lit(False)), F.lit(self.notice)).otherwise(F.col("redacted"))
-        self.state._write(rows.select("tenant", "ts", shown.alias("shown")), "shown", batch_id)
-        used = batch.groupBy("tenant").agg(F.sum("used").alias("total")).unionByName(before)
-        self.state._write(used.groupBy("tenant").agg(F.sum("total").alias("total")), "totals", batch_id)
+        totals = self._snapshot("totals", self.TOTALS, batch_id)
+        columns = [c.split()[0] for c in self.waiting.split(", ")]
+        come = batch.withColumn("tenant", F.col("tenant").cast("string")).withColumn("used", F.greatest(F.coalesce("used", F.lit(0)), F.lit(0)).cast("bigint"))
+        rows = materialize(come.select(*columns).unionByName(self._snapshot("waiting", self.waiting, batch_id)))
+        clock = self._snapshot("clock", self.CLOCK, batch_id).unionByName(rows.select(F.col("ts").alias("latest"))).agg(F.max("latest").alias("latest"))
+        clock = materialize(clock)
+        past = F.coalesce(F.col("ts") <= F.col("latest") - self.late, F.lit(True))
+        timed = rows.crossJoin(F.broadcast(clock)).withColumn("_past", past).drop("latest")  # one row
+        ready = timed.where("_past").drop("_past")
+        self._write(self._decided(ready, totals), "shown", batch_id)
+        used = ready.join(self.limits.select("tenant"), "tenant", "left_semi").groupBy("tenant").agg(F.sum("used").alias("total")).unionByName(totals)
+        self._write(used.groupBy("tenant").agg(F.sum("total").alias("total")), "totals", batch_id)
+        self._write(timed.where("not _past").drop("_past"), "waiting", batch_id)
+        self._write(clock, "clock", batch_id)
+        self._forget(("totals", "waiting", "clock"), batch_id)
+
+    def shown(self, final: bool = False) -> DataFrame:
+        """What was decided, and with ``final`` also what waits, as it would be if nothing more came."""
+        done = self.spark.read.parquet(f"{self.root}/shown").select("tenant", "ts", *self.keys, "shown")
+        if not final:
+            return done
+        now = 1 << 62
+        return done.unionByName(self._decided(self._snapshot("waiting", self.waiting, now), self._snapshot("totals", self.TOTALS, now)))
 
-    def shown(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/shown")
+    def run(self, stream: DataFrame) -> None:
+        stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.root}/progress").trigger(availableNow=True).start().awaitTermination()
 
 
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
@@ -242,12 +293,24 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/latest")
 
 
-def pair_replies(requests: DataFrame, replies: DataFrame, patience: str = "1 hour") -> DataFrame:
+def pair_replies(requests: DataFrame, replies: DataFrame, patience: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Each reply with the request it answers, of the same session. Requests are forgotten after ``patience``.
 
     ``requests``: session_id, id, method, asked_ts. ``replies``: session_id, id, result, reply_ts.
     """
     asked = requests.withWatermark("asked_ts", "10 minutes").alias("q")
-    answered = replies.withWatermark("reply_ts", "10 minutes").withColumnsRenamed({"id": "reply_id", "session_id": "reply_session"}).alias("r")
+    answered = replies.withWatermark("reply_ts", late).withColumnsRenamed({"id": "reply_id", "session_id": "reply_session"}).alias("r")
     on = F.expr(f"id = reply_id AND session_id = reply_session AND reply_ts >= asked_ts AND reply_ts <= asked_ts + interval {patience}")
     return asked.join(answered, on, "inner").select("session_id", "id", "method", "result", "asked_ts", "reply_ts")
+
+
+def answered_once(requests: DataFrame, replies: DataFrame, patience: str = "1 hour") -> DataFrame:
+    """``pair_replies``, but a request is answered once: replies that repeat one are dropped.
+
+    Replies may be late by ``patience``, so every reply that can still meet its request falls within the watermark of the first.
+    The one that arrives first counts; the order of replies that arrive together is not defined.
+    """
+    pairs = pair_replies(requests, replies, patience, late=patience)
+    asked = (F.col("asked_ts") + F.expr("interval 0 seconds")).alias("asked_ts")  # the reply's time is the one time of a pair
+    pairs = pairs.select("session_id", "id", "method", "result", asked, "reply_ts")
+    return pairs.dropDuplicatesWithinWatermark(["session_id", "id", "asked_ts"])

@@ -1,5 +1,7 @@
 """Fingerprints, previews, sealed fields, events, usage and quotas."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from veil.catalog.base import pad, query, view
@@ -8,6 +10,7 @@ from veil.catalog.redaction import KEYS, SESSIONS, findings_sql, found
 from veil.functions import crypto as C
 from veil.functions.text import finding_id
 from veil.operators import audit as A
+from veil.operators import envelope as E
 from veil.operators import tokens as T
 
 TENANTS = ["en", "de", "fr", "es"]
@@ -86,16 +89,8 @@ def plaintext_rows(spark, folder):
 @query("envelope_encrypt", f"SELECT id, true AS opens, 344 AS wrapped_len FROM ({_SAMPLES})")
 def envelope_encrypt(spark, folder):
     """Previews sealed under one random key per job; the key itself travels wrapped for its owner."""
-    import os
-
-    jvm = spark.sparkContext._jvm
-    pair = jvm.java.security.KeyPairGenerator.getInstance("RSA")
-    pair.initialize(2048)
-    kind = jvm.java.lang.Class.forName("java.security.spec.X509EncodedKeySpec")
-    spec = jvm.java.security.KeyFactory.getInstance("RSA").getKeySpec(pair.generateKeyPair().getPublic(), kind)
-    public = bytes(b & 0xFF for b in spec.getEncoded())
     data_key = os.urandom(32)
-    wrapped = C.wrap_key(spark, data_key, public)
+    wrapped = C.wrap_key(spark, data_key, C.rsa_pair(spark)[0])
     key = F.lit(data_key.hex())
     previews = view(spark, folder, _SAMPLES, "id").select("id", C.mask_preview(F.col("value"), F.col("type")).alias("preview"))
     sealed = previews.withColumn("cipher", C.encrypt(F.col("preview"), key))
@@ -104,6 +99,22 @@ def envelope_encrypt(spark, folder):
     )
 
 
+_OWNED = f"SELECT id, type AS tenant, value FROM ({_SAMPLES})"
+
+
+@query("envelope_rotate", f"SELECT id, tenant, CASE WHEN tenant = 'VIN' THEN '' ELSE value END AS opened, tenant <> 'VIN' AS sealed, 8 AS keys FROM ({_OWNED})")
+def envelope_rotate(spark, folder):
+    """Values sealed under a key for each type but one, the keys then wrapped for another reader, who opens the rows as they are."""
+    (public, private), (new_public, new_private) = C.rsa_pair(spark), C.rsa_pair(spark)
+    owners = ["EMAIL", "CREDIT_CARD", "SSN", "PHONE", "IPV4", "PERSON", "MAC", "CUSTOM"]
+    opened, wrapped = E.new_keys(spark, owners, public)
+    sealed = E.seal_rows(view(spark, folder, _OWNED, "id"), opened, "value").withColumn("cipher", F.col("value"))
+    keys = E.open_keys(E.rotate_keys(wrapped, private, new_public), new_private)
+    return E.open_rows(sealed, keys, "value").select(
+        "id", "tenant", F.col("value").alias("opened"), F.coalesce(C.looks_encrypted(F.col("cipher")), F.lit(False)).alias("sealed"), F.lit(keys.count()).alias("keys")
+    )
+
+
 _OLD = "doc_id < 500"
 
 
@@ -139,6 +150,26 @@ def usage_counts(spark, folder):
     return A.usage_counts(found(spark, folder)[1], ["session_id"])
 
 
+_WINDOWS = "(VALUES ('all', 0, 6), ('early', 0, 2), ('middle', 2, 4), ('late', 6, 6)) AS w(name, lo, hi)"
+
+
+@query(
+    "usage_sketches",
+    findings_sql(SESSIONS)
+    + f" SELECT name AS span, type, count(DISTINCT lower(value)) AS exact, count(*) AS occurrences, true AS close FROM f JOIN {_WINDOWS} ON doc_id % 7 BETWEEN lo AND hi GROUP BY ALL",
+)
+def usage_sketches(spark, folder):
+    """Sketches by day and session, added up over overlapping spans of days; four standard errors count as close."""
+    kept = found(spark, folder)[1].withColumn("day", F.col("doc_id") % 7)
+    spans = F.broadcast(spark.sql(f"SELECT * FROM {_WINDOWS}"))
+    within = F.col("day").between(F.col("lo"), F.col("hi"))
+    facts = A.distinct_sketches(kept, ["session_id", "day"])
+    about = A.distinct_over(facts.join(spans, within).withColumnRenamed("name", "span"), ["span", "type"])
+    exact = A.usage_counts(kept.join(spans, within).withColumnRenamed("name", "span"), ["span"]).select("span", "type", F.col("distinct_values").alias("exact"))
+    close = F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.065)
+    return about.join(exact, ["span", "type"]).select("span", "type", "exact", "occurrences", close.alias("close"))
+
+
 USAGE = "SELECT user_id AS tenant, ts, cast(1 + event_id % 3 as bigint) AS used FROM events"
 PLANS = """SELECT DISTINCT user_id AS tenant, CASE user_id % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'team' ELSE 'enterprise' END AS plan,
  cast(CASE user_id % 3 WHEN 0 THEN 150 WHEN 1 THEN 190 ELSE -1 END as bigint) AS limit_n, cast(CASE user_id % 2 WHEN 0 THEN 20 ELSE 0 END as bigint) AS credits FROM events"""

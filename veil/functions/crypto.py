@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import hmac
 import re
@@ -99,16 +100,41 @@ def mask_preview(value: Column, type_: Column) -> Column:
     )
 
 
-def wrap_key(spark, data_key: bytes, public_key_der: bytes) -> str:
-    """Wrap a job's data key with RSA-OAEP-SHA256 in the driver's JVM; returned in base64 behind ``e2e:``."""
-    import base64
-
+def _rsa(spark, mode: str, key):
+    """RSA-OAEP with SHA-256, also for its mask, in the driver's JVM."""
     jvm = spark.sparkContext._jvm
-    spec = jvm.java.security.spec.X509EncodedKeySpec(bytearray(public_key_der))
-    public = jvm.java.security.KeyFactory.getInstance("RSA").generatePublic(spec)
     oaep = jvm.javax.crypto.spec.OAEPParameterSpec(
         "SHA-256", "MGF1", jvm.java.security.spec.MGF1ParameterSpec.SHA256, getattr(jvm.javax.crypto.spec, "PSource$PSpecified").DEFAULT
     )
     cipher = jvm.javax.crypto.Cipher.getInstance("RSA/ECB/OAEPWithSHA-256AndMGF1Padding")
-    cipher.init(1, public, oaep)
-    return "e2e:" + base64.b64encode(bytes(b & 0xFF for b in cipher.doFinal(bytearray(data_key)))).decode()
+    cipher.init(getattr(jvm.javax.crypto.Cipher, mode), key, oaep)
+    return cipher
+
+
+def _bytes(array) -> bytes:
+    return bytes(b & 0xFF for b in array)
+
+
+def rsa_pair(spark, bits: int = 2048) -> tuple[bytes, bytes]:
+    """A new key pair: public in X.509 form, private in PKCS #8 form."""
+    maker = spark.sparkContext._jvm.java.security.KeyPairGenerator.getInstance("RSA")
+    maker.initialize(bits)
+    pair, forms = maker.generateKeyPair(), spark.sparkContext._jvm.java.security.KeyFactory.getInstance("RSA")
+    kinds = [spark.sparkContext._jvm.java.lang.Class.forName(f"java.security.spec.{n}EncodedKeySpec") for n in ("X509", "PKCS8")]
+    return _bytes(forms.getKeySpec(pair.getPublic(), kinds[0]).getEncoded()), _bytes(forms.getKeySpec(pair.getPrivate(), kinds[1]).getEncoded())
+
+
+def wrap_key(spark, data_key: bytes, public_key_der: bytes) -> str:
+    """Wrap a data key with RSA-OAEP-SHA256 in the driver's JVM; returned in base64 behind ``e2e:``."""
+    jvm = spark.sparkContext._jvm
+    spec = jvm.java.security.spec.X509EncodedKeySpec(bytearray(public_key_der))
+    public = jvm.java.security.KeyFactory.getInstance("RSA").generatePublic(spec)
+    return "e2e:" + base64.b64encode(_bytes(_rsa(spark, "ENCRYPT_MODE", public).doFinal(bytearray(data_key)))).decode()
+
+
+def unwrap_key(spark, wrapped: str, private_key_der: bytes) -> bytes:
+    """The data key again; an error if it was wrapped for another reader."""
+    jvm = spark.sparkContext._jvm
+    spec = jvm.java.security.spec.PKCS8EncodedKeySpec(bytearray(private_key_der))
+    private = jvm.java.security.KeyFactory.getInstance("RSA").generatePrivate(spec)
+    return _bytes(_rsa(spark, "DECRYPT_MODE", private).doFinal(bytearray(base64.b64decode(wrapped.removeprefix("e2e:")))))

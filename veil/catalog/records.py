@@ -162,3 +162,40 @@ def rehydrate_record(spark, folder):
 )
 def withhold_record(spark, folder):
     return flat(N.withhold_records(records(spark, folder), ["id"], F.lit("withheld")))
+
+
+# ---- records without a schema: an object, an array or a mere string, by row
+_MIXED = """SELECT c_custkey AS id, CASE c_custkey % 3
+ WHEN 0 THEN '{"mail":"' || @@ || '","n":1.25,"tags":["x",2,null,{"note":"to \\"' || @@ || '\\""},"last"],"type":"' || @kept@ || '"}'
+ WHEN 1 THEN '["' || @@ || '",[["deep ' || @@ || '"]],true]' ELSE '"only ' || @@ || '"' END AS body FROM customer""".replace("@kept@", MAIL)
+MIXED = _MIXED.replace("@@", MAIL)
+MIXED_LEAVES = [  # which third of the rows, path, key, value
+    (0, "body.mail", "mail", MAIL), (0, "body.tags[0]", "tags", "'x'"), (0, "body.tags[3].note", "note", f"'to \"' || {MAIL} || '\"'"),
+    (0, "body.tags[4]", "tags", "'last'"), (0, "body.type", "type", MAIL), (1, "body[0]", "body", MAIL), (1, "body[1][0][0]", "body", f"'deep ' || {MAIL}"),
+    (2, "body", "body", f"'only ' || {MAIL}"),
+]
+
+
+def variants(spark, folder):
+    rows = view(spark, folder, MIXED.replace("\\", "\\\\"), "id")
+    return rows.withColumn("body", F.parse_json("body"))
+
+
+@query("src_variant_leaves", " UNION ALL ".join(f"SELECT c_custkey AS id, '{p}' AS field_path, '{k}' AS key, {v} AS value FROM customer WHERE c_custkey % 3 = {m}" for m, p, k, v in MIXED_LEAVES))
+def src_variant_leaves(spark, folder):
+    """Leaves of values whose types differ by row."""
+    return N.explode_leaves(variants(spark, folder), ["id"])
+
+
+@query("redact_variant", _MIXED.replace("@@", "'[EMAIL_1]'"))
+def redact_variant(spark, folder):
+    """Masked in place, whatever the shape: numbers and structural keys keep their values."""
+    done = redact_records(variants(spark, folder), ["id"], Config.only("EMAIL"), "id").redacted
+    return done.select("id", F.to_json("body").alias("body"))
+
+
+@query("rehydrate_variant", MIXED)
+def rehydrate_variant(spark, folder):
+    done = redact_records(variants(spark, folder), ["id"], Config.only("EMAIL"), "id")
+    back = rehydrate_records(done.redacted, ["id"], done.token_map, done.sites, session="id")
+    return back.select("id", F.to_json("body").alias("body"))

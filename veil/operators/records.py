@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veil.config import Config
+from veil.functions.schemaless import variant_leaves, with_leaves
 from veil.operators.detect import FINDING, detect, text_rules
 from veil.operators.labels import key_label
 
@@ -33,6 +34,11 @@ def _leaves(kind: T.DataType, value: Column, path: Column, key: str | None, bloc
     """
     if isinstance(kind, T.StringType):
         return [F.array(F.struct(path.alias("field_path"), F.lit(key).cast("string").alias("key"), value.alias("value")))]
+    if isinstance(kind, T.VariantType):
+        def placed(x):
+            return F.struct(F.concat(path, x["field_path"]).alias("field_path"), F.coalesce(x["key"], F.lit(key)).alias("key"), x["value"].alias("value"))
+
+        return [F.transform(variant_leaves(value), placed)]
     if isinstance(kind, T.StructType):
         found = []
         for f in kind.fields:
@@ -40,6 +46,8 @@ def _leaves(kind: T.DataType, value: Column, path: Column, key: str | None, bloc
         if block_types and "type" in kind.names:
             found = [F.when(value["type"].isin(*block_types), a) for a in found]
         return found
+    if isinstance(kind, (T.ArrayType, T.MapType)) and "variant" in kind.simpleString():
+        raise ValueError(f"{kind.simpleString()}: variant values inside arrays and maps are not read; make the whole column a variant")
     if isinstance(kind, T.ArrayType):
         if not _leaves(kind.elementType, F.lit(None).cast(kind.elementType), path, key):
             return []
@@ -110,6 +118,12 @@ def map_leaves(kind: T.DataType, value: Column, change: Callable[[Column, Column
     """
     if isinstance(kind, T.StringType):
         return value if key in skip else change(value, path)
+    if isinstance(kind, T.VariantType):
+        def changed(x):
+            new = change(x["value"], F.concat(path, x["field_path"]))
+            return F.when(F.coalesce(x["key"], F.lit(key)).isin(list(skip)), x["value"]).otherwise(new) if skip else new
+
+        return F.when(value.isNotNull(), with_leaves(value, F.transform(variant_leaves(value), changed)))
     if isinstance(kind, T.StructType):
         fields = [
             map_leaves(f.dataType, value[f.name], change, F.concat(path, F.lit("." + f.name)), f.name, skip).alias(f.name)

@@ -1,13 +1,13 @@
 """License scans: a trained classifier over paragraphs, confirmed by comparison with templates. DataFrame operations only.
 
-Paragraphs are the lines of a text. Their features are word bigrams. A multinomial logistic regression with a class for
+Judged are the lines of a text and the paragraphs they form, as notices are often wrapped. Their features are word bigrams. A multinomial logistic regression with a class for
 each licence family and one for everything else is fitted on variants of the templates (word ranges of different lengths, with
 words left out) and on a bounded sample of the corpus's own lines and of sentences that speak of licences without granting
 one. The limit for a family's probability is calibrated on variants and lines held out from the fit. A prediction
 counts if the paragraph also holds enough of one of that family's templates.
 
 Applying it, a text's bigrams meet the model's in a join with a broadcast table whose size the templates bound; only
-bigrams the model knows go on, and only to be added up by paragraph. Texts are not shuffled.
+bigrams the model knows go on, and only to be added up by line and paragraph. Texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -72,6 +72,8 @@ LINES, FALSE_SHARE = 4000, 0.001
 #: Share of a template's bigrams that a paragraph must hold to confirm a prediction.
 CONFIRMED = 0.7
 WORD = r"[\p{L}\p{N}]+"
+#: The end of a line and all lines without a word behind it.
+PARAGRAPH_END = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
 
 
 def bigrams(line: Column) -> Column:
@@ -171,36 +173,74 @@ def _scores(rows: DataFrame, model: Classifier, keys: list[str]) -> DataFrame:
     return full.select(*keys, _probabilities([F.coalesce(f"s{i}", F.lit(0.0)) for i in range(k)], model.bias).alias("p_class"))
 
 
-def paragraphs(docs: DataFrame, model: Classifier) -> DataFrame:
-    """License paragraphs of ``docs`` (doc_id, text): doc_id, key (hash of the text), line (number from 0), family, p, share (of
-    the template that fits best), confirmed.
+def _units(text: Column) -> Column:
+    """Array of ``{para, body}``, one for each line that holds a word: the number of its paragraph, and the line with the first
+    word of the paragraph's next line, so that pairs of words across a line's end are kept."""
+    blocks = F.split(text, PARAGRAPH_END)
 
-    Paragraphs without a bigram the model knows have the biases' class, which is ``unknown``; they are not listed. Null texts
-    have no paragraphs; equal rows are listed once.
-    """
-    k = len(model.families)
-    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    grams = lines.select("doc_id", "key", "line", F.explode(bigrams(F.col("body"))).alias("gram"))
-    hits = grams.join(F.broadcast(model.weights), "gram").groupBy("doc_id", "key", "line").agg(
-        *[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(k)], F.collect_set("gram").alias("grams"), F.count(F.lit(1)).alias("n")
+    def lines_of(block, number):
+        lines = F.split(block, "\n")
+        after = F.slice(lines, 2, F.size(lines))
+        return F.zip_with(lines, after, lambda a, b: F.struct(number.alias("para"), F.concat_ws(" ", a, F.regexp_extract(b, WORD, 0)).alias("body")))
+
+    return F.flatten(F.transform(blocks, lines_of))
+
+
+def _judged(hits: DataFrame, model: Classifier, keys: list[str]) -> DataFrame:
+    """Units (``keys``) from their known bigrams (gram, w) with family, p and share, if the classifier takes them for notices."""
+    summed = hits.groupBy(*keys).agg(
+        *[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(model.families))], F.collect_set("gram").alias("grams"), F.count(F.lit(1)).alias("n")
     )
-    # a line has each bigram once; what comes more often comes from equal rows
+    # a unit has each bigram once; what comes more often comes from equal rows
     once = F.size("grams") / F.col("n")
-    p = hits.select("doc_id", "key", "line", "grams", _probabilities([F.col(f"s{i}") * once for i in range(k)], model.bias).alias("p"))
+    p = summed.select(*keys, "grams", _probabilities([F.col(f"s{i}") * once for i in range(len(model.families))], model.bias).alias("p"))
     at = F.array_position("p", F.array_max("p")).cast("int")
-    found = p.select("doc_id", "key", "line", "grams", F.element_at(F.array(*[F.lit(f) for f in model.families]), at).alias("family"), F.array_max("p").alias("p"))
+    found = p.select(*keys, "grams", F.element_at(F.array(*[F.lit(f) for f in model.families]), at).alias("family"), F.array_max("p").alias("p"))
     found = found.where((F.col("family") != OTHER) & (F.col("p") >= model.limit))
-    matched = found.select("doc_id", "key", "line", "family", "p", F.explode("grams").alias("gram")).join(F.broadcast(model.templates), ["family", "gram"])
-    by_template = matched.groupBy("doc_id", "key", "line", "family", "p", "template").agg((F.count(F.lit(1)) / F.first("size")).alias("share"))
-    best = by_template.groupBy("doc_id", "key", "line", "family", "p").agg(F.max("share").alias("share"))
-    return best.withColumn("confirmed", F.col("share") >= CONFIRMED)
+    matched = found.select(*keys, "family", "p", F.explode("grams").alias("gram")).join(F.broadcast(model.templates), ["family", "gram"])
+    by_template = matched.groupBy(*keys, "family", "p", "template").agg((F.count(F.lit(1)) / F.first("size")).alias("share"))
+    return by_template.groupBy(*keys, "family", "p").agg(F.max("share").alias("share"))
+
+
+def paragraphs(docs: DataFrame, model: Classifier) -> DataFrame:
+    """License notices of ``docs`` (doc_id, text): doc_id, key (hash of the text), para (number from 0), line (number from 0 among
+    the lines that hold words; null if the paragraph as a whole is judged), family, p, share (of the template that fits best),
+    confirmed.
+
+    Each line is judged, and each paragraph of several lines as a whole, for notices are often wrapped. Lines without letters
+    or digits (blank ones, bare comment signs) end a paragraph. Units without a bigram the model knows have the biases' class,
+    which is ``unknown``; they are not listed. Null texts have no paragraphs; equal rows are listed once; of classes that tie the
+    first by name counts. Texts of any length are read whole, other columns are not read; an empty table gives none.
+    """
+    ids = ["doc_id", "key"]
+    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(_units(F.col("text"))).alias("line", "unit"))
+    grams = lines.select(*ids, "unit.para", "line", F.explode(bigrams(F.col("unit.body"))).alias("gram"))
+    weights = F.broadcast(model.weights)
+    hits = grams.join(weights, "gram")
+    single = _judged(hits, model, [*ids, "para", "line"])
+    whole = hits.groupBy(*ids, "para").agg(F.collect_set("gram").alias("grams"), (F.min("line") < F.max("line")).alias("several"))
+    wrapped = _judged(whole.where("several").select(*ids, "para", F.explode("grams").alias("gram")).join(weights, "gram"), model, [*ids, "para"])
+    both = single.unionByName(wrapped.withColumn("line", F.lit(None).cast("int")))
+    return both.withColumn("confirmed", F.col("share") >= CONFIRMED)
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): n_lines (not empty), n_notices (confirmed), families (comma-joined,
-    sorted), p_family (largest probability, 0 without a notice)."""
-    found = paragraphs(docs, model).where("confirmed").groupBy("doc_id", "key").agg(
-        F.count(F.lit(1)).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("p").alias("p_family")
+    """One row for each row of ``docs`` (doc_id, text): n_lines (not empty), n_notices (confirmed lines, and confirmed paragraphs
+    of which no line is), families (comma-joined, sorted), p_family (largest probability, 0 without a notice).
+
+    Null and empty texts have no lines and no notices, equal rows equal results; an empty table gives none.
+    """
+    alone = F.col("line").isNotNull()
+    notices = paragraphs(docs, model).where("confirmed").groupBy("doc_id", "key", "para").agg(
+        F.count_if(alone).alias("lines"), F.collect_set(F.when(alone, F.col("family"))).alias("by_line"), F.collect_set("family").alias("any"),
+        F.max(F.when(alone, F.col("p"))).alias("p_line"), F.max("p").alias("p_any"),
+    )
+    counted = notices.select(
+        "doc_id", "key", F.greatest("lines", F.lit(1)).alias("n"), F.when(F.col("lines") > 0, F.col("by_line")).otherwise(F.col("any")).alias("names"),
+        F.coalesce("p_line", "p_any").alias("p"),
+    )
+    found = counted.groupBy("doc_id", "key").agg(
+        F.sum("n").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))), ",").alias("families"), F.max("p").alias("p_family")
     ).select(F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), "n_notices", "families", "p_family")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.size(F.filter(F.split(text, "\n"), lambda x: x != "")).cast("long").alias("n_lines"))

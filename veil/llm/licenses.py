@@ -186,11 +186,15 @@ def _units(text: Column) -> Column:
     return F.flatten(F.transform(blocks, lines_of))
 
 
-def _judged(hits: DataFrame, model: Classifier, keys: list[str]) -> DataFrame:
-    """Units (``keys``) from their known bigrams (gram, w) with family, p and share, if the classifier takes them for notices."""
-    summed = hits.groupBy(*keys).agg(
+def _summed(hits: DataFrame, model: Classifier, keys: list[str]) -> DataFrame:
+    """Units (``keys``) with their known bigrams (gram, w) and the sums of the weights."""
+    return hits.groupBy(*keys).agg(
         *[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(model.families))], F.collect_set("gram").alias("grams"), F.count(F.lit(1)).alias("n")
     )
+
+
+def _judged(summed: DataFrame, model: Classifier, keys: list[str]) -> DataFrame:
+    """The units that the classifier takes for notices, with family, p and share."""
     # a unit has each bigram once; what comes more often comes from equal rows
     once = F.size("grams") / F.col("n")
     p = summed.select(*keys, "grams", _probabilities([F.col(f"s{i}") * once for i in range(len(model.families))], model.bias).alias("p"))
@@ -216,10 +220,11 @@ def paragraphs(docs: DataFrame, model: Classifier) -> DataFrame:
     lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(_units(F.col("text"))).alias("line", "unit"))
     grams = lines.select(*ids, "unit.para", "line", F.explode(bigrams(F.col("unit.body"))).alias("gram"))
     weights = F.broadcast(model.weights)
-    hits = grams.join(weights, "gram")
-    single = _judged(hits, model, [*ids, "para", "line"])
-    whole = hits.groupBy(*ids, "para").agg(F.collect_set("gram").alias("grams"), (F.min("line") < F.max("line")).alias("several"))
-    wrapped = _judged(whole.where("several").select(*ids, "para", F.explode("grams").alias("gram")).join(weights, "gram"), model, [*ids, "para"])
+    by_line = materialize(_summed(grams.join(weights, "gram"), model, [*ids, "para", "line"]))  # texts are read once for both
+    single = _judged(by_line, model, [*ids, "para", "line"])
+    whole = by_line.groupBy(*ids, "para").agg(F.array_distinct(F.flatten(F.collect_set("grams"))).alias("grams"), (F.min("line") < F.max("line")).alias("several"))
+    whole = whole.where("several").select(*ids, "para", F.explode("grams").alias("gram")).join(weights, "gram")
+    wrapped = _judged(_summed(whole, model, [*ids, "para"]), model, [*ids, "para"])
     both = single.unionByName(wrapped.withColumn("line", F.lit(None).cast("int")))
     return both.withColumn("confirmed", F.col("share") >= CONFIRMED)
 

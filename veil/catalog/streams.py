@@ -18,9 +18,9 @@ from veil.streaming import jobs as J
 
 
 def stream_of(spark, folder, name):
-    """A table's files as a stream."""
+    """A table as a stream, be it one file or a folder of files: the pattern matches its name alone, and Spark lists either."""
     register(spark, folder)
-    stream = spark.readStream.schema(table(spark, folder, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    stream = spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 

@@ -151,7 +151,7 @@ def flt_allow(spark, folder):
 @query("flt_reject", EMAILS_SQL + " " + FILTER_OUT + " WHERE NOT starts_with(value, 'e') AND NOT starts_with(value, 't')")
 def flt_reject(spark, folder):
     found = emails(spark, folder).withColumn("finding_id", S.finding_id(F.col("type"), F.col("value")))
-    rejected = found.where(F.col("value").startswith("e") | F.col("value").startswith("t")).select("finding_id")
+    rejected = found.where(F.col("value").startswith("e") | F.col("value").startswith("t")).select("finding_id", "value")
     return spans_out(drop_rejected(found, rejected))
 
 

@@ -156,11 +156,14 @@ def rehydrate(
 
 
 def distinct_findings(tokenised: DataFrame, session: list[str], order: str = "doc_id") -> DataFrame:
-    """One row per distinct finding: grades of its first occurrence, and how often it occurs."""
+    """One row per distinct finding: grades of its first occurrence, and how often it occurs.
+
+    Unlike values may share an id of 32 bits, so the id alone does not tell findings apart.
+    """
     position = F.struct(F.col(order).alias("o"), F.col("start_at").alias("s"))
     first = F.min_by(F.struct("type", "value", "level", "confidence", "reason"), position)
     return (
-        tokenised.groupBy(*session, "finding_id")
+        tokenised.groupBy(*session, "finding_id", norm(F.col("value")).alias("_norm"))
         .agg(first.alias("_f"), F.count(F.lit(1)).alias("n"))
         .select(*session, "finding_id", "_f.*", "n")
     )

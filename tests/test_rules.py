@@ -45,3 +45,11 @@ def test_python_validators_are_refused_in_the_row(spark):
     config = register_rule(Config.only(), "REF", "AB-[0-9]{2}", even_in_python, arrow=True)
     with pytest.raises(ValueError):
         findings_in_row(spark.createDataFrame(TEXTS, "session_id string, doc_id int, text string"), config)
+
+
+def test_kind_of_a_builtin_rule_is_judged_whole(spark):
+    """The built-in address goes on behind what the pattern alone would take."""
+    corpus = spark.createDataFrame([("s", 0, "ab.33@mail1.example.com nted. clown"), ("s", 1, "to ab.33@mail1.example.com"), ("s", 2, "ab.34@mail1.example.com")], "session_id string, doc_id int, text string")
+    config = register_rule(Config.only("EMAIL"), "STAFF", r"[a-z]+\.[0-9]{2}@mail[0-9]\.example\.com", lambda v: F.contains(v, F.lit(".33@")), of="EMAIL")
+    got = sorted((r.doc_id, r.type, r.value) for r in find(corpus, config).collect())
+    assert got == [(0, "EMAIL", "ab.33@mail1.example.com nted. clown"), (1, "STAFF", "ab.33@mail1.example.com"), (2, "EMAIL", "ab.34@mail1.example.com")]

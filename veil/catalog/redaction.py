@@ -67,7 +67,7 @@ STAFF = r"[a-z]+\.[0-9]{2}@mail[0-9]\.example\.com"
 def rule_registry(spark, folder):
     """A user's rule with a validator, which takes the place of the built-in one where it holds."""
     by_number = lambda v: F.regexp_extract(v, "[.]([0-9]+)@", 1).cast("int") % 3 == 0
-    config = R.register_rule(Config.only("EMAIL"), "STAFF_MAIL", STAFF, by_number)
+    config = R.register_rule(Config.only("EMAIL"), "STAFF_MAIL", STAFF, by_number, of="EMAIL")
     found = find(view(spark, folder, SESSIONS, *KEYS), config)
     return found.select(*KEYS, F.col("start_at").cast("bigint").alias("start_at"), F.col("end_at").cast("bigint").alias("end_at"), "value", "type")
 

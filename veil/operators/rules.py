@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -180,14 +182,23 @@ def custom_rules(config: Config, spark=None) -> list[Rule]:
         flags = "".join(f for f in (item.get("flags") or "") if f in "isum")
         prefix = f"(?{flags})" if flags else ""
         if compiles(prefix + source, spark):
-            rules.append(
-                Rule(item.get("type") or item.get("name") or "CUSTOM", prefix + source, via=item.get("via") or "custom", raw=True, valid=item.get("validate"))
-            )
+            name, via = item.get("type") or item.get("name") or "CUSTOM", item.get("via") or "custom"
+            if item.get("of"):
+                rules += [_refined(r, name, prefix + source, via, item.get("validate")) for r in BUILTIN if r.key == item["of"]]
+            else:
+                rules.append(Rule(name, prefix + source, via=via, raw=True, valid=item.get("validate")))
     return rules
 
 
+def _refined(rule: Rule, name: str, pattern: str, via: str, validate: Callable[[Column], Column] | None) -> Rule:
+    """``rule`` under another name, for the matches that ``pattern`` fits from end to end and ``validate`` lets through."""
+    tests = [r for r in (rule.valid, has(rf"\A(?:{pattern})\z"), validate) if r]
+    return replace(rule, type=name, name=name, via=via, grade=None, valid=lambda v: reduce(lambda a, b: a & b, [test(v) for test in tests]))
+
+
 def register_rule(
-    config: Config, type: str, pattern: str, validate: Callable[[Column], Column] | None = None, via: str = "custom", flags: str = "", arrow: bool = False
+    config: Config, type: str, pattern: str, validate: Callable[[Column], Column] | None = None, via: str = "custom", flags: str = "", arrow: bool = False,
+    of: str | None = None,
 ) -> Config:
     """``config`` with one more rule, which every pass over texts, records and streams then applies.
 
@@ -195,9 +206,10 @@ def register_rule(
     evidence the rule gives: with ``custom`` it outranks built-in rules of up to rank 105, with ``checksum`` or ``structural`` its
     values are certain as well, and are looked for again in their session. ``arrow`` marks a validator that is a pandas UDF:
     it works on rows of matches, not inside arrays, so ``plans.redact.find`` then takes matches as rows, and streams refuse it.
-    A pattern that does not compile is skipped where the rules are built.
+    A pattern that does not compile is skipped where the rules are built. ``of`` names a built-in rule of which this is a
+    kind: then the pattern has to fit a match of that rule from end to end, so no value is cut short.
     """
-    item = {"type": type, "pattern": pattern, "flags": flags, "validate": validate, "via": via, "arrow": arrow}
+    item = {"type": type, "pattern": pattern, "flags": flags, "validate": validate, "via": via, "arrow": arrow, "of": of}
     return config.with_(custom_patterns=(*config.custom_patterns, item))
 
 

@@ -12,6 +12,7 @@ from veil.operators import known as W
 from veil.operators.detect import detect
 from veil.operators.labels import label_rules
 from veil.operators.spans import Rule, find_spans
+from veil.session import materialize
 
 CONFIG = Config(lexicons=Lexicons())
 KNOWN = quoted(Lexicons().first_names)
@@ -42,7 +43,7 @@ def sweep_query(name: str, sql: str, rules: list[str], kinds: tuple[str, ...], e
     @query(name, oracle)
     def run(spark, folder):
         corpus = view(spark, folder, sql, *KEYS)
-        found = detect(corpus, [LABELS[r] for r in rules], KEYS, config)
+        found = materialize(detect(corpus, [LABELS[r] for r in rules], KEYS, config))
         certain = W.certain_values(found, "session_id", config)
         known = W.known_values(W.upgrade(found, certain, "session_id"), certain, "session_id", config)
         return swept_out(W.sweep(corpus, found, known, KEYS, config, kinds=kinds))
@@ -134,7 +135,7 @@ SELECT session_id, doc_id, cast(strpos(text, surface) - 1 AS bigint) AS start_at
 def sweep_documents(spark, folder):
     """Names learnt from labels at the foot of documents, found as slugs and joined names in whole texts of their language."""
     corpus = view(spark, folder, _SIGNED, *KEYS)
-    found = detect(corpus, [LABELS["LABEL_NAME"]], KEYS, CONFIG)
+    found = materialize(detect(corpus, [LABELS["LABEL_NAME"]], KEYS, CONFIG))
     certain = W.certain_values(found, "session_id", CONFIG)
     known = W.known_values(W.upgrade(found, certain, "session_id"), certain, "session_id", CONFIG)
     return swept_out(W.sweep(corpus, found, known, KEYS, CONFIG, kinds=("full",)))

@@ -281,10 +281,13 @@ def word_runs(corpus: DataFrame, firsts: DataFrame, keys: list[str], text: str =
     is_word = lambda x, i: (i % 2 == 1) & (x["p"] != "")
     ends_in_digit = lambda c: F.right(c, F.lit(1)).between("0", "9")
     bare = lambda c: F.rtrim(c, F.lit(DIGITS))
+    # the same words as those of the pieces, without their places
+    words = F.filter(F.regexp_extract_all(unmarked(F.col(text)), F.lit(WORDS), F.lit(2)), lambda x: x != "")
     spoken = (
         corpus.join(light(firsts.select(session).distinct()), session, "left_semi")
-        .select(*keys, F.posexplode_outer(F.transform(F.filter(pieces(unmarked(F.col(text))), is_word), lambda x: F.lower(x["p"]))).alias("at", "word"))
+        .select(*keys, F.posexplode_outer(words).alias("at", "word"))
         .where("word is not null")
+        .withColumn("word", F.lower("word"))
         .withColumn("item", F.explode(F.when(ends_in_digit(F.col("word")), F.array("word", bare(F.col("word")))).otherwise(F.array("word"))))
     )
     hits = (

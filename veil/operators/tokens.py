@@ -11,7 +11,7 @@ from veil.config import Config
 from veil.functions.text import norm
 from veil.operators.resolve import TYPE_PRECEDENCE
 from veil.operators.spans import Rule, find_spans
-from veil.session import materialize
+from veil.session import light, materialize
 
 SITES_PER_TOKEN, SITE_CONTEXT, SITE_MIN_MATCH = 32, 40, 10
 
@@ -63,9 +63,12 @@ def splice(text: Column, edits: Column) -> Column:
 
 
 def redact(texts: DataFrame, tokenised: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Every text with ``redacted`` beside it; texts without findings come through as they are."""
+    """Every text with ``redacted`` beside it; texts without findings come through as they are.
+
+    ``tokenised`` is read twice. While the edits are few they go to the texts, which then stay where they are.
+    """
     edits = tokenised.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_at", "end_at", "token"))).alias("_edits"))
-    joined = texts.join(edits, keys, "left")
+    joined = texts.join(light(edits), keys, "left")
     return joined.withColumn(
         "redacted", F.when(F.col("_edits").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_edits")))
     ).drop("_edits")
@@ -150,7 +153,7 @@ def rehydrate(
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("e")).alias("_edits"))
     )
-    joined = texts.join(edits, keys, "left")
+    joined = texts.join(light(materialize(edits)), keys, "left")
     back = F.when(F.col("_edits").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_edits")))
     return joined.withColumn("restored", back).drop("_edits")
 

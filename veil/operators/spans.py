@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veil.functions.text import ALT, CLOSE, OPEN, java, let, unmarked
 
 CONTEXT = 42  # characters kept either side of a match, enough for every context rule
-BLOCK = 256
+BLOCK, STEP = 256, 64  # elements: of a scan in the row, and of a running sum, which copies half a block for each element
 
 
 @dataclass(frozen=True)
@@ -51,11 +51,7 @@ EITHER = "$1$3" + OPEN + "$2" + ALT + "$4" + CLOSE
 
 
 def running_starts(lengths: Column) -> Column:
-    """Offset of each element given the elements' lengths, in blocks so that long arrays stay cheap.
-
-    Each sum is put behind those before it in its block, and each block's behind the blocks before: of n elements and blocks
-    of s these are s / 2 + n / (2 s ^ 2) copies for an element, least at the cube root of 2 n.
-    """
+    """Offset of each element given the elements' lengths, in blocks so that long arrays stay cheap."""
 
     def fold(items, first):
         seed = F.array(first)
@@ -65,10 +61,9 @@ def running_starts(lengths: Column) -> Column:
         return F.aggregate(items, F.lit(0), lambda a, n: a + n)
 
     def blocks(ls):
-        step = F.greatest(F.ceil(F.cbrt(2 * F.size(ls))).cast("int"), F.lit(8))
         return F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / step).cast("int")),
-            lambda b: F.slice(ls, b * step + 1, step),
+            F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / STEP).cast("int")),
+            lambda b: F.slice(ls, b * STEP + 1, F.lit(STEP)),
         )
 
     def within(bs):

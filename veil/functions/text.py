@@ -21,15 +21,16 @@ def java(pattern: str, flags: str = "") -> str:
     r"""Write a rule pattern in Java's dialect.
 
     Rule patterns use ``\<`` and ``\>`` for the start and end of an ASCII word, because ``\b`` means
-    something else on every engine, and ``\s`` for Unicode white space.
+    something else on every engine, and ``\s`` for Unicode white space. Java's ``\w`` is ASCII and a single look-up.
     """
     out, in_class, i = [], False, 0
+    word = f"[{WORD}]" if "i" in flags and "u" in flags else r"\w"  # without regard to Unicode case a class takes in more
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two == r"\<":
-            out.append(f"(?<![{WORD}])")
+            out.append(f"(?<!{word})")
         elif two == r"\>":
-            out.append(f"(?![{WORD}])")
+            out.append(f"(?!{word})")
         elif two == r"\b":
             out.append(f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))")
         elif two == r"\s":
@@ -129,8 +130,9 @@ ENTITY = r"&#([0-9]{2,4});"
 
 
 def unmarked(c: Column) -> Column:
-    """Blank the marker characters out of foreign text, keeping its length."""
-    return F.translate(c, OPEN + CLOSE + ALT, chr(0xFFFD) * 3)
+    """Blank the marker characters out of foreign text, keeping its length; a text without any is not rewritten."""
+    marked = F.contains(c, F.lit(OPEN)) | F.contains(c, F.lit(CLOSE)) | F.contains(c, F.lit(ALT))
+    return F.when(marked, F.translate(c, OPEN + CLOSE + ALT, chr(0xFFFD) * 3)).otherwise(c)
 
 
 def decode_entities(c: Column) -> Column:

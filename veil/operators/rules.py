@@ -141,25 +141,25 @@ BUILTIN = [
         "SA_ID", SA_ID, guard=has(r"[0-9]{6}.?[0-9]{4}"), valid=_sa_id_valid,
         grade=lambda v: F.when(luhn(digits(v)), "checksum").otherwise("sa_id_weak"),
     ),
-    Rule("SSN", SSN, guard=has(r"[0-9]-[0-9]{2}-[0-9]")),
+    Rule("SSN", SSN, first="[0-9]"),
     Rule("PHONE", PHONE, guard=has(r"[0-9]{2}"), valid=_phone_valid),
-    Rule("IPV4", IPV4, guard=has(r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]")),
+    Rule("IPV4", IPV4, first=r"[0-9]{1,3}\."),
     Rule(
         "IBAN", IBAN, guard=has("[A-Z]{2}[0-9]{2}"), valid=lambda v: F.length(_iban_bare(v)).between(15, 34),
         grade=lambda v: F.when(mod97(_iban_bare(v)) == 1, "checksum").otherwise("shape"),
     ),
     Rule("IPV6", IPV6, "i", "structural", guard=has("[A-Fa-f0-9]:[A-Fa-f0-9:]"), valid=_ipv6_valid),
-    Rule("MAC", MAC, "i", "structural", guard=has("[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]")),
-    Rule("VIN", VIN, "i", guard=has("[A-Za-z0-9]{17}"), valid=_vin_valid),
-    Rule("PAN_INDIA", PAN_INDIA, via="structural", guard=has("[A-Z][0-9]{4}[A-Z]")),
+    Rule("MAC", MAC, "i", "structural", guard=has("[:-][0-9A-Fa-f]{2}[:-]"), first="[0-9A-F]{2}[:-]"),
+    Rule("VIN", r"\<(?=\w{17}\>)" + VIN, "i", valid=_vin_valid),
+    Rule("PAN_INDIA", PAN_INDIA, via="structural", first="[A-Z]{5}"),
     Rule("NINO_UK", NINO_UK, via="checksum", guard=has("[A-Z]{2} ?[0-9]{2}"),
          valid=lambda v: ~F.replace(v, F.lit(" "), F.lit("")).rlike(NINO_BARRED)),
     Rule("AADHAAR", AADHAAR, via="checksum", guard=has("[0-9]{4} [0-9]{4} [0-9]{4}"), valid=_aadhaar_valid),
-    Rule("ETH_ADDRESS", ETH_ADDRESS, via="structural", guard=lambda t: F.contains(t, F.lit("0x"))),
+    Rule("ETH_ADDRESS", ETH_ADDRESS, via="structural", guard=lambda t: F.contains(t, F.lit("0x")), first="0x"),
     Rule("BTC_ADDRESS", BTC_ADDRESS, via="structural", guard=has("[a-zA-Z0-9]{26}")),
     Rule("STREET_ADDRESS", PO_BOX, "iu", name="PO_BOX", guard=has("(?i)(?:box|private bag)")),
     Rule("GPS", GPS, guard=has(r"[0-9]\.[0-9]{3}")),
-    Rule("STREET_ADDRESS", STREET_ADDRESS, guard=DIGITS),
+    Rule("STREET_ADDRESS", STREET_ADDRESS, guard=DIGITS, first="[0-9]"),
 ]
 
 SECRETS = [

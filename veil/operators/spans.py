@@ -34,6 +34,7 @@ class Rule:
     valid: Callable[[Column], Column] | None = None  # on the value
     grade: Callable[[Column], Column] | None = None  # value -> via, where evidence decides it
     raw: bool = False  # the pattern is already in Java's dialect
+    first: str = ""  # what every match starts with: looked for ahead of the pattern's border, which costs more at each character
 
     @property
     def key(self) -> str:
@@ -41,7 +42,8 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        return self.pattern if self.raw else java(self.pattern, self.flags)
+        ahead = f"(?={self.first})" if self.first else ""
+        return self.pattern if self.raw else java(ahead + self.pattern, self.flags)
 
 
 # Marks for patterns of the form (label)(value): the label stays part of the gap.
@@ -74,20 +76,33 @@ def running_starts(lengths: Column) -> Column:
     return let(lengths, lambda ls: let(blocks(ls), within))
 
 
-def _plain(part: Column) -> Column:
-    return F.replace(part, F.lit(ALT), F.lit(""))
+def _plain(part: Column, alt: bool = True) -> Column:
+    """A gap or match without ``ALT``, which only some marks set."""
+    return F.when(F.contains(part, F.lit(ALT)), F.replace(part, F.lit(ALT), F.lit(""))).otherwise(part) if alt else part
 
 
-def _located(parts: Column) -> Column:
-    """Matches with their offsets out of an alternating array of gaps and matches."""
-    starts = running_starts(F.transform(parts, lambda p: F.length(_plain(p))))
-    return F.filter(F.arrays_zip(parts.alias("p"), starts.alias("s")), lambda z, i: i % 2 == 1)
+def _has_alt(rules: list[Rule]) -> bool:
+    return any(ALT in r.mark for r in rules)
+
+
+def _cut(text: Column, regex: str, mark: str) -> Column:
+    """Alternating gaps and matches, NULL without a match. Both borders get one character, as that splits without a regex."""
+    marked = F.regexp_replace(text, F.lit(regex), F.lit(mark.replace(CLOSE, OPEN)))
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(OPEN)), F.split(m, OPEN, -1)))
+
+
+def _located(parts: Column, alt: bool = True) -> Column:
+    """Matches with their offsets out of an alternating array of gaps and matches. A single match starts where the first gap ends."""
+    starts = running_starts(F.transform(parts, lambda p: F.length(_plain(p, alt))))
+    every = F.filter(F.arrays_zip(parts.alias("p"), starts.alias("s")), lambda z, i: i % 2 == 1)
+    one = F.array(F.struct(F.get(parts, F.lit(1)).alias("p"), F.length(_plain(F.get(parts, F.lit(0)), alt)).alias("s")))
+    return F.when(F.size(parts) == 3, one).otherwise(every)
 
 
 def locate(text: Column, regex: str, mark: str = OPEN + "$0" + CLOSE) -> Column:
     """Array of ``{p: match, s: offset}`` for one pattern within a row; ``text`` must be marker-free."""
-    parts = F.split(F.regexp_replace(text, F.lit(regex), F.lit(mark)), f"[{OPEN}{CLOSE}]", -1)
-    return let(parts, _located)
+    parts = F.split(F.regexp_replace(text, F.lit(regex), F.lit(mark.replace(CLOSE, OPEN))), OPEN, -1)
+    return let(parts, lambda ps: _located(ps, ALT in mark))
 
 
 def with_context(text: Column, spans: Column, *extra: str, context: int = CONTEXT) -> Column:
@@ -107,30 +122,38 @@ def _rule_parts(body: Column, rules: list[Rule]) -> Column:
     """For each rule that matches: its number, and the alternating gaps and matches."""
 
     def parts(rule: Rule) -> Column:
-        found = F.split(F.regexp_replace(body, F.lit(rule.regex), F.lit(rule.mark)), f"[{OPEN}{CLOSE}]", -1)
+        found = _cut(body, rule.regex, rule.mark)
         return F.when(rule.guard(body), found) if rule.guard else found
 
     per_rule = F.array(*[F.struct(F.lit(i).alias("rule"), parts(r).alias("parts")) for i, r in enumerate(rules)])
     return F.filter(per_rule, lambda r: F.size(r["parts"]) > 1)
 
 
-def _described(body: Column, part: Column, start: Column, context: int, *head: Column) -> Column:
-    value = _plain(part)
-    end = start + F.length(value)
-    return F.struct(
-        *head,
-        start.alias("start_at"),
-        end.alias("end_at"),
-        value.alias("value"),
-        part.endswith(ALT).alias("explicit"),
-        F.substring(body, F.greatest(start - context, F.lit(0)) + 1, F.least(start, F.lit(context))).alias("before"),
-        F.substring(body, end + 1, F.lit(context)).alias("after"),
-    )
+def _described(body: Column, part: Column, start: Column, context: int, alt: bool, *head: Column) -> Column:
+    def described(value, around):
+        ahead, size = F.least(start, F.lit(context)), F.length(value)
+        return F.struct(
+            *head,
+            start.alias("start_at"),
+            (start + size).alias("end_at"),
+            value.alias("value"),
+            (part.endswith(ALT) if alt else F.lit(False)).alias("explicit"),
+            (F.left(around, ahead) if context else F.lit("")).alias("before"),
+            (F.substring(around, ahead + size + 1, F.lit(context)) if context else F.lit("")).alias("after"),
+        )
+
+    def with_around(value):
+        # characters are counted from the start of a text, so both sides are taken out of it at once
+        begin = F.greatest(start - context, F.lit(0))
+        return let(F.substring(body, begin + 1, start - begin + F.length(value) + context), lambda around: described(value, around))
+
+    return let(_plain(part, alt), with_around) if context else described(_plain(part, alt), None)
 
 
 def hits_in(body: Column, rules: list[Rule], context: int = CONTEXT) -> Column:
     """What ``find_spans`` gives as rows, as one array; ``body`` must be marker-free."""
-    each = lambda r: F.transform(_located(r["parts"]), lambda z: _described(body, z["p"], z["s"], context, r["rule"].alias("rule")))
+    alt = _has_alt(rules)
+    each = lambda r: F.transform(_located(r["parts"], alt), lambda z: _described(body, z["p"], z["s"], context, alt, r["rule"].alias("rule")))
     return F.flatten(F.transform(_rule_parts(body, rules), each))
 
 
@@ -146,7 +169,8 @@ def find_spans(df: DataFrame, rules: list[Rule], keys: list[str], text: str = "t
         .select(*keys, "_text", F.explode(_rule_parts(body, rules)).alias("_r"))
         .select(*keys, "_text", F.col("_r.rule").alias("rule"), F.col("_r.parts").alias("_parts"))
     )
-    hits = F.transform(_located(F.col("_parts")), lambda z: _described(body, z["p"], z["s"], context))
+    alt = _has_alt(rules)
+    hits = F.transform(_located(F.col("_parts"), alt), lambda z: _described(body, z["p"], z["s"], context, alt))
     return marked.select(*keys, "rule", F.explode(hits).alias("_h")).select(*keys, "rule", "_h.*")
 
 

@@ -11,6 +11,7 @@ from veil.catalog.scoring import LEVEL_SQL, NUMBERS, scored_sql
 from veil.catalog.views import CONTEXT, DOCS
 from veil.config import Config
 from veil.operators import rules as R
+from veil.session import materialize
 from veil.sources.sinks import scratch
 from veil.sources.tables import register, table
 from veil.sources.text import read_ndjson_stream
@@ -189,9 +190,12 @@ def str_withheld(spark, folder):
     events = view(spark, folder, "SELECT user_id AS tenant, event_id, ts, props AS redacted, 1 + event_id % 3 AS used FROM events", "event_id")
     come = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") * 7 % 10 * 3600
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_batch", F.least(F.floor((come - 1704067200) / (5 * 86400)), F.lit(6)))
-    sink = J.WithheldOverLimit(spark, scratch(spark, "withheld"), spark.sql(_ALLOWED), NOTICE, "10 hours", {"event_id": "bigint"})
+    come_in, plans = scratch(spark, "arrived"), materialize(spark.sql(_ALLOWED))  # every batch looks its tenants up: events are read once for that
+    rows.write.partitionBy("_batch").parquet(come_in)
+    arrived = spark.read.schema(rows.schema).parquet(come_in)
+    sink = J.WithheldOverLimit(spark, scratch(spark, "withheld"), plans, NOTICE, "10 hours", {"event_id": "bigint"})
     for n in range(7):
-        sink(rows.where(F.col("_batch") == n).drop("_batch"), n)
+        sink(arrived.where(F.col("_batch") == n).drop("_batch"), n)
     return sink.shown(final=True).select("tenant", "event_id", "shown")
 
 

@@ -9,7 +9,7 @@ from veil.config import Config
 from veil.functions.text import decode_entities, decode_percent, java
 from veil.operators.detect import FINDING, GATHERED, detect
 from veil.operators.intervals import mark_contained
-from veil.operators.rules import has, value_rules
+from veil.operators.rules import both, has, has_run, names, names_any_case, value_rules
 from veil.operators.spans import Rule, find_spans
 
 # Shapes of hidden regions. A region starts where its run of characters starts.
@@ -22,14 +22,14 @@ BASE64_RUN = r"[A-Za-z0-9+/]{64,}={0,2}"
 SHAPE_ONLY = ("shape", "sa_id_weak", "honorific")
 MIN_DECODED, PRINTABLE = 8, 0.95
 
-HAS_ESCAPE = has(r"%[0-9A-Fa-f]{2}|&#[0-9]{2,4};")
-HAS_SPELLED = has(java(r"[\s\])]dot[\s\])]|[\[(]\s*dot", "i"))
+HAS_ESCAPE = both(names("%", "&#"), has(r"%[0-9A-Fa-f]{2}|&#[0-9]{2,4};"))
+HAS_SPELLED = both(names_any_case("dot"), has(java(r"[\s\])]dot[\s\])]|[\[(]\s*dot", "i")))
 REGION_RULES = [
     Rule("ESCAPED", ESCAPED, guard=HAS_ESCAPE),
     Rule("SPELLED", SPELLED, "i", guard=HAS_SPELLED),
-    Rule("BASE64", BASE64, guard=has("[A-Za-z0-9+/]{24}")),
+    Rule("BASE64", BASE64, guard=has_run(24)),
 ]
-BASE64_RUN_RULE = Rule("BASE64_RUN", BASE64_RUN, guard=has("[A-Za-z0-9+/]{64}"))
+BASE64_RUN_RULE = Rule("BASE64_RUN", BASE64_RUN, guard=has_run(64))
 
 
 def unspell(c: Column) -> Column:

@@ -20,7 +20,7 @@ from veil.operators.encoded import HAS_ESCAPE, HAS_SPELLED, unspell
 from veil.operators.intervals import contained, overlapping
 from veil.operators.persons import PERSON_RULES
 from veil.operators.resolve import precedence
-from veil.operators.rules import has, value_rules
+from veil.operators.rules import has, names, names_any_case, value_rules
 from veil.operators.spans import CONTEXT, locate
 from veil.operators.words import word_array
 from veil.session import light, materialize
@@ -33,7 +33,9 @@ URLISH = (
     r"(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://|[a-z][a-z0-9+.-]{0,40}+://|www\.)[^\s\"'<>]+|/[A-Za-z0-9._~%\-/]{3,}"
     r"|(?<![A-Za-z0-9._~%-])[A-Za-z0-9._~%-]+\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)\>"
 )
-ZONE_HINT = has(r"(?i)/|www\.|\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)(?![a-z0-9_])")
+ZONE_HINT = lambda text: (
+    names("/")(text) | names_any_case("www.")(text) | has(r"(?i)\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|rtf|zip|png|jpe?g|gif|html?)(?![a-z0-9_])")(text)
+)
 SEPARATOR = "(?:%[0-9A-Fa-f]{2}|[^A-Za-z0-9]){0,3}"
 SEPARATOR_WIDTH = 9  # three percent-escapes
 WORDS = r"(%[0-9A-Fa-f]{2})|([\p{L}\p{M}\p{N}]+)"
@@ -244,24 +246,34 @@ def _pairs(prepared: DataFrame, session: str, config: Config) -> DataFrame:
     )
 
 
+def _text_words(text: str) -> Column:
+    """The words of a text, without the percent-escapes between them."""
+    return F.array_remove(F.regexp_extract_all(unmarked(F.col(text)), F.lit(WORDS), F.lit(2)), "")
+
+
+def _following(whole: Column, start: Column) -> Column:
+    return F.substring(whole, F.length(start) + 1, F.lit(1))
+
+
 def first_words(forms: DataFrame, session: str) -> DataFrame:
     """``session, item`` and how far to read on behind such a word: what a form may begin with, and the sizes of those forms.
 
-    ``sizes`` are the lengths of the keys, negative for keys without the digits at their end; ``words``, ``gap``, ``lead`` and
-    ``tail`` the most words, characters between words, and signs before and after that any of the forms has.
+    ``sizes`` are the lengths of the keys, negative for keys without the digits at their end; ``nexts`` the characters that follow
+    the word in the forms' own words, empty where none does; ``words``, ``gap``, ``lead`` and ``tail`` the most words, characters
+    between words, and signs before and after that any of the forms has.
     """
     key = F.col("key")
     size = F.when(F.endswith(key, F.lit(DIGITS_CUT)), 1 - F.length(key)).otherwise(F.length(key))
     items = F.array_distinct(F.concat("firsts", F.transform("firsts", lambda x: F.rtrim(x, F.lit(DIGITS)))))
     return (
         forms.select(
-            session, F.explode(items).alias("item"), size.alias("size"), F.size("firsts").alias("words"), F.length("value").alias("long"),
-            F.length("lead").alias("lead"), F.length("tail").alias("tail"), "url_only",
+            session, F.explode(items).alias("item"), F.element_at("firsts", -1).alias("whole"), size.alias("size"), F.size("firsts").alias("words"),
+            F.length("value").alias("long"), F.length("lead").alias("lead"), F.length("tail").alias("tail"), "url_only",
         )
         .where("item <> ''")
         .groupBy(session, "item")
         .agg(
-            F.collect_set("size").alias("sizes"), F.max("words").alias("words"),
+            F.collect_set("size").alias("sizes"), F.collect_set(_following(F.col("whole"), F.col("item"))).alias("nexts"), F.max("words").alias("words"),
             F.max(F.greatest(F.lit(SEPARATOR_WIDTH) * F.col("words"), "long")).alias("gap"),
             F.max("lead").alias("lead"), F.max("tail").alias("tail"), F.max("url_only").alias("zoned"),
         )
@@ -282,17 +294,20 @@ def word_runs(corpus: DataFrame, firsts: DataFrame, keys: list[str], text: str =
     ends_in_digit = lambda c: F.right(c, F.lit(1)).between("0", "9")
     bare = lambda c: F.rtrim(c, F.lit(DIGITS))
     # the same words as those of the pieces, without their places
-    words = F.filter(F.regexp_extract_all(unmarked(F.col(text)), F.lit(WORDS), F.lit(2)), lambda x: x != "")
     spoken = (
         corpus.join(light(firsts.select(session).distinct()), session, "left_semi")
-        .select(*keys, F.posexplode_outer(words).alias("at", "word"))
+        .select(*keys, _text_words(text).alias("_words"))
+        .select(*keys, F.posexplode_outer(F.arrays_zip(F.col("_words").alias("w"), F.slice("_words", 2, F.size("_words")).alias("x"))).alias("at", "_z"))
+        .select(*keys, "at", F.lower("_z.w").alias("word"), F.col("_z.x").alias("ahead"))
         .where("word is not null")
-        .withColumn("word", F.lower("word"))
         .withColumn("item", F.explode(F.when(ends_in_digit(F.col("word")), F.array("word", bare(F.col("word")))).otherwise(F.array("word"))))
     )
+    # a form goes on behind the word as the text does: with the word's own digits where it is taken without them, or the next word
+    follows = F.when(F.col("word") == F.col("item"), F.lower(F.left("ahead", F.lit(1)))).otherwise(_following(F.col("word"), F.col("item")))
+    goes_on = F.array_contains("nexts", "") | F.coalesce(F.array_contains("nexts", follows), F.lit(False))
     hits = (
-        spoken.drop("word")
-        .join(light(firsts), [session, "item"])
+        spoken.join(light(firsts), [session, "item"])
+        .where(goes_on)
         .groupBy(*keys)
         .agg(F.collect_list(F.struct("at", "sizes", "words", "gap", "lead", "tail", "zoned")).alias("_hits"))
     )

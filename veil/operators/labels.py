@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.text import SPACES, java, let, trim
 from veil.lexicons import Lexicons
-from veil.operators.rules import has
+from veil.operators.rules import both, has, names, names_any_case
 from veil.operators.spans import EITHER, LABELLED, Rule
 
 # Label vocabularies and value shapes. Group 1 is the label, group 2 the value.
@@ -107,16 +107,16 @@ has_digit = has("[0-9]")
 
 
 def label_rules() -> list[Rule]:
-    born = has(java(r"birth|d\.?\s?o\.?\s?b|born", "i"))
+    born = lambda text: names_any_case("birth", "born")(text) | has(java(r"d\.?\s?o\.?\s?b", "i"))(text)
     return [
         Rule("PERSON", LABEL_NAME, "iu", "label", "LABEL_NAME", EITHER,
-             guard=has("(?i)name|patient|beneficiary|cardholder|account holder")),
-        Rule("PERSON", FIELD_NAME, "iu", "field", "FIELD_NAME", LABELLED, guard=has("(?is)(?:name|candidate|applicant).*?[:=>]")),
-        Rule("PERSON", MAIDEN, "", "label", "MAIDEN", LABELLED, guard=has("n[ée]e|born|formerly|previously|maiden name")),
-        Rule("ID", FIELD_ID, "i", "field", "FIELD_ID", LABELLED, guard=has("[:=]"), valid=has_digit),
-        Rule("DOB", FIELD_DOB, "i", "checksum", "FIELD_DOB", LABELLED, guard=born, valid=valid_date),
-        Rule("ID", LABEL_ID, "i", "label", "LABEL_ID", LABELLED, guard=has_digit, valid=has_digit),
-        Rule("DOB", LABEL_DOB, "i", "checksum", "LABEL_DOB", LABELLED, guard=born, valid=valid_date),
+             guard=names_any_case("name", "patient", "beneficiary", "cardholder", "account holder")),
+        Rule("PERSON", FIELD_NAME, "iu", "field", "FIELD_NAME", LABELLED, guard=both(names_any_case("name", "candidate", "applicant"), has("(?is)(?:name|candidate|applicant).*?[:=>]"))),
+        Rule("PERSON", MAIDEN, "", "label", "MAIDEN", LABELLED, guard=names("née", "nee", "born", "formerly", "previously", "maiden name")),
+        Rule("ID", FIELD_ID, "i", "field", "FIELD_ID", LABELLED, guard=names(":", "="), valid=has_digit, digit=True),
+        Rule("DOB", FIELD_DOB, "i", "checksum", "FIELD_DOB", LABELLED, guard=born, valid=valid_date, digit=True),
+        Rule("ID", LABEL_ID, "i", "label", "LABEL_ID", LABELLED, valid=has_digit, digit=True),
+        Rule("DOB", LABEL_DOB, "i", "checksum", "LABEL_DOB", LABELLED, guard=born, valid=valid_date, digit=True),
     ]
 
 
@@ -152,8 +152,9 @@ COLUMN_TYPES = [
 
 
 _HEADINGS = "|".join(p.removeprefix("(?i)^").removesuffix("$") for p, _ in COLUMN_TYPES)
-# a text can only hold a header or a labelled cell if one of the words fills a whole cell of some kind
+# a text can only hold a header or a labelled cell if one of the words fills a whole cell of some kind; each heading has one of the second list
 HAS_HEADING = rf"(?im)(?:^|[\t|,>])[{SPACES}*]*(?:{_HEADINGS})[{SPACES}*]*(?:$|[\t|,<\r])"
+HEADING_WORDS = "name candidate applicant patient birth dob mail phone mobile cell contact msisdn address".split()
 _MAY_HEAD = rf"(?i)^[{SPACES}*]*(?:{_HEADINGS})[{SPACES}*]*$"
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ class Rule:
     valid: Callable[[Column], Column] | None = None  # on the value
     grade: Callable[[Column], Column] | None = None  # value -> via, where evidence decides it
     raw: bool = False  # the pattern is already in Java's dialect
+    digit: bool = False  # every match that counts holds a digit from 0 to 9, so texts without any are passed over
     first: str = ""  # what every match starts with: looked for ahead of the pattern's border, which costs more at each character
 
     @property
@@ -121,12 +123,16 @@ def with_context(text: Column, spans: Column, *extra: str, context: int = CONTEX
 def _rule_parts(body: Column, rules: list[Rule]) -> Column:
     """For each rule that matches: its number, and the alternating gaps and matches."""
 
-    def parts(rule: Rule) -> Column:
+    def parts(rule: Rule, digits: Column) -> Column:
+        tests = [*([digits] if rule.digit else []), *([rule.guard(body)] if rule.guard else [])]
         found = _cut(body, rule.regex, rule.mark)
-        return F.when(rule.guard(body), found) if rule.guard else found
+        return F.when(reduce(lambda a, b: a & b, tests), found) if tests else found
 
-    per_rule = F.array(*[F.struct(F.lit(i).alias("rule"), parts(r).alias("parts")) for i, r in enumerate(rules)])
-    return F.filter(per_rule, lambda r: F.size(r["parts"]) > 1)
+    def per_rule(digits: Column) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("rule"), parts(r, digits).alias("parts")) for i, r in enumerate(rules)])
+
+    each = let(body.rlike("[0-9]"), per_rule) if any(r.digit for r in rules) else per_rule(F.lit(True))
+    return F.filter(each, lambda r: F.size(r["parts"]) > 1)
 
 
 def _described(body: Column, part: Column, start: Column, context: int, alt: bool, *head: Column) -> Column:

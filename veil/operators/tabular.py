@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from veil.functions.text import CLOSE, OPEN, SPACES, java, let, trim, unmarked
 from veil.operators.detect import GATHERED
-from veil.operators.labels import HAS_HEADING, column_type
+from veil.operators.labels import HAS_HEADING, HEADING_WORDS, column_type
+from veil.operators.rules import both, has, names, names_any_case
 from veil.operators.spans import locate, running_starts, with_context
 
 # each delimiter as it stands and as a pattern
@@ -94,7 +95,8 @@ def html_pairs(body: Column) -> Column:
     return F.filter(found, lambda s: s["type"].isNotNull() & (F.length(s["value"]) > 1) & column_type(s["value"]).isNull())
 
 
-_MAY_HOLD = (HAS_HEADING, "(?i)<t[dh]")
+HAS_CELL = both(names("<"), has("(?i)<t[dh]"))
+MAY_HEAD = both(names_any_case(*HEADING_WORDS), has(HAS_HEADING))
 
 
 def _table_spans(body: Column, lines: Column, parts: tuple[str, ...], header_lines: int | None) -> Column:
@@ -107,7 +109,7 @@ def _table_spans(body: Column, lines: Column, parts: tuple[str, ...], header_lin
     if "adjacent" in parts:
         found.append(F.flatten(F.transform(present, lambda d: beside_label(lines, d))))
     if "html" in parts:
-        found.append(F.when(body.rlike("(?i)<t[dh]"), html_pairs(body)))
+        found.append(F.when(HAS_CELL(body), html_pairs(body)))
     spans = F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))
     return with_context(body, spans, "type")
 
@@ -121,7 +123,7 @@ def table_findings(body: Column, parts: tuple[str, ...] = ("header", "adjacent",
             F.lit("field").alias("via"), s["before"].alias("before"), s["after"].alias("after"), F.lit(GATHERED["table"]).alias("gathered"),
         )
 
-    likely = (F.length(body) >= 8) & (body.rlike(_MAY_HOLD[0]) | body.rlike(_MAY_HOLD[1]))
+    likely = (F.length(body) >= 8) & (HAS_CELL(body) | MAY_HEAD(body))
     spans = let(_offsets(F.split(body, "\n", -1), 1), lambda lines: F.transform(_table_spans(body, lines, parts, header_lines), finding))
     return F.coalesce(F.when(likely, spans), F.array().cast(FOUND))
 
@@ -131,7 +133,7 @@ def detect_tables(df: DataFrame, keys: list[str], parts: tuple[str, ...] = ("hea
     body = F.col("_text")
     lined = (
         df.where(F.length(text) >= 8)
-        .where(F.col(text).rlike(_MAY_HOLD[0]) | F.col(text).rlike(_MAY_HOLD[1]))
+        .where(HAS_CELL(F.col(text)) | MAY_HEAD(F.col(text)))
         .select(*keys, unmarked(F.col(text)).alias("_text"))
         .withColumn("_lines", _offsets(F.split("_text", "\n", -1), 1))
     )

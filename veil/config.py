@@ -48,7 +48,7 @@ class Config:
     tables: bool = True
     encoded: bool = True
     sweep: bool = True
-    paired_names: int | None = 8  # single names of a session that are tried together as first and last name; None: all
+    paired_names: int | None = None  # single names of a session that are tried together as first and last name; None: all
     header_lines: int | None = 5  # lines of a text among which a table's header is looked for; None: all
     lexicons: Lexicons = field(default_factory=Lexicons)
 

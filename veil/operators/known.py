@@ -4,8 +4,8 @@ A name is the same name joined by a space, a hyphen or a percent-escape. Known v
 of variants, each with a join key (its letters and digits, lower-cased, without separators) and an
 exact pattern. Words of the texts meet the first words of known values in an equi-join on session and
 word; the runs of words that begin there meet the values' whole keys in a second one, and only then is
-the pattern tried. There is no product of values and texts, and nothing is capped but what the feature
-itself caps.
+the pattern tried. There is no product of values and texts, nor of first and last names, and nothing is
+capped unless the configuration says so.
 """
 
 from __future__ import annotations
@@ -167,8 +167,11 @@ def _variant(kind: str, pieces: Column, pattern: Column, any_case: bool, url_onl
     )
 
 
-def variants(known: DataFrame, session: str, config: Config, kinds: tuple[str, ...] = ("full", "initial", "surname", "exact", "part", "pair")) -> DataFrame:
-    """``session, key, firsts, pattern, kind, url_only, lead, tail, value, type, sure, gathered``."""
+KINDS = ("full", "initial", "surname", "exact", "part", "pair")
+
+
+def variants(known: DataFrame, session: str, config: Config, kinds: tuple[str, ...] = KINDS, corpus: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """``session, key, firsts, pattern, kind, url_only, lead, tail, value, type, sure, gathered``; with ``corpus``, pairs that stand in its texts."""
     value, sure = F.col("value"), F.col("sure")
     stop = list(config.lexicons.sweep_stopwords)
     toks, cased = F.col("_toks"), F.col("_cased")
@@ -217,32 +220,40 @@ def variants(known: DataFrame, session: str, config: Config, kinds: tuple[str, .
     if direct is not None:
         out = prepared.select(session, "value", "type", "sure", order.alias("gathered"), F.explode(direct).alias("_v")).select(*columns)
     if "pair" in kinds:
-        paired = _pairs(prepared, session, config).select(*columns)
+        paired = _pairs(prepared, session, config, corpus, text).select(*columns)
         out = paired if out is None else out.unionByName(paired)
     # digits may follow a value; such a place is keyed without its digits, and marked so
     return out.withColumn("key", F.explode(F.array("key", _undigited(F.col("key"))))).where(F.col("key") != DIGITS_CUT).distinct()
 
 
-def _pairs(prepared: DataFrame, session: str, config: Config) -> DataFrame:
-    """First and last names that were seen apart, put together again; the pair stands for the last name."""
+def _pairs(prepared: DataFrame, session: str, config: Config, corpus: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """First and last names that were seen apart, put together again; the pair stands for the last name.
+
+    Any name of a session may go with any other; with ``corpus`` those pairs are made that stand in a text of the session, and
+    no product of names is built. Only names of the list come first.
+    """
     singles = prepared.where((F.col("type") == "PERSON") & (F.size("_toks") == 1))
     if config.paired_names is not None:
         order = Window.partitionBy(session).orderBy(F.desc("sure"), "value")
         singles = singles.withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= config.paired_names)
     names = singles.select(session, "value", F.get("_toks", F.lit(0)).alias("t")).distinct()
-    # only names of the list come first, so a session's pairs are its known given names times its names
-    first = names.where(F.col("t").isin(list(config.lexicons.first_names))).select(session, F.col("t").alias("a"), F.col("value").alias("_av"))
-    last = names.where(F.length("t") >= 3).select(session, F.col("t").alias("b"), F.col("value").alias("v"))
-    pairs = first.join(last, session).where("_av <> v").drop("_av")
-    a, b = F.col("a"), F.col("b")
-    initial = F.left(a, F.lit(1))
-    forms = []
-    for ci in (False, True):
-        forms.append(_variant("pair", F.array(_key(a), _key(b)), F.concat(_body(F.array(a, b)), F.lit("[0-9]*")), ci, ci, F.lit(True)))
-        forms.append(_variant("pair", F.array(_key(initial), _key(b)), F.concat(_body(F.array(initial, b)), F.lit("[0-9]*")), ci, ci, F.length(b) >= 5))
+    a, b, v = F.col("a"), F.col("b"), F.col("v")
+    first = names.where(F.col("t").isin(list(config.lexicons.first_names)))
+    # a name or an initial may come first for several values; a pair needs one of them that is not its last name
+    whose = [F.min("value").alias("_low"), F.max("value").alias("_high")]
+    leads = first.groupBy(session, F.col("t").alias("a")).agg(*whose).withColumn("_least", F.lit(3))
+    leads = leads.unionByName(first.groupBy(session, F.left("t", F.lit(1)).alias("a")).agg(*whose).withColumn("_least", F.lit(5)))
+    leads = leads.withColumn("lead", _key(a))
+    last = names.where(F.length("t") >= 3).select(session, F.col("t").alias("b"), F.col("value").alias("v")).withColumn("rest", F.rtrim(_key(b), F.lit(DIGITS)))
+    pairs = leads.join(last, session)
+    if corpus is not None:
+        met = _neighbours(corpus, leads, last, session, text)
+        pairs = leads.join(met, [session, "lead"]).join(last, [session, "rest"])
+    pairs = pairs.where(((F.col("_low") != v) | (F.col("_high") != v)) & (F.length(b) >= F.col("_least")))
+    forms = [_variant("pair", F.array(_key(a), _key(b)), F.concat(_body(F.array(a, b)), F.lit("[0-9]*")), ci, ci, F.lit(True)) for ci in (False, True)]
     return pairs.select(
-        session, F.col("v").alias("value"), F.lit("PERSON").alias("type"), F.lit(False).alias("sure"), F.lit(GATHERED["sweep"]).alias("gathered"),
-        F.explode(F.filter(F.array(*forms), lambda v: v.isNotNull())).alias("_v"),
+        session, v.alias("value"), F.lit("PERSON").alias("type"), F.lit(False).alias("sure"), F.lit(GATHERED["sweep"]).alias("gathered"),
+        F.explode(F.array(*forms)).alias("_v"),
     )
 
 
@@ -251,6 +262,41 @@ def _text_words(text: str) -> Column:
     return F.array_remove(F.regexp_extract_all(unmarked(F.col(text)), F.lit(WORDS), F.lit(2)), "")
 
 
+def _neighbours(corpus: DataFrame, leads: DataFrame, last: DataFrame, session: str, text: str) -> DataFrame:
+    """``session, lead, rest``: keys of first and last names that stand side by side or run together in a text of their session.
+
+    Every place gives at most one pair for each length of first names, so the work and the pairs grow with texts and names.
+    """
+    runs = lambda c: F.size(_runs(c))
+    sized = leads.groupBy(session).agg(F.collect_set(F.length("lead")).alias("_sizes"), F.max(runs(F.col("a"))).alias("_f"))
+    sized = sized.join(last.groupBy(session).agg(F.max(runs(F.col("b"))).alias("_l")), session)
+    sized = materialize(sized)  # a row for each session that has both
+    most = sized.agg(F.max(F.col("_f") + F.col("_l"))).first()[0] or 2  # words of a pair; more than two where a name has an apostrophe
+    words = F.col("_words")
+    beside = [(words if k == 0 else F.slice(words, k + 1, F.size(words))).alias(f"w{k}") for k in range(most)]
+    spoken = (
+        corpus.join(light(sized.select(session, "_sizes")), session)
+        .select(session, "_sizes", _text_words(text).alias("_words"))
+        .select(session, "_sizes", F.explode_outer(F.arrays_zip(*beside)).alias("_z"))
+        .where("_z is not null")
+    )
+    spoken = spoken.select(session, "_sizes", *[F.lower(F.concat(*[f"_z.w{k}" for k in range(n + 1)])).alias(f"c{n}") for n in range(most)])
+
+    def cuts(n):
+        whole = F.col(f"c{n}")
+        ends = lambda size: (size < F.length(whole)) & (F.lit(n == 0 or most > 2) | (size == F.length("c0")))
+        cut = lambda size: F.struct(F.left(whole, size).alias("lead"), F.rtrim(F.substring(whole, size + 1, F.length(whole)), F.lit(DIGITS)).alias("rest"))
+        return F.when(whole.isNotNull(), F.transform(F.filter("_sizes", ends), cut)).otherwise(F.array().cast("array<struct<lead:string,rest:string>>"))
+
+    return (
+        spoken.select(session, F.explode_outer(F.concat(*[cuts(n) for n in range(most)])).alias("_c"))
+        .select(session, "_c.lead", "_c.rest")
+        .join(light(leads.select(session, "lead").distinct()), [session, "lead"], "left_semi")
+        .join(light(last.select(session, "rest").distinct()), [session, "rest"], "left_semi")
+        .distinct()
+    )
+
+
 def _following(whole: Column, start: Column) -> Column:
     return F.substring(whole, F.length(start) + 1, F.lit(1))
 
@@ -360,7 +406,7 @@ def sweep(corpus: DataFrame, found: DataFrame, known: DataFrame, keys: list[str]
     """New findings of known values in other spellings, not counting what ``found`` already covers."""
     session = keys[0]
     known = materialize(known)  # small, and read for the variants and the pairs
-    forms = materialize(variants(known, session, config, kinds) if kinds else variants(known, session, config))
+    forms = materialize(variants(known, session, config, kinds or KINDS, corpus, text))
     places = word_runs(corpus, materialize(first_words(forms, session)), keys, text).join(light(forms.drop("firsts")), [session, "key"])
     proven = F.col("sure") & (F.col("kind") != "pair")
     surface, start = F.col("surface"), F.col("start_at")
